@@ -51,10 +51,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), lambda w: w != "")
 
 
-def no_space(text: Column) -> Column:
-    return F.translate(text, SPACE, "")
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no input column has, whatever its case."""
     taken = {c.lower() for c in df.columns}

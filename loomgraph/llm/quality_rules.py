@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let, materialize, no_space, words_of
+from .common import SPACE, fresh, let, materialize, words_of
 
 #: Symbols whose number is reported.
 SYMBOLS = "#*$%&|<>"
@@ -33,17 +33,18 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 BROADCAST_LINES = 100_000
 
 
-def normal(line: Column) -> Column:
-    """Lower case, digits as 0, white space squeezed: what is hashed of a line."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789\t\x0b\x0c\r", "000000000    "), " {2,}", " "))
+def lines_of(text: Column) -> Column:
+    """The lines of a text that hold a word."""
+    return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
 
-def lines_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: no_space(x) != "")
+def normal(text: Column) -> Column:
+    """Lower case, numbers as 0: what is hashed of a text's lines, after their ends are trimmed."""
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(normal(line))
+def line_hashes(text: Column) -> Column:
+    return F.transform(lines_of(normal(text)), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE))))
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
@@ -51,8 +52,7 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
     def of(w: Column) -> Column:
         n = F.size(w) - (window - 1)
-        hashed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*[w[i + k] for k in range(window)]).alias("h"), i.alias("i")))
-        ordered = F.array_sort(hashed)
+        hashed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[w[i + k] for k in range(window)]))
 
         def starts(s: Column) -> Column:
             same = lambda e, k: ((k > 0) & (s[F.greatest(k - 1, F.lit(0))]["h"] == e["h"])) | ((k < n - 1) & (s[F.least(k + 1, n - 1)]["h"] == e["h"]))
@@ -61,14 +61,19 @@ def repeated_words(words: Column, window: int = 3) -> Column:
         def covered(d: Column) -> Column:
             return F.size(F.array_distinct(F.flatten(F.transform(d, lambda i: F.sequence(i, i + window - 1)))))
 
-        return F.when(n < 2, F.lit(0)).otherwise(let(let(ordered, starts), covered))
+        def found(h: Column) -> Column:
+            ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(let(let(ordered, starts), covered))
+
+        return F.when(n < 2, F.lit(0)).otherwise(let(hashed, found))
 
     return let(words, of).cast("long")
 
 
 def frequent_lines(df: DataFrame, text: str, host: str, max_share: float, min_docs: int) -> DataFrame:
     """(host, lines): for each host, the hashes of the lines in more than the given share of its distinct texts."""
-    rows = df.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc"), F.array_distinct(F.transform(lines_of(F.col(text)), line_hash)).alias("lines"))
+    x = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(host).alias("host"), F.xxhash64(x).alias("doc"), F.array_distinct(line_hashes(x)).alias("lines"))
     # a hash of 64 bits stands for the text; the pairs are made distinct over all three columns, so no host or line is one task's load
     seen = rows.select("host", "doc", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     total = rows.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
@@ -91,15 +96,15 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_s
         often = F.broadcast(often)
     x = F.coalesce(F.col(text), F.lit(""))
     lines = lines_of(x)
-    gone = F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(
-        F.aggregate(lines, F.lit(0), lambda a, line: a + F.when(F.array_contains(F.col(lines_), line_hash(line)), F.size(words_of(line))).otherwise(F.lit(0)))
-    )
+    # lower-casing and 0 for numbers leave the lines and their words' number as they are
+    here = F.filter(F.zip_with(lines, line_hashes(x), lambda line, h: F.when(F.array_contains(F.col(lines_), h), line)), lambda line: line.isNotNull())
+    gone = F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(F.aggregate(here, F.lit(0), lambda a, line: a + F.size(words_of(line))))
     out = df.join(often, df[host].eqNullSafe(F.col(host_)), "left").withColumn(words_, words_of(x))
     out = out.select(
         *df.columns,
         F.size(words_).cast("long").alias("n_words"),
-        F.char_length(no_space(x)).cast("long").alias("word_chars"),
-        (F.char_length(x) - F.char_length(F.translate(x, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.concat_ws("", words_)).cast("long").alias("word_chars"),
+        (F.size(F.split(x, f"[{SYMBOLS}]", -1)) - 1).cast("long").alias("n_symbols"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col(words_)).alias("n_repeat_words"),
         (F.size(words_) - gone).cast("long").alias("n_words_left"),
