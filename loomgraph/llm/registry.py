@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, packing, pii, quality_rules, suffix_dedup
+from . import decontamination, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
 from .common import table
+from .labelled import crc_of
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
+def classified(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of(F.col("doc_id")) % 5 == 0
+    return classified(quality_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of(F.col("doc_id")) % 4 == 2
+    return classified(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -62,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
+        "op9_quality_cnn": op9_quality_cnn,
+        "op10_toxicity": op10_toxicity,
     }
 
 
