@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
+from . import decontamination, hmm, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .labelled import crc_of
 
@@ -54,6 +54,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of(F.col("doc_id")) % 10 == 0
+    out = hmm.language_model(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def classified(scores: DataFrame, held_out) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
+        "op8_hmm": op8_hmm,
         "op9_quality_cnn": op9_quality_cnn,
         "op10_toxicity": op10_toxicity,
     }
