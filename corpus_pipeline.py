@@ -1,10 +1,19 @@
-"""A pipeline from raw documents to packed token ids."""
+"""A pipeline from raw documents to packed token ids.
+
+Each stage takes what its predecessor kept and calls one operator; all but the
+last return the columns of documents. Rejected documents go; of each group of
+near-duplicates the document with the least id stays; documents that hold a
+benchmark passage go; the mix takes words of each source to its target (a
+document is there once for each pass over its source, with the words that the
+mix takes of it); the last stage writes rows of token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, quality_rules
+from loomgraph.llm import decontamination, minhash, mixing, packing, quality_rules
+from loomgraph.llm.common import materialize, table
 
 #: SQL can express neither the near-duplicate stage nor the tokenizer.
 ORACLE_SQL = None
@@ -14,19 +23,33 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, block=512)
 
 
-STAGES = [("quality rules", rules), ("mixing", mix)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomgraph.llm.common import materialize, table
+STAGES = [
+    ("quality rules", rules),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token ids", packed),
+]
 
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "_"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
