@@ -1,0 +1 @@
+"""Code-property graphs as DataFrames: nodes, edges and call claims, and operators on them."""
