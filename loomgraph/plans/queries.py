@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from .. import graph as G
 from ..functions.idents import STOPWORDS, hex_id, language, module_of, node_id, tokens
-from ..lineage import materialize
+from ..lineage import materialize, new_dir
 from ..operators import ask, checks, classify, crdt, diff, lookup, measures, resolve, similarity, spans, traverse
+from ..streaming import watch
 from .star import baseline, load, nodes, order_path, part_path, star_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -764,3 +765,53 @@ def file_routing(spark, sf):
     out = load(spark, sf, "orders").select(file.alias("file"))
     path = module_path(F.col("file"))
     return out.select("file", language(F.col("file")).alias("language"), path.alias("path"), module_of(path).alias("owner"))
+
+
+# streams
+
+
+def event_stream(spark, sf) -> DataFrame:
+    """events as a stream, from a file or a folder of files."""
+    schema = load(spark, sf, "events").schema
+    path = f"{sf}/events.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf):
+    return watch.windowed(load(spark, sf, "events"), ["event_type"], "1 hour")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - o * INTERVAL '30 minutes' AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS o) GROUP BY 1, 2")
+def sliding_counts(spark, sf):
+    return watch.windowed(load(spark, sf, "events"), ["event_type"], "1 hour", "30 minutes")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS \"end\", count(*) AS n FROM k GROUP BY user_id, k")
+def debounce_sessions(spark, sf):
+    return watch.sessions(load(spark, sf, "events"), ["user_id"], "6 hours")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS path, max(event_id) AS seq, arg_max(event_type, event_id) AS source FROM events GROUP BY 1")
+def coalesced_changes(spark, sf):
+    e = load(spark, sf, "events").select(F.get_json_object("props", "$.k").alias("path"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("source"))
+    return watch.coalesced(e).select("path", "seq", "source")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, sf):
+    """The same counts by a stream with a watermark, run to the end of what is there."""
+    base = new_dir(spark, "stream")
+    counts = watch.windowed(event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day"), ["event_type"], "1 day")
+
+    def keep(df, k):
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    last = out.groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
