@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import graph as G
 from ..functions.idents import STOPWORDS, hex_id, language, module_of, node_id, tokens
 from ..lineage import materialize, new_dir
-from ..operators import ask, checks, classify, crdt, diff, lookup, measures, resolve, similarity, spans, traverse
+from ..operators import ask, checks, classify, crdt, diff, lookup, measures, resolve, review, similarity, spans, traverse
 from ..streaming import watch
 from .star import baseline, load, nodes, order_path, part_path, star_graph
 
@@ -815,3 +815,34 @@ def stream_daily_counts(spark, sf):
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
     return last.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# reviews
+
+
+@query(star_sql("SELECT kind, 'added' AS change, count(*) AS n FROM " + EDGE_DIFF + " GROUP BY 1", edges_sql("base", BEFORE)))
+def edge_review(spark, sf):
+    return review.edge_review(star_graph(spark, sf), baseline(spark, sf))
+
+
+@query(
+    star_sql(
+        "SELECT d.path, d.change, count(DISTINCT r.node) AS impacted, count(DISTINCT r.node) FILTER (is_test) AS tests FROM d LEFT JOIN r ON r.origin = d.path AND r.node <> r.origin LEFT JOIN nodes t ON t.path = r.node WHERE true GROUP BY 1, 2",
+        STEPS,
+        NEW,
+        OLD,
+        "d AS (SELECT coalesce(now.path, old.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM now FULL JOIN old ON now.path = old.path WHERE now.source IS DISTINCT FROM old.source)",
+        reach_sql("r", "SELECT path AS node, path AS origin FROM d"),
+    )
+)
+def change_review(spark, sf):
+    g = star_graph(spark, sf)
+    others = g.nodes.where(~F.startswith("path", F.lit("crate::parts")))
+    old = older_parts(spark, sf).nodes
+    base = G.Graph(others.unionByName(old, allowMissingColumns=True), g.edges)
+    return review.review(g, base).select("path", "change", "impacted", "tests")
+
+
+@query(star_sql("SELECT path, kind FROM nodes ORDER BY path LIMIT 128"))
+def context_sample(spark, sf):
+    return review.context_sample(star_graph(spark, sf))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import graph as G
 from loomgraph.functions import idents
-from loomgraph.operators import ask, checks, classify, crdt, diff, lookup, resolve, similarity, spans, traverse
+from loomgraph.operators import ask, checks, classify, crdt, diff, lookup, resolve, review, similarity, spans, traverse
 from loomgraph.schema import CLAIMS, EDGES, NODES
 
 
@@ -321,3 +321,20 @@ def test_lookups(spark):
     assert [r["source"] for r in out] == ["src"] * 3 + [None] * 2 and out[0]["total"] == 5
     assert lookup.covering_tests(tests, many=5).count() == 3
     assert {r["path"] for r in lookup.visible(g, ["Type"], "run", None, fnv("crate::z::run")).collect()} == {"crate::z::run"}
+
+
+def test_reviews(spark):
+    n = fns("crate::f::a", "crate::f::b", "crate::t::t", "crate::f::lonely", tests=("crate::t::t",))
+    base = graph(spark, {**n, "crate::f::gone": ("Function", "g", {})}, [("crate::t::t", "crate::f::a", "Calls"), ("crate::t::t", "crate::f::gone", "Calls")])
+    now = graph(spark, {**n, "crate::f::a": ("Function", "changed", {}), "crate::f::lonely": ("Function", "changed", {})}, [("crate::t::t", "crate::f::a", "Calls")])
+    rows = {r["path"]: r for r in review.review(now, base).collect()}
+    assert rows["crate::f::a"]["impacted"] == 1 and rows["crate::f::a"]["nearest"] == ["crate::t::t"] and not rows["crate::f::a"]["gap"]
+    assert rows["crate::f::lonely"]["gap"] and rows["crate::f::gone"]["change"] == "removed"
+    assert {r["path"] for r in review.changed_tests(now, base).collect()} == {"crate::t::t"}
+    declared = spark.createDataFrame([("modified", "node", "crate::f::a"), ("modified", "node", "crate::f::b")], "change string, entity string, key string")
+    found = {(r["category"], r["key"]) for r in review.post_check(now, base, declared).collect()}
+    assert ("delta_mismatch", "crate::f::b") in found and ("unexpected_edge", "crate::t::t Calls crate::f::gone") in found and ("delta_mismatch", "crate::f::a") not in found
+    mark = now.nodes.where("path = 'crate::f::b'").select(checks.fingerprint("p").alias("m")).first()["m"]
+    steps = spark.createDataFrame([(1, "crate::f::b", mark), (2, "crate::f::b", "00"), (3, "crate::nope", "00")], "step int, path string, fingerprint string")
+    assert {r["step"]: r["category"] for r in review.pre_check(now, steps, "p").collect()} == {2: "stale_input", 3: "insufficient_evidence"}
+    assert {r["file"]: (r["modified"], r["removed"]) for r in review.by_file(now, base).collect()} == {"src/f.rs": (2, 1)}
