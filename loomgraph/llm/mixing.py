@@ -121,7 +121,8 @@ def mix_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     spread = docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))))
     begin = F.greatest(F.col("start"), F.col("block") * b)
     spread = spread.withColumn("at", begin - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin)
-    both = spread.join(taken, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # a generated table's size can't be told before it is there: it must not be broadcast
+    both = spread.hint("merge").join(taken.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     # size 0: equal rows may share a start, so rows are counted and dealt out again
     out = both.groupBy("doc_id", "source", "hash", "start", "size", "rank", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"),
