@@ -128,7 +128,7 @@ def found_by_pattern(features: DataFrame, occurs: DataFrame) -> DataFrame:
     held = links.groupBy("by", "word", "pattern").agg(F.sum("times").alias("held"), F.countDistinct("value").alias("values")).where(F.col("values") >= SUPPORT)
     cues = held.join(occurs.select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("by") == "before"), "left")
     cues = cues.select("by", "pattern", F.greatest(F.coalesce("n", "held"), "held").alias("occurs"))
-    links = links.join(cues, ["by", "pattern"])
+    links = materialize(links.join(cues, ["by", "pattern"]), "cues")
     scores = links.select("value", "seed").groupBy("value").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
         known = links.join(scores, "value")
