@@ -88,32 +88,32 @@ def counted(df: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
-class Lookup:
-    """The carried words: by sorted hash, the symbol (or -1), count and class."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, symbols: int):
-        rank = np.lexsort((words, -counts))
-        symbol = np.full(len(words), -1, np.int32)
-        symbol[rank[:symbols]] = np.arange(min(symbols, len(words)))
-        order = np.argsort(words.view(np.uint64))
-        self.words, self.counts, self.symbol = words.view(np.uint64)[order], counts[order], symbol[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, count) of each hash: -1 and 0 of those that are not carried."""
-        if not len(self.words) or not len(hashes):
-            return np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), np.int64)
-        each, back = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, each), len(self.words) - 1)
-        hit = self.words[at] == each
-        return np.where(hit, self.symbol[at], -1).astype(np.int32)[back], np.where(hit, self.counts[at], 0)[back]
-
-
-def symbols_of(lookup: Lookup, n: int, batch: pa.Array):
+def carried(words: np.ndarray, counts: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+    """The carried words by sorted hash, with counts and symbols (-1: none). Plain arrays, so that workers need no class to read them."""
+    rank = np.lexsort((words, -counts))
+    symbol = np.full(len(words), -1, np.int32)
+    symbol[rank[:symbols]] = np.arange(min(symbols, len(words)))
+    order = np.argsort(words.view(np.uint64))
+    return {"words": words.view(np.uint64)[order], "counts": counts[order], "symbol": symbol[order]}
+
+
+def found(lookup: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, count) of each hash: -1 and 0 of those that are not carried."""
+    words = lookup["words"]
+    if not len(words) or not len(hashes):
+        return np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), np.int64)
+    each, back = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(words, each), len(words) - 1)
+    hit = words[at] == each
+    return np.where(hit, lookup["symbol"][at], -1).astype(np.int32)[back], np.where(hit, lookup["counts"][at], 0)[back]
+
+
+def symbols_of(lookup: dict, n: int, batch: pa.Array):
     """(symbols with an end for each text, bounds, hashes, counts, classes, first)."""
     data, bounds = flat(batch)
     hashes, first, starts, ends = word_hashes(data, bounds)
     kinds = classes(data, starts, ends)
-    symbol, counts = lookup.find(hashes)
+    symbol, counts = found(lookup, hashes)
     seq = np.where(symbol >= 0, symbol, n + kinds).astype(np.int64)
     out = np.full(len(seq) + len(batch), n + CLASSES, np.int64)
     place = np.arange(len(seq)) + np.repeat(np.arange(len(batch)), np.diff(first))
@@ -251,28 +251,27 @@ def normalized(first: np.ndarray, move: np.ndarray, emit: np.ndarray, mass: np.n
 def learnt(df: DataFrame, text: str, counts: DataFrame, texts: int, states: int, rounds: int) -> dict:
     """The model with the carried words and the sums of each class. counts: (word, class, n), written; texts: how many."""
     spark = df.sparkSession
-    # a count above which the words are few enough; all words of a count go alike, so the choice doesn't hang on order
-    by = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy("n").collect()
-    least, carried = 1, sum(r["words"] for r in by)
+    # a count from which the words are few enough, of counts in steps of 2 %: all words of a step go alike, so the choice doesn't hang on order
+    step = F.floor(F.log(F.col("n")) / math.log(1.02))
+    by = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy("step").collect()
+    least, left = 0, sum(r["words"] for r in by)
     for r in by:
-        if carried <= CARRIED:
+        if left <= CARRIED:
             break
-        carried -= r["words"]
-        least = r["n"] + 1
-    table = counts.where(F.col("n") >= least).toArrow()
+        left -= r["words"]
+        least = r["step"] + 1
+    table = counts.where(step >= least).toArrow()
     words, n = table["word"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
     symbols = min(SYMBOLS, len(words))
-    lookup = Lookup(words, n, symbols)
-    kind = dict(zip(words.tolist(), table["class"].to_pylist(), strict=True))
-    sums = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    lookup = carried(words, n, symbols)
     total = np.zeros((CLASSES, 2))
-    for c, (a, v) in sums.items():
-        total[c] = a, v
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        total[r["class"]] = r["n"], r["v"]
+    top = np.lexsort((words, -n))[:symbols]  # as carried() numbers them
+    kinds = table["class"].to_numpy()[top]
+    np.subtract.at(total, kinds, np.stack([n[top], np.ones(symbols)], axis=1))
     mass = np.zeros(symbols + CLASSES + 1)
-    own = lookup.symbol >= 0
-    for w, c, s in zip(lookup.words[own].view(np.int64).tolist(), lookup.counts[own].tolist(), lookup.symbol[own].tolist(), strict=True):
-        mass[s] = c
-        total[kind[w]] -= c, 1
+    mass[:symbols] = n[top]
     mass[symbols : symbols + CLASSES] = total[:, 0]
     mass[-1] = texts
     mass = (mass + 1e-3) / (mass + 1e-3).sum()
