@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained: on what toxic training texts have and
 ordinary ones lack (the beginnings of words whose share of toxic documents is
-far above that of ordinary ones), and on ordinary text. Both stand behind the
-same base of ordinary text, so that only what is special to a side shows. Each
+far above that of ordinary ones), and on ordinary text. Each goes with the same
+base of ordinary text, so that only what is special to a side shows, and ends
+with the side's shortest distinctive strings, which only count when near. Each
 window of a text, a word in a fixed carrier, is compressed with both; the
 difference of the lengths, against the window's size, has a calibrated weight:
 the log ratio of how often it is seen in toxic and ordinary texts of the half
@@ -35,7 +36,7 @@ from .vector import flat, pieces, small_batches, word_hashes
 #: Rows of the training sample at most.
 SAMPLE = 6000
 #: Bytes of the base and of each side's dictionary; a thorough search for short matches.
-BASE, SIDE = 8192, 2048
+BASE, SIDE = 8192, 1024
 SEARCH = {"window_log": 16, "hash_log": 15, "chain_log": 16, "search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_BTULTRA}
 #: What stands before and behind each window, so that its length counts (blocks that hardly shrink are stored, and the last bytes of a block are not searched); the byte before and after a word; a window's bytes.
 CARRIER, TAIL, EDGE, WINDOW = b"|0123456789~carrier-of-a-window~9876543210|", b"|end-of-a-window|", b"\x01", 48
@@ -56,10 +57,10 @@ def beginnings(word: bytes) -> list[bytes]:
     return [w[:n] for n in range(5, 11) if len(w) >= n]
 
 
-def trained(size: int, samples: list[bytes]) -> bytes:
+def trained(size: int, samples: list[bytes], **how) -> bytes:
     """A trained dictionary's bytes; the samples' own where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -98,16 +99,20 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
         r = math.log(max(c - CAUTION * c**0.5, 0) + 0.5) - math.log(len(toxic) + 1) - math.log(seen[0][g] + 0.5) + math.log(len(ordinary) + 1)
         if c >= SEEN and r > RATIO:
             rank[g] = (r * math.log(1 + c), len(g), g)
-    special = []
+    best = Counter()
     for d in toxic:
-        own = [max(found, key=rank.get) for w in d if (found := [g for g in beginnings(w) if g in rank])]
-        if own:
-            joined = b"".join(own) + EDGE
-            special += [joined[k : k + 64] for k in range(0, len(joined), 64)]
+        best.update({max(found, key=rank.get) for w in d if (found := [g for g in beginnings(w) if g in rank])})
+    names = [g for g, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))]
+    # each as often as the others, in ever new company: training would else keep to the most frequent
+    r = np.random.default_rng(0)
+    special = [b"".join(names[i] for i in r.permutation(len(names))[:8]) + EDGE for _ in range(400)] if names else []
+    # a match costs by its distance, and a short one soon as much as it saves: the shortest stand last
+    near = b"".join(sorted(names, key=lambda g: (-len(g), best[g], g)))[-SIDE:]
     text = [b"".join(EDGE + w for w in d) for d in ordinary]
     base = trained(BASE, [t[k : k + 1024] for t in text for k in range(0, len(t), 1024)])
     few = [b"".join(EDGE + w for w in d[:: max(1, len(d) // 8)]) for d in ordinary if d]
-    return base + trained(SIDE, special) + CARRIER + TAIL, base + trained(SIDE, few) + CARRIER + TAIL
+    end = CARRIER + TAIL
+    return trained(SIDE, special, k=64, d=6, level=3) + base + near + end, trained(SIDE, few) + base + (trained(2 * SIDE, few)[-len(near) :] if near else b"") + end
 
 
 def features(weights: np.ndarray) -> list[float]:
