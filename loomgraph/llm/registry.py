@@ -89,5 +89,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words, as every operator here takes them.
+WORDS = r"'[^\x20\x09-\x0D]+'"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP4 = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM d),
+sets AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY 1),
+one AS (SELECT id, n, unnest(g) AS x FROM sets),
+pairs AS (SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+steps AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT id, id AS c FROM sets UNION SELECT steps.b, r.c FROM r JOIN steps ON r.id = steps.a),
+least AS (SELECT g, min(c) AS c FROM r JOIN sets USING (id) GROUP BY 1)
+SELECT doc_id, len(s.g) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM s LEFT JOIN least ON s.g = least.g"""
+
+OP7 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+b AS (SELECT doc_id, source, t, regexp_extract_all(t, {WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, {SPACES}) <> '') AS l FROM d),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM b WHERE len(w) > 2),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+lines AS (SELECT doc_id, source, t, unnest(l) AS x FROM b),
+keyed AS (SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[0-9]+', '0', 'g'), {SPACES}) AS x, len(regexp_extract_all(x, {WORDS})) AS n FROM lines),
+often AS (SELECT source, x FROM keyed JOIN (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1) USING (source) GROUP BY source, x, docs HAVING count(DISTINCT t) >= {quality_rules.MIN_DOCS} AND count(DISTINCT t) > {quality_rules.MAX_SHARE} * docs),
+gone AS (SELECT doc_id, sum(n) AS n FROM keyed SEMI JOIN often ON keyed.source = often.source AND keyed.x = often.x GROUP BY 1),
+f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(w) - coalesce(gone.n, 0) AS n_words_left FROM b LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= {quality_rules.MIN_LEFT} * n_words AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can say in reasonable time; the others are tested against brute force, round trips and held-out labels."""
+    return {"op4_minhash": OP4, "op7_quality_rules": OP7}
