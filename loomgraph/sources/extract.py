@@ -225,6 +225,13 @@ def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
             seen[path] = seen.get(path, 0) + 1
             stop = end_of(m.end())
             out.define("Function", f"{path}#{seen[path]}", out.module, m[2], offset(m.start()), offset(stop), source[m.start() : stop], True)
+    if form == "rust":
+        for start, stop, path, sort in functions:
+            text = source[start:stop]
+            for target, literal, parameter in launches(text):
+                out.add("launch", path=path, name=target, source=literal, start=parameter)
+            for callee, literal in dispatch_guards(text):
+                out.add("guard", path=path, name=callee, source=literal)
     for m in re.finditer(IMPORTS[form], source):
         if form == "rust":
             out.add("import", path=out.module, name=m[2] or m[1].split("::")[-1], source=m[1])
@@ -237,6 +244,32 @@ def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
     return out.rows
 
 
+def identifier_spans(source: str, name: str) -> list[tuple[int, int]]:
+    """Byte spans of an identifier in code, outside of strings and comments."""
+    code = MASKS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    found = re.finditer(rf"(?<![\w]){re.escape(name)}(?![\w])", code)
+    return [(len(source[: m.start()].encode()), len(source[: m.end()].encode())) for m in found]
+
+
+def launches(source: str) -> list[tuple[str, str | None, int | None]]:
+    """(target, literal, parameter) of a Rust test's launches of a package's binary: the first argument's literal, or the place of the parameter that it is."""
+    out = []
+    for m in re.finditer(r'env!\s*\(\s*"CARGO_BIN_EXE_([\w-]+)"\s*\)', source):
+        arg = re.compile(r'\.arg\s*\(\s*(?:"([^"]*)"|&?(\w+))').search(source, m.end(), m.end() + 400)
+        parameter = None
+        if arg and arg[2]:
+            heads = list(re.finditer(r"\bfn\s+\w+\s*(?:<[^>]*>)?\(([^)]*)\)", source[: m.start()]))
+            names = [p.split(":")[0].strip() for p in heads[-1][1].split(",")] if heads else []
+            parameter = names.index(arg[2]) if arg[2] in names else None
+        out.append((m[1], arg[1] if arg else None, parameter))
+    return out
+
+
+def dispatch_guards(source: str) -> list[tuple[str, str]]:
+    """(callee, literal) of the arms of a Rust match that call on one literal."""
+    return [(m[2], m[1]) for m in re.finditer(r'(?:Some\(\s*)?"([^"]+)"\s*\)?\s*=>\s*\{?\s*(?:return\s+)?(\w+)\s*\(', source)]
+
+
 def facts_of(file: str, lang: str, source: str) -> list[dict]:
     return python_facts(file, source) if lang == "python" else scanned_facts(file, lang, source)
 

@@ -196,3 +196,11 @@ def test_settled_waits(spark):
     at = lambda s: F.lit(s).cast("timestamp")
     assert watch.settled(c, at("2024-01-01 00:00:01.1"), "250 milliseconds").count() == 0
     assert watch.settled(c, at("2024-01-01 00:00:01.3"), "250 milliseconds").count() == 2
+
+
+def test_route_evidence_and_spans():
+    helper = 'fn run_cli(cmd: &str) { Command::new(env!("CARGO_BIN_EXE_tool")).arg(cmd).output(); }\n#[test]\nfn direct() { Command::new(env!("CARGO_BIN_EXE_tool")).arg("a"); }\nfn main() { match x { "a" => route_a(), Some("b") => { route_b() } _ => {} } }\n'
+    rows = extract.facts_of("src/main.rs", "rust", helper)
+    assert {(r["path"], r["name"], r["source"], r["start"]) for r in rows if r["fact"] == "launch"} == {("crate::run_cli", "tool", None, 0), ("crate::direct", "tool", "a", None)}
+    assert {(r["name"], r["source"]) for r in rows if r["fact"] == "guard"} == {("route_a", "a"), ("route_b", "b")}
+    assert extract.identifier_spans('é add("add") // add\nadder add', "add") == [(3, 6), (27, 30)]
