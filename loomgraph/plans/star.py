@@ -67,6 +67,8 @@ def edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> D
     one = F.lit(1.0)
 
     def of(df, src, dst, kind, weight=one):
+        # hashing paths costs more than moving them: few bytes must not mean few tasks
+        df = df.repartition(spark.sparkContext.defaultParallelism)
         return df.select(node_id(src).alias("src"), node_id(dst).alias("dst"), F.lit(kind).alias("kind"), weight.cast("float").alias("weight"))
 
     lines = t("lineitem") if lines is None else lines
