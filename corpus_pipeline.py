@@ -1,7 +1,8 @@
 """A pipeline from raw documents to packed token ids.
 
 Each stage takes what its predecessor kept and calls one operator; all but the
-last return the columns of documents. Rejected documents go; of each group of
+last return the columns of documents. Rejected documents go, and of the others
+the lines that are frequent in their host; of each group of
 near-duplicates the document with the least id stays; documents that hold a
 benchmark passage go; the mix takes words of each source to its target (a
 document is there once for each pass over its source, with the words that the
@@ -11,6 +12,7 @@ mix takes of it); the last stage writes rows of token ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, minhash, mixing, packing, quality_rules
 from loomgraph.llm.common import materialize, table
@@ -20,7 +22,8 @@ ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    kept = quality_rules.quality_rules(docs).where("kept").withColumn("text", F.col("text_left"))
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

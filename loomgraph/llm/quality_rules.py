@@ -1,13 +1,15 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised and hashed; for each host the distinct documents that hold
-a line are counted; lines in too large a share of a host's documents go; a
-document that keeps too few of its words without them is rejected. Rules on the
-single document come first: too few words, or too many in repeated windows.
+a line are counted; lines in too large a share of a host's documents go (the
+text without them is ``text_left``); a document that keeps too few of its words
+without them is rejected. Rules on the single document come first: too few
+words, or too many in repeated windows.
 
 Everything is a DataFrame expression: no Python runs on executors.
 
-Defined cases: a null text is an empty one and fails the word count; a null
+Defined cases: a null text is an empty one and fails the word count; a text
+without frequent lines is left as it is, in others lines without a word stay; a null
 host is a host of its own; exact copies of a text count as one document of
 their host, so that copies alone don't make their lines boilerplate; repeated
 rows get equal results; no rows give no rows; columns of the input that have
@@ -47,6 +49,13 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines_of(normal(text)), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE))))
 
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines of these hashes; lines without a word stay."""
+    hashed = F.transform(F.split(normal(text), "\n", -1), lambda x: F.when(F.btrim(x, F.lit(SPACE)) != "", F.xxhash64(F.btrim(x, F.lit(SPACE)))))
+    left = F.zip_with(F.split(text, "\n", -1), hashed, lambda line, h: F.when(h.isNull() | ~F.array_contains(hashes, h), line))
+    return F.array_join(F.filter(left, lambda line: line.isNotNull()), "\n")
+
+
 def repeated_words(words: Column, window: int = 3) -> Column:
     """Number of words in windows that are found twice or more in the array."""
 
@@ -83,8 +92,8 @@ def frequent_lines(df: DataFrame, text: str, host: str, max_share: float, min_do
 
 
 def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
-    """The rows of df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words_left, base_failed and kept."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
+    """The rows of df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words_left, text_left, base_failed and kept."""
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "text_left", "base_failed", "kept"]
     for c in [c for c in df.columns if c.lower() in made]:
         df = df.withColumnRenamed(c, fresh(df, f"in_{c}"))
     often = materialize(frequent_lines(df, text, host, max_share, min_docs), "lines")
@@ -108,6 +117,7 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_s
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col(words_)).alias("n_repeat_words"),
         (F.size(words_) - gone).cast("long").alias("n_words_left"),
+        F.when(gone > 0, without_lines(x, F.col(lines_))).otherwise(F.col(text)).alias("text_left"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("n_words_left") >= min_left * F.col("n_words")))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomgraph.llm import mixing, pii, quality_rules, registry
 
 from . import brute
@@ -29,6 +30,16 @@ def test_boilerplate_lines_deplete(spark):
     assert all(got[i]["kept"] for i in range(40, 100))
 
 
+def test_boilerplate_lines_go_from_kept_texts(spark):
+    rows = [f"{prose(80, i)}\nPage {i} of the menu \n\nlast {i} {prose(9, 500 + i)}" for i in range(30)] + [prose(80, 99 + i) for i in range(60)]
+    docs = documents(spark, rows, ["h"])
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[i]["kept"] and got[i]["text_left"] == rows[i].replace(f"Page {i} of the menu \n", "") for i in range(90))
+    assert all(got[i]["n_words_left"] == len(brute.WORD.findall(got[i]["text_left"])) for i in range(90))
+    out = corpus_pipeline.rules(spark, docs, SF)
+    assert out.columns == docs.columns and {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(i, got[i]["text_left"], len(got[i]["text_left"])) for i in range(90)}
+
+
 def test_copies_are_one_document(spark):
     text = prose(80, 5)
     got = quality_rules.quality_rules(documents(spark, [text] * 50 + [prose(80, 200 + i) for i in range(20)], ["h"])).where("text <> 'no id at all'").collect()
