@@ -5,7 +5,8 @@ numbers) and by strong shapes of keys (long mixed hexadecimal or upper-case
 runs). The text before a value induces lexical patterns: the word and the
 punctuation before it, and the letters a value begins with. Pattern and value
 form a graph, scored in rounds: a pattern by the share of its occurrences in
-the whole corpus that hold a known value, a value by the patterns it is found
+the distinct texts of the corpus that hold a known value (so copies of a text
+count once above and below the line), a value by the patterns it is found
 with. Values of high-confidence patterns are added as spans of kind ``secret``.
 
 Everything is a DataFrame expression: no Python runs on executors.
@@ -100,6 +101,12 @@ def base_spans(text: Column) -> Column:
     )
 
 
+#: A word and the punctuation after it, up to where a value could begin: what ``before`` patterns are made of.
+CUE = r"(?<![a-z])[a-z]++[^a-z0-9]{0,3}[^a-z0-9_+/-](?=[a-z0-9_+/-])"
+#: White space in a pattern is a space.
+BLANKS = ("\t\n\x0b\x0c\r", "     ")
+
+
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -116,7 +123,7 @@ def found_by_pattern(features: DataFrame, occurs: DataFrame) -> DataFrame:
     rows = features.where(F.size("values") > 0).dropDuplicates(["hash"]).withColumn("v", F.explode("values"))
     rows = rows.select("hash", F.col("v.start").alias("start"), F.col("v.end").alias("end"), value.alias("value"), F.lower("v.before").alias("before"), (overlaps("email") | overlaps("ip") | overlaps("card") | overlaps("phone")).alias("base"))
     cue = r"([a-z]+)([^a-z0-9]{1,4})$"
-    word, mark = F.regexp_extract("before", cue, 1), F.translate(F.regexp_extract("before", cue, 2), "\t\n\x0b\x0c\r", "     ")
+    word, mark = F.regexp_extract("before", cue, 1), F.translate(F.regexp_extract("before", cue, 2), *BLANKS)
     letters = F.regexp_extract("value", "^[A-Za-z]{3,8}", 0)
     rows = rows.withColumn("patterns", F.filter(F.array(F.when(word != "", F.struct(F.lit("before").alias("by"), word.alias("word"), F.concat(word, mark).alias("pattern"))), F.when(letters != "", F.struct(F.lit("begins").alias("by"), letters.alias("word"), F.concat(letters, F.lit(":"), F.char_length("value").cast("string")).alias("pattern")))), lambda p: p.isNotNull()))
     rows = materialize(rows.drop("before"), "values")
@@ -124,9 +131,9 @@ def found_by_pattern(features: DataFrame, occurs: DataFrame) -> DataFrame:
     links = rows.select("value", "base", (strong | F.col("base")).cast("double").alias("seed"), F.explode("patterns").alias("p"))
     links = links.groupBy("p.by", "p.word", "p.pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
     links = materialize(links, "links")
-    # how often a pattern's word occurs in all texts, followed by a value or not
-    held = links.groupBy("by", "word", "pattern").agg(F.sum("times").alias("held"), F.countDistinct("value").alias("values")).where(F.col("values") >= SUPPORT)
-    cues = held.join(occurs.select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("by") == "before"), "left")
+    # how often a pattern occurs in the distinct texts, before a value or not
+    held = links.groupBy("by", "pattern").agg(F.sum("times").alias("held"), F.countDistinct("value").alias("values")).where(F.col("values") >= SUPPORT)
+    cues = held.join(occurs.select(F.col("pattern").alias("w"), F.col("n")), (F.col("pattern") == F.col("w")) & (F.col("by") == "before"), "left")
     cues = cues.select("by", "pattern", F.greatest(F.coalesce("n", "held"), "held").alias("occurs"))
     links = materialize(links.join(cues, ["by", "pattern"]), "cues")
     scores = links.select("value", "seed").groupBy("value").agg(F.max("seed").alias("score"))
@@ -147,7 +154,8 @@ def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     x = F.coalesce(F.col(text), F.lit(""))
     values = F.when(F.regexp_like(x, F.lit("[0-9]")), matches(x, VALUE)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>"))
     features = materialize(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(x).alias("hash"), base_spans(x).alias("base"), values.alias("values")), "spans")
-    occurs = df.select(F.explode(F.split(F.lower(x), "[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.select(F.xxhash64(x).alias("hash"), F.lower(x).alias("lower")).dropDuplicates(["hash"])
+    occurs = texts.select(F.explode(F.regexp_extract_all("lower", F.lit(CUE), F.lit(0))).alias("cue")).groupBy(F.translate("cue", *BLANKS).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     added = found_by_pattern(features, occurs)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = features.join(added, "hash", "left").select("doc_id", F.struct(*[F.col("base")[k].alias(k) for k in KINDS], F.coalesce("secret", none).alias("secret")).alias("spans"))

@@ -64,6 +64,23 @@ def test_patterns_find_unseen_values(spark):
     assert texts[30][s["start"] : s["end"]] == "hunter22xx"
 
 
+def test_copies_dont_reject_patterns(spark):
+    hexes = [f"{i:04x}a9b8c7d6e5f40{i:03d}" for i in range(30)]
+    texts = [f"{prose(20, i)} secret={h} {prose(5, i)}" for i, h in enumerate(hexes)] + [f"{prose(9)} secret=hunter22xx end"] + [f"{prose(9)} the secret is out"] * 200
+    got = {r["doc_id"]: r["spans"]["secret"] for r in pii.personal_data(documents(spark, texts, ["s"])).collect()}
+    assert [len(got[i]) for i in range(31)] == [1] * 31
+    assert not any(got[i] for i in range(31, 231))
+
+
+def test_a_pattern_is_counted_by_its_own_punctuation(spark):
+    hexes = [f"{i:04x}a9b8c7d6e5f40{i:03d}" for i in range(30)]
+    rare = [f"{prose(20, i)} secret={h} {prose(5, i)}" for i, h in enumerate(hexes)] + [f"{prose(9)} secret=hunter22xx end"]
+    often = [f"{prose(9, i)} no {i} secret: model2024x, secret: word{'' if i % 2 else 's'}" for i in range(100)]
+    got = {r["doc_id"]: r["spans"]["secret"] for r in pii.personal_data(documents(spark, rare + often, ["s"])).collect()}
+    assert [len(got[i]) for i in range(31)] == [1] * 31
+    assert not any(got[i] for i in range(31, 131))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(spark, n):
     df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7)).alias("p"))
