@@ -19,8 +19,6 @@ rows.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -87,7 +85,6 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-@functools.lru_cache(2)
 def tokenizer(vocabulary: bytes):
     import base64
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vector import byte_tables, flat, mixed, pieces, powers, small_batches
+from .vector import BYTES, flat, mixed, pieces, powers, small_batches
 
 #: Bytes of a string that counts, and of an anchor in it.
 LENGTH, GRAM = 400, 100
@@ -215,7 +215,7 @@ def found_anchors(df: DataFrame, text: str, length: int, gram: int) -> DataFrame
         return out + [(key, a, None, b, 0, 2) for a, b in merged(runs)]
 
     def run(batches):
-        plain = byte_tables()[0]
+        plain = BYTES[0]
         for whole in batches:
             for batch in pieces(whole, 1):
                 data, bounds = flat(batch.column(1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +28,6 @@ def splitmix(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x632BE59BD9B4E019 & MASK))
 
 
-@functools.lru_cache(1)
 def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each byte, as it is and with A-Z lower-cased; whether it is white space."""
     plain = splitmix(256, 1)
@@ -41,6 +38,10 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return plain, lower, space
 
 
+#: Plain arrays, which go with the functions that use them: a cached function would be shipped by its name.
+BYTES = byte_tables()
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -80,7 +81,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), np.zeros(len(bounds), np.int64), none, none
-    plain, folded, spaces = byte_tables()
+    plain, folded, spaces = BYTES
     space = spaces[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
