@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.idents import module_of, node_id, with_identifier
+from .functions.idents import fnv, module_of, with_identifier
 from .lineage import materialize
 from .schema import GRAPH_OWNED_KINDS, parser_owned, projected
 
@@ -126,7 +126,7 @@ def rename_node(g: Graph, path: str, name: str) -> Graph:
     if g.nodes.where(F.col("path") == one["to"]).limit(1).count():
         raise NameConflict(f"{one['to']} exists")
     old, to, was = one["old"], one["to"], one["was"]
-    fresh = node_id(F.lit(to))
+    fresh = F.lit(fnv(to))
     callers = g.edges.where((F.col("dst") == old) & (F.col("kind") == "Calls")).select(F.col("src").alias("caller")).distinct()
     n = g.nodes.join(callers, F.col("id") == F.col("caller"), "left")
     mine = F.col("id") == old

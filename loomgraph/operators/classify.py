@@ -21,33 +21,51 @@ def category(reason: Column, gap: Column) -> Column:
     return F.when(bad, "missing_or_invalid_evidence").when(gap, "coverage_gap").otherwise("unresolved_call_site")
 
 
+#: Ways in which evidence fails, in the order in which they are looked for.
+FAILS = ("unsupported-call-evidence-version", "missing-node", "stale-call-evidence", "invalid-call-claim")
+
+
 def checked(g: Graph) -> DataFrame:
-    """claims with error: null, or why the claim doesn't count."""
+    """claims with error: null, or why none of its caller's claims count: evidence holds as a whole.
+
+    A claim without class and targets says that its caller calls nothing.
+    """
     fresh = g.nodes.select(F.col("id").alias("caller"), node_id(F.coalesce("source", F.lit(""))).alias("now"))
     c = g.claims.join(fresh, "caller", "left")
-    n = F.size("targets")
-    well = F.when(F.col("class") == "must", (n == 1) & ~F.col("coverage_gap")).when(F.col("class") == "may", (n >= 1) & ~F.col("coverage_gap")).when(F.col("class") == "unknown", n == 0).otherwise(F.lit(False))
-    well = well & (F.coalesce("reason", F.lit("")) != "") & (F.size(F.array_distinct("targets")) == n)
-    error = F.when(F.col("version") != 1, "unsupported-call-evidence-version").when(F.col("now").isNull(), "missing-node").when(F.col("now") != F.col("source_fingerprint"), "stale-call-evidence").when(~well, "invalid-call-claim")
-    return c.withColumn("error", error).drop("now")
+    n, gap = F.size("targets"), F.coalesce("coverage_gap", F.lit(False))
+    well = F.when(F.col("class") == "must", (n == 1) & ~gap).when(F.col("class") == "may", (n >= 1) & ~gap).when(F.col("class") == "unknown", n == 0).otherwise(F.lit(False))
+    well = well & (F.coalesce("reason", F.lit("")) != "") & (F.size(F.array_distinct("targets")) == n) & F.coalesce(F.col("site.start_byte") <= F.col("site.end_byte"), F.lit(True))
+    empty = F.col("class").isNull() & (F.coalesce(n, F.lit(0)) <= 0)
+    way = F.when(F.col("version") != 1, 0).when(F.col("now").isNull(), 1).when(F.col("now") != F.col("source_fingerprint"), 2).when(~F.coalesce(well, F.lit(False)) & ~empty, 3)
+    ways = c.select("caller", way.alias("way")).where("way is not null")
+    targets = g.claims.select("caller", F.explode("targets").alias("target")).join(g.nodes.select(F.col("id").alias("target")), "target", "left_anti")
+    ways = ways.union(targets.select("caller", F.lit(3))).groupBy("caller").agg(F.min("way").alias("way"))
+    error = F.coalesce(*[F.when(F.col("way") == k, F.lit(x)) for k, x in enumerate(FAILS)])
+    return g.claims.join(ways, "caller", "left").withColumn("error", error).drop("way")
 
 
 def evidence(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(steps, boundaries): (at, to, class) from called to caller, and (caller, site, reason, gap) of what is unresolved.
+    """(steps, boundaries): (at, to, rank) from called to caller, and (caller, site, reason, gap) of what is unresolved.
 
-    An edge that no valid claim of must or may stands for is unknown and a boundary.
+    A function or module without evidence is a boundary; so is an edge that no
+    valid claim of must or may stands for, and it is unknown.
     """
-    c = checked(g)
+    c = materialize(checked(g), "checked")
     good = c.where("error is null")
     sure = good.where("class <> 'unknown'").select("caller", F.explode("targets").alias("target"), "class")
     # the strongest word on a pair wins
     sure = sure.groupBy("caller", "target").agg(F.min(F.when(F.col("class") == "must", 0).otherwise(1)).alias("rank"))
     plain = g.edges.where(propagates(F.col("kind"))).join(sure, (F.col("src") == F.col("caller")) & (F.col("dst") == F.col("target")), "left_anti")
     steps = sure.select(F.col("target").alias("at"), F.col("caller").alias("to"), "rank").union(plain.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(2)).distinct())
-    none = F.lit(None).cast("long")
-    out = good.where("class = 'unknown'").select("caller", F.col("site.start_byte").alias("site"), "reason", F.col("coverage_gap").alias("gap"))
-    out = out.union(c.where("error is not null").select("caller", none, F.col("error"), F.lit(False)))
-    out = out.union(plain.select("src", none, F.concat(F.lit("uncertified-"), "kind", F.lit("-edge")), F.lit(False)))
+    holders = g.nodes.select(F.col("id").alias("caller"), "kind", F.col("span.start_byte").alias("at_site"))
+    out = good.where("class = 'unknown'").select("caller", F.col("site.start_byte").alias("site"), "reason", F.coalesce("coverage_gap", F.lit(False)).alias("gap"))
+    # of each function and module one: why its evidence is none
+    callable_ = holders.where("kind in ('Function', 'Module')")
+    held = c.groupBy("caller").agg(F.max("error").alias("error"))
+    bare = callable_.join(held.withColumn("has", F.lit(True)), "caller", "left").where("has is null or error is not null")
+    out = out.union(bare.select("caller", "at_site", F.coalesce("error", F.lit("missing-call-evidence")), F.lit(True)))
+    edges = plain.select(F.col("src").alias("caller"), "kind").distinct().withColumnRenamed("kind", "edge_kind").join(holders, "caller")
+    out = out.union(edges.select("caller", "at_site", F.concat(F.lit("uncertified-"), "edge_kind", F.lit("-edge")), F.lit(True)))
     return steps, out.distinct()
 
 
@@ -55,8 +73,9 @@ def classified_impact(g: Graph, origins: DataFrame) -> tuple[DataFrame, DataFram
     """(classes, boundaries): (node, class) of what the origins (id) reach, and what is unresolved.
 
     A path is as weak as its weakest step, a node as strong as its best path:
-    three searches over growing sets of steps. Any boundary makes every function
-    that is not reached unknown. No origins: nothing, and no boundaries.
+    three searches over growing sets of steps, each from what the last one
+    reached. Any boundary makes every function that is not reached unknown. No
+    origins: nothing, and no boundaries.
     """
     if not origins.limit(1).count():
         spark = g.nodes.sparkSession
@@ -66,14 +85,15 @@ def classified_impact(g: Graph, origins: DataFrame) -> tuple[DataFrame, DataFram
     ids = g.nodes.select(F.col("id").alias("have"), F.col("kind").alias("have_kind"))
     own = origins.select("id").distinct().join(ids, F.col("id") == F.col("have"), "left")
     none = F.lit(None).cast("long")
-    more = own.where("have is null").select(F.col("id").alias("caller"), none.alias("site"), F.lit("missing-node").alias("reason"), F.lit(False).alias("gap"))
+    more = own.where("have is null").select(F.col("id").alias("caller"), none.alias("site"), F.lit("missing-node").alias("reason"), F.lit(True).alias("gap"))
     more = more.union(own.where("have_kind = 'Module'").select("id", none, F.lit("module-origin-has-no-function"), F.lit(True)))
     boundaries = materialize(boundaries.union(more).distinct(), "boundaries")
-    seeds = own.where("have is not null").select(F.lit(0).cast("long").alias("origin"), F.col("id").alias("node"))
-    rows = None
+    origin = F.lit(0).cast("long").alias("origin")
+    found = own.where("have is not null").select(origin, F.col("id").alias("node"))
+    rows = found.select("node", F.lit(0).alias("rank"))
     for rank in range(3):
-        found = reach(steps.where(F.col("rank") <= rank).select("at", "to").distinct(), seeds).select("node", F.lit(rank).alias("rank"))
-        rows = found if rows is None else rows.union(found)
+        found = reach(steps.where(F.col("rank") <= rank).select("at", "to").distinct(), found).select("origin", "node")
+        rows = rows.union(found.select("node", F.lit(rank)))
     if boundaries.limit(1).count():
         rows = rows.union(g.nodes.where("kind = 'Function'").select("id", F.lit(2)))
     best = rows.groupBy("node").agg(F.min("rank").alias("rank"))
@@ -89,12 +109,12 @@ def histogram(boundaries: DataFrame) -> DataFrame:
 
 
 def listed(df: DataFrame, by: list[str], most: int = MOST_LISTED) -> DataFrame:
-    """The first rows by an order, with the count of all and whether some are left out."""
+    """The first rows by an order, with the count of all and whether some are left out. Only the rows that are listed are ever numbered."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(F.lit(1))
-    out = df.withColumn("n_all", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
-    return out.where(F.col("rank") <= most).withColumn("truncated", F.col("n_all") > most)
+    n = df.agg(F.count(F.lit(1)).alias("n_all"))
+    first = df.orderBy(*by).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    return first.join(F.broadcast(n), F.lit(True)).select(*df.columns, "n_all", "rank", (F.col("n_all") > most).alias("truncated"))
 
 
 def selected_tests(g: Graph, origins: DataFrame, removed: DataFrame | None = None) -> DataFrame:

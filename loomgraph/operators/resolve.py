@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.idents import last_segment, module_of
@@ -27,36 +27,74 @@ def ladder(candidates: DataFrame, ref: str, tier: str, value: str) -> DataFrame:
     return each.groupBy(ref).agg(F.min_by(value, tier).alias(value), F.min(tier).alias(tier))
 
 
-def select_candidates(refs: DataFrame, functions: DataFrame) -> DataFrame:
-    """(ref, id, tier) for refs (ref, caller_path, callee, qualifier, receiver_type, qualifier_owner_fallback, shadowed_by_local).
+#: Letters and digits that a hint needs to be evidence.
+HINT = 3
+
+
+def symbol(text: Column) -> Column:
+    """ASCII letters and digits in lower case: how hints and owners are compared."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
+
+
+def hint_tail(text: Column) -> Column:
+    """The last part of a qualifier or receiver type that isn't empty."""
+    return F.btrim(F.regexp_extract(text, r"([^.:]*)[.:]*$", 1))
 
-    functions: (id, path, name). A shadowed bare name has none. self, Self and
-    cls mean the caller's owner. Other qualifiers need a receiver type or the
-    fallback: an exact owner path, else an owner of that last segment, else one
-    that ends so. A bare name: the module's own, else one in the module, else
-    the only one of all.
+
+def owner_tail(owner: Column) -> Column:
+    """An owner's last segment without generic parameters, as a symbol."""
+    return symbol(F.substring_index(last_segment(owner), "<", 1))
+
+
+def candidate_index(functions: DataFrame) -> DataFrame:
+    """(by, name, key, id): what a name and a key of each kind stand for, where it is one function.
+
+    by: o, the owner; t, the owner's tail; s, an ending of the tail; m, the
+    module, of its own functions; w, the module, of all in it; n, no key.
+    Functions of one key are counted before anything is joined, so a name that
+    many functions have costs its references nothing.
     """
-    f = functions.select("id", "name", F.col("path").alias("f_path"), module_of(F.col("path")).alias("owner"))
-    r = refs.withColumn("caller_owner", module_of(F.col("caller_path")))
-    both = r.join(f, F.col("callee") == F.col("name"))
-    bare = F.col("qualifier").isNull()
-    hint = F.coalesce("receiver_type", "qualifier")
-    tail = last_segment(F.col("owner"))
-    mine = last_segment(F.col("qualifier")).isin("self", "Self", "cls")
-    typed = ~bare & ~mine & (F.col("receiver_type").isNotNull() | F.coalesce("qualifier_owner_fallback", F.lit(False)))
-    tier = (
-        F.when(bare & F.coalesce("shadowed_by_local", F.lit(False)), F.lit(None).cast("int"))
-        .when(~bare & mine, F.when(F.col("owner") == F.col("caller_owner"), 0))
-        .when(typed & F.contains(hint, F.lit("::")), F.when(F.col("owner") == hint, 0))
-        .when(typed, F.when(tail == hint, 1).when(F.endswith(tail, hint), 2))
-        .when(bare, F.when(F.col("owner") == F.col("caller_owner"), 3).when(F.startswith("owner", F.concat("caller_owner", F.lit("::"))), 4).otherwise(5))
+    module = F.col("module") if "module" in functions.columns else module_of(F.col("path"))
+    f = functions.select("id", "name", module_of(F.col("path")).alias("owner"), F.coalesce(module, module_of(F.col("path"))).alias("module"))
+    f = f.withColumn("tail", owner_tail(F.col("owner")))
+    key = lambda by, value: F.struct(F.lit(by).alias("by"), value.alias("key"))
+    endings = F.transform(F.sequence(F.lit(HINT), F.greatest(F.char_length("tail"), F.lit(HINT))), lambda n: key("s", F.right("tail", n)))
+    own = F.when(F.col("owner") == F.col("module"), key("m", F.col("module")))
+    keys = F.concat(F.array(key("o", F.col("owner")), key("t", F.col("tail")), own, key("w", F.col("module")), key("n", F.lit(""))), F.when(F.char_length("tail") >= HINT, endings).otherwise(F.array()))
+    rows = f.select("id", "name", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("k.by", "name", "k.key", "id")
+    return rows.groupBy("by", "name", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+
+
+def select_candidates(refs: DataFrame, functions: DataFrame) -> DataFrame:
+    """(ref, id, tier) for refs (ref, caller_path, callee, qualifier, receiver_type, qualifier_owner_fallback, shadowed_by_local[, caller_module]).
+
+    functions: (id, path, name[, module]); without modules an owner is its own.
+    A shadowed bare name has none. self, Self and cls mean the caller's owner.
+    Other qualifiers need a receiver type or the fallback: the owner of that
+    path, if it is one; else the owner of that last part, else one that ends
+    so. A bare name: the caller's module's own, else one in the module, else
+    the only one of all. Each tier counts only with a single candidate.
+    """
+    module = F.col("caller_module") if "caller_module" in refs.columns else F.lit(None).cast("string")
+    owner = module_of(F.col("caller_path"))
+    bare, hint = F.col("qualifier").isNull(), F.coalesce("receiver_type", "qualifier")
+    mine = hint_tail(F.col("qualifier")).isin("self", "Self", "cls")
+    typed = F.col("receiver_type").isNotNull() | F.coalesce("qualifier_owner_fallback", F.lit(False))
+    short = symbol(hint_tail(hint))
+    useful = (F.char_length(short) >= HINT) & ~short.isin("self", "cls")
+    place = F.coalesce(module, owner)
+    key = lambda tier, by, value: F.struct(F.lit(tier).alias("tier"), F.lit(by).alias("by"), value.alias("key"))
+    none = F.array().cast("array<struct<tier:int,by:string,key:string>>")
+    keys = (
+        F.when(bare & F.coalesce("shadowed_by_local", F.lit(False)), none)
+        .when(bare, F.array(key(3, "m", place), key(4, "w", place), key(5, "n", F.lit(""))))
+        .when(mine, F.array(key(0, "o", owner)))
+        .when(typed, F.concat(F.when(F.contains(hint, F.lit("::")), F.array(key(0, "o", hint))).otherwise(none), F.when(useful, F.array(key(1, "t", short), key(2, "s", short))).otherwise(none)))
+        .otherwise(none)
     )
-    both = both.withColumn("tier", tier).where("tier is not null")
-    # a wider tier also holds what the narrower ones hold
-    wide = both.where("tier in (3, 4)").withColumn("tier", F.explode(F.when(F.col("tier") == 3, F.array(F.lit(3), F.lit(4), F.lit(5))).otherwise(F.array(F.lit(4), F.lit(5)))))
-    more = both.where("tier = 1").withColumn("tier", F.explode(F.array(F.lit(1), F.lit(2))))
-    rest = both.where("tier not in (1, 3, 4)")
-    return ladder(wide.union(more).union(rest), "ref", "tier", "id")
+    asked = refs.select("ref", F.col("callee").alias("name"), F.explode(keys).alias("k")).select("ref", "name", "k.tier", "k.by", "k.key")
+    found = asked.join(candidate_index(functions), ["by", "name", "key"])
+    return found.groupBy("ref").agg(F.min_by("id", "tier").alias("id"), F.min("tier").alias("tier"))
 
 
 def resolve_calls(g: Graph, refs: DataFrame) -> DataFrame:
@@ -73,20 +111,40 @@ def resolve_calls(g: Graph, refs: DataFrame) -> DataFrame:
     return kept.select(*new.columns).unionByName(new.join(kept, ["src", "dst"], "left_anti").select(*new.columns))
 
 
-def reexports(imports: DataFrame, most: int = 16) -> DataFrame:
-    """(name, target) of re-exports (name, target) followed to their end: chains of at most so many hops, none in cycles, none where a hop has several targets."""
-    step = imports.groupBy("name").agg(only("target").alias("target")).where("target is not null")
-    step = materialize(step, "reexports")
-    chain = step.select("name", "target", F.array("name", "target").alias("path"))
+#: Names that are looked up from one on: a chain that has not ended by then has no end.
+LOOKUPS = 16
+
+
+def follow(starts: DataFrame, imports: DataFrame, most: int = LOOKUPS) -> DataFrame:
+    """(start, target) of starts (start) followed through re-exports (name, target) to their end.
+
+    A name that is not re-exported itself goes on by its module's wildcard
+    (module::*), if there is one. None in cycles, none where a name or wildcard
+    has several targets, none beyond the number of lookups.
+    """
+    step = materialize(imports.groupBy("name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")), "reexports")
+    named = step.select(F.col("name").alias("k"), F.col("n").alias("k_n"), F.col("target").alias("k_to"))
+    wild = step.where(F.endswith("name", F.lit("::*"))).select(F.col("name").alias("w"), F.col("n").alias("w_n"), F.col("target").alias("w_to"))
+    at = starts.select("start", F.col("start").alias("at"), F.array().cast("array<string>").alias("seen")).distinct()
+    ended = None
     for _ in range(most):
-        nxt = chain.join(step.select(F.col("name").alias("n"), F.col("target").alias("t")), F.col("target") == F.col("n"), "left")
-        loops = F.array_contains("path", F.col("t"))
-        nxt = nxt.where(~F.coalesce(loops, F.lit(False))).select("name", F.coalesce("t", "target").alias("target"), F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", F.array("t"))).alias("path"), F.col("t").isNotNull().alias("moved"))
-        nxt = materialize(nxt, "chain")
-        chain = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
+        both = at.where(~F.array_contains("seen", F.col("at"))).join(named, F.col("at") == F.col("k"), "left")
+        star = F.when(F.col("k").isNull() & F.contains("at", F.lit("::")), F.concat(module_of(F.col("at")), F.lit("::*")))
+        both = both.withColumn("star", star).join(wild, F.col("star") == F.col("w"), "left")
+        nxt = F.when(F.col("k_n") == 1, F.col("k_to")).when(F.col("k").isNull() & (F.col("w_n") == 1), F.concat("w_to", F.lit("::"), last_segment(F.col("at"))))
+        both = materialize(both.select("start", "at", "seen", nxt.alias("nxt"), (F.col("k").isNull() & F.col("w").isNull()).alias("done")), "chain")
+        here = both.where("done").select("start", F.col("at").alias("target"))
+        ended = here if ended is None else ended.union(here)
+        at = both.where("nxt is not null").select("start", F.col("nxt").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
+        if not at.limit(1).count():
             break
-    return chain.select("name", "target")
+    return ended
+
+
+def reexports(imports: DataFrame, most: int = LOOKUPS) -> DataFrame:
+    """(name, target) of all names that are re-exported (name, target), followed to their end."""
+    starts = imports.where(~F.endswith("name", F.lit("::*"))).select(F.col("name").alias("start"))
+    return follow(starts, imports, most).select(F.col("start").alias("name"), "target")
 
 
 def aliases(calls: DataFrame, imports: DataFrame) -> DataFrame:

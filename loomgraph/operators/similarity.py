@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.idents import tokens
+from ..functions.idents import token_pairs, tokens
 from ..graph import Graph
 from ..lineage import materialize
 from .traverse import is_test
@@ -17,8 +17,9 @@ BOOST, TOP, FLOOR = 3.0, 8, 0.5
 
 def token_rows(nodes: DataFrame) -> DataFrame:
     """(id, token, named) of nodes (id, name, path, source): named where the name or path has it."""
-    n = nodes.select("id", tokens(F.concat_ws(" ", "name", "path")).alias("n"), tokens(F.col("source")).alias("s"))
-    return n.select("id", F.explode(F.array_union("n", "s")).alias("token"), "n").select("id", "token", F.array_contains("n", F.col("token")).alias("named"))
+    named = token_pairs(nodes, ["id"], F.concat_ws(" ", "name", "path")).withColumn("named", F.lit(True))
+    rows = named.union(token_pairs(nodes, ["id"], F.col("source")).withColumn("named", F.lit(False)))
+    return rows.groupBy("id", "token").agg(F.max("named").alias("named"))
 
 
 def idf(rows: DataFrame, n: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = TOP, floor: float | No
     """
     rows = materialize(token_rows(nodes), "tokens")
     w = materialize(idf(rows, nodes.agg(F.count(F.lit(1)).alias("n"))), "idf").select("token", "weight")
-    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    q = token_pairs(queries, ["query"], F.col("text"))
     q = q.join(w, "token", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("q_norm"))
     boost = F.when(F.col("named"), BOOST).otherwise(1.0)

@@ -12,31 +12,42 @@ from pyspark.sql import functions as F
 
 from ..functions.idents import hex_id
 from ..graph import Graph
-from ..lineage import new_dir
+from ..lineage import materialize, new_dir
 from ..schema import propagates
 
-MOST_ROUNDS = 10_000
+#: Rounds after which a search that has not ended is an error; rounds whose files become one table.
+MOST_ROUNDS, COMPACT = 10_000, 8
 
 
-def reach(steps: DataFrame, seeds: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """(origin, node, distance) from seeds (origin, node) along steps (at, to): least number of steps, seeds at 0."""
+def reach(steps: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(origin, node, distance) from seeds (origin, node) along steps (at, to): least number of steps, seeds at 0.
+
+    most: rounds that are asked for; without it the search ends where nothing new is found.
+    """
     spark = seeds.sparkSession
     base = new_dir(spark, "reach")
     schema = "origin long, node long, distance int"
     part = lambda d: f"{base}/round={d}"
+    read = lambda paths: spark.read.schema(schema).parquet(*paths)
     seeds.select("origin", "node", F.lit(0).alias("distance")).distinct().write.parquet(part(0))
-    steps = steps.persist()  # every round reads them; what a lost executor held is derived again
-    distance = 0
-    while distance < most:
-        front = spark.read.schema(schema).parquet(part(distance))
+    steps = materialize(steps.select("at", "to"), "steps")  # every round reads them
+    files, distance = [part(0)], 0
+    while most is None or distance < most:
+        front = read([part(distance)])
         if not front.limit(1).count():
             break
-        seen = spark.read.schema(schema).parquet(*[part(d) for d in range(distance + 1)])
+        if distance >= MOST_ROUNDS:
+            raise RuntimeError(f"the search did not end in {MOST_ROUNDS} rounds")
+        seen = read(files)
         distance += 1
         new = front.join(steps, F.col("node") == F.col("at")).select("origin", F.col("to").alias("node")).distinct()
         new.join(seen, ["origin", "node"], "left_anti").select("origin", "node", F.lit(distance).alias("distance")).write.parquet(part(distance))
-    steps.unpersist()
-    return spark.read.schema(schema).parquet(*[part(d) for d in range(distance + 1)])
+        files.append(part(distance))
+        if distance % COMPACT == 0:  # few files to list and open, however deep the graph
+            whole = f"{base}/upto={distance}"
+            read(files).write.parquet(whole)
+            files = [whole]
+    return read(files)
 
 
 def impact_steps(g: Graph) -> DataFrame:
@@ -71,7 +82,7 @@ def impact(g: Graph, origins: DataFrame, routed: bool = False) -> DataFrame:
     r = routes(g)
     steps = steps.join(r, (F.col("to") == F.col("caller")) & (F.col("at_path") == F.col("path")), "left").select("at", "to", "entry", F.coalesce("params", F.lit(False)).alias("params"), "guard")
     seeds.select("origin", "node", F.lit(None).cast("string").alias("context"), F.lit(0).alias("distance")).write.parquet(part(0))
-    steps = steps.persist()
+    steps = materialize(steps, "routed")
     d = 0
     while True:
         front = spark.read.schema(schema).parquet(part(d))
@@ -84,7 +95,6 @@ def impact(g: Graph, origins: DataFrame, routed: bool = False) -> DataFrame:
         old = seen.select(F.col("origin").alias("o"), F.col("node").alias("n"), F.col("context").alias("c"))
         new = new.join(old, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("n")) & F.col("context").eqNullSafe(F.col("c")), "left_anti")
         new.select("origin", "node", "context", F.lit(d).alias("distance")).write.parquet(part(d))
-    steps.unpersist()
     out = spark.read.schema(schema).parquet(*[part(k) for k in range(d + 1)])
     return out.groupBy("origin", "node").agg(F.min("distance").alias("distance")).where("node <> origin")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import graph as G
-from ..functions.idents import STOPWORDS, hex_id, language, module_of, node_id, tokens
+from ..functions.idents import STOPWORDS, hex_id, language, module_of, node_id, token_pairs, tokens
 from ..lineage import materialize, new_dir
 from ..operators import ask, checks, classify, crdt, diff, lookup, measures, resolve, review, similarity, spans, traverse
 from ..streaming import watch
@@ -243,7 +243,8 @@ CLAIMS = """claims AS (SELECT 'crate::orders::o' || l_orderkey AS caller, 'crate
 sure AS (SELECT caller, target, min(CASE flag WHEN 'A' THEN 0 ELSE 1 END) AS rank FROM claims WHERE flag <> 'R' GROUP BY 1, 2),
 plain AS (SELECT src, dst, kind FROM edges ANTI JOIN sure ON src = caller AND dst = target WHERE kind IN ('Calls', 'DataFlow', 'Impacts')),
 steps AS (SELECT target AS here, caller AS nxt, rank FROM sure UNION ALL SELECT DISTINCT dst, src, 2 FROM plain),
-bounds AS (SELECT DISTINCT caller, site, 'unproven-call' AS reason, gap FROM claims WHERE flag = 'R' UNION SELECT src, NULL, 'uncertified-' || kind || '-edge', false FROM plain),
+bounds AS (SELECT DISTINCT caller, site, 'unproven-call' AS reason, gap FROM claims WHERE flag = 'R' UNION SELECT src, NULL, 'uncertified-' || kind || '-edge', true FROM plain
+ UNION SELECT path, NULL, 'missing-call-evidence', true FROM nodes WHERE kind = 'Function' AND starts_with(file, 'supply/')),
 must AS (SELECT here, nxt FROM steps WHERE rank = 0), may AS (SELECT here, nxt FROM steps WHERE rank <= 1), any_step AS (SELECT here, nxt FROM steps)"""
 SEEDS = "SELECT 'crate::parts::p' || p_partkey AS node, 0 AS origin FROM part WHERE p_partkey BETWEEN 1 AND 3"
 CLASSED = star_sql(
@@ -273,7 +274,7 @@ def classified_tests(spark, sf):
     return with_paths(classify.classified_tests(g, classes), g, node="path").select("path", "class")
 
 
-@query(CLASSED + "SELECT CASE WHEN starts_with(reason, 'uncertified-') THEN 'missing_or_invalid_evidence' WHEN gap THEN 'coverage_gap' ELSE 'unresolved_call_site' END AS category, count(*) AS n FROM bounds GROUP BY 1")
+@query(CLASSED + "SELECT CASE WHEN starts_with(reason, 'uncertified-') OR reason = 'missing-call-evidence' THEN 'missing_or_invalid_evidence' WHEN gap THEN 'coverage_gap' ELSE 'unresolved_call_site' END AS category, count(*) AS n FROM bounds GROUP BY 1")
 def boundary_histogram(spark, sf):
     return classify.histogram(classified(spark, sf)[2])
 
@@ -433,13 +434,13 @@ def tokens_sql(name: str, source: str) -> str:
 
 @query(f"WITH {tokens_sql('t', 'SELECT doc_id AS id, text FROM documents')} SELECT id, token FROM t")
 def tokenize(spark, sf):
-    return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(tokens(F.col("text"))).alias("token"))
+    return token_pairs(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), ["id"], F.col("text"))
 
 
 @query(f"WITH {tokens_sql('t', 'SELECT doc_id AS id, text FROM documents')} SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1, 6) AS weight FROM t GROUP BY 1")
 def idf(spark, sf):
     d = load(spark, sf, "documents")
-    rows = d.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    rows = token_pairs(d, ["doc_id"], F.col("text"))
     return similarity.idf(rows, d.agg(F.count(F.lit(1)).alias("n"))).select("token", "df", F.round("weight", 6).alias("weight"))
 
 
@@ -546,11 +547,77 @@ def resolve_calls_ladder(spark, sf):
     return resolve.select_candidates(refs, f).join(f.select("id", "path"), "id").select("ref", "path")
 
 
-@query("WITH RECURSIVE c AS (SELECT p_partkey AS name, p_partkey // 3 AS target FROM part WHERE p_partkey > 0 UNION ALL SELECT name, target // 3 FROM c WHERE target > 0) SELECT 'm' || name AS name, 'm0' AS target FROM c WHERE target = 0")
+REEXPORTS = """e AS (SELECT 'm' || p_partkey AS name, 'm' || (p_partkey // 3) AS target FROM part WHERE p_partkey > 0
+ UNION SELECT 'l' || p_partkey, 'l' || (p_partkey - 1) FROM part WHERE p_partkey BETWEEN 1 AND 40
+ UNION SELECT 'a' || p_partkey, 'm' || p_partkey FROM part WHERE p_partkey % 7 = 0
+ UNION SELECT 'a' || p_partkey, 'm' || (p_partkey + 1) FROM part WHERE p_partkey % 7 = 0
+ UNION SELECT 'b' || p_partkey, 'a' || p_partkey FROM part WHERE p_partkey % 7 IN (0, 1)
+ UNION SELECT 'c' || p_partkey, 'c' || xor(p_partkey, 1) FROM part WHERE p_partkey % 5 = 0
+ UNION SELECT 'c' || xor(p_partkey, 1), 'c' || p_partkey FROM part WHERE p_partkey % 10 = 0
+ UNION SELECT 'd' || p_partkey, 'crate::w' || (p_partkey % 5) || '::s' || p_partkey FROM part
+ UNION SELECT 'crate::w' || (p_partkey % 4) || '::*', 'crate::x' || (p_partkey % 4) FROM part
+ UNION SELECT 'crate::w2::*', 'crate::y' FROM part)"""
+
+
+@query(
+    f"""WITH RECURSIVE {REEXPORTS}, u AS (SELECT name, count(DISTINCT target) AS n, min(target) AS t FROM e GROUP BY 1),
+f AS (SELECT DISTINCT name, name AS cur, []::VARCHAR[] AS seen, 0 AS i, 'go' AS state FROM e WHERE NOT ends_with(name, '::*')
+ UNION ALL SELECT f.name, CASE WHEN u.n = 1 THEN u.t WHEN u.name IS NULL AND w.n = 1 THEN w.t || '::' || regexp_extract(cur, '[^:]+$') ELSE cur END, list_append(seen, cur), i + 1,
+  CASE WHEN coalesce(u.n, w.n, 0) > 1 OR list_contains(seen, cur) THEN 'none' WHEN u.name IS NULL AND w.name IS NULL THEN 'done' ELSE 'go' END
+ FROM f LEFT JOIN u ON u.name = cur LEFT JOIN u w ON w.name = CASE WHEN contains(cur, '::') THEN regexp_replace(cur, '::[^:]+$', '::*') END WHERE state = 'go' AND i < 16)
+SELECT name, cur AS target FROM f WHERE state = 'done'"""
+)
 def reexport_chain(spark, sf):
-    m = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    k = F.col("p_partkey")
-    return resolve.reexports(load(spark, sf, "part").where("p_partkey > 0").select(m(k).alias("name"), m(F.floor(k / 3)).alias("target")))
+    """Clean chains, long ones, names with two targets, cycles, and wildcards with one target and with two."""
+    p, k = load(spark, sf, "part"), F.col("p_partkey")
+    m = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    of = lambda where, name, target: p.where(where).select(name.alias("name"), target.alias("target"))
+    odd = k.bitwiseXOR(F.lit(1))
+    rows = of("p_partkey > 0", m("m", k), m("m", F.floor(k / 3)))
+    rows = rows.union(of("p_partkey between 1 and 40", m("l", k), m("l", k - 1)))
+    rows = rows.union(of("p_partkey % 7 = 0", m("a", k), m("m", k))).union(of("p_partkey % 7 = 0", m("a", k), m("m", k + 1)))
+    rows = rows.union(of("p_partkey % 7 in (0, 1)", m("b", k), m("a", k)))
+    rows = rows.union(of("p_partkey % 5 = 0", m("c", k), m("c", odd))).union(of("p_partkey % 10 = 0", m("c", odd), m("c", k)))
+    rows = rows.union(of("true", m("d", k), F.concat(m("crate::w", k % 5), m("::s", k))))
+    rows = rows.union(of("true", F.concat(m("crate::w", k % 4), F.lit("::*")), m("crate::x", k % 4))).union(of("true", F.lit("crate::w2::*"), F.lit("crate::y")))
+    return resolve.reexports(rows.distinct())
+
+
+#: Methods of types and functions of modules, and references of every kind to them.
+TIERS = """f AS (SELECT 'crate::n' || s_nationkey AS module, 'crate::n' || s_nationkey || '::' || CASE s_suppkey % 3 WHEN 0 THEN 'Timeline' WHEN 1 THEN 'PyTimeline<T>' ELSE 'Net_Pipe' END AS owner, 'f' || (s_suppkey % 40) AS name, 's' || s_suppkey AS id FROM supplier
+ UNION ALL SELECT 'crate::n' || c_nationkey, 'crate::n' || c_nationkey, 'f' || (c_custkey % 60), 'c' || c_custkey FROM customer),
+g AS (SELECT *, lower(regexp_replace(split_part(regexp_extract(owner, '[^:]+$'), '<', 1), '[^A-Za-z0-9]', '', 'g')) AS tail FROM f),
+r AS (SELECT o_orderkey AS ref, 'f' || (o_orderkey % 80) AS callee, 'crate::n' || (o_custkey % 25) AS module, o_orderkey // 7 % 8 AS kind FROM orders),
+h AS (SELECT *, CASE kind WHEN 3 THEN 'Timeline' WHEN 4 THEN 'my.net_pipe' WHEN 5 THEN module || '::Timeline' WHEN 6 THEN 'crate::gone::Net_Pipe' WHEN 7 THEN 'ab' END AS hint, CASE kind WHEN 3 THEN 'timeline' WHEN 4 THEN 'netpipe' WHEN 5 THEN 'timeline' WHEN 6 THEN 'netpipe' END AS short FROM r),
+c AS (SELECT ref, id, unnest(CASE WHEN kind = 0 THEN list_concat(CASE WHEN g.module = h.module AND owner = g.module THEN [3] ELSE [] END, CASE WHEN g.module = h.module THEN [4] ELSE [] END, [5])
+ WHEN kind = 2 THEN CASE WHEN owner = h.module || '::Timeline' THEN [0] ELSE [] END
+ WHEN kind IN (3, 4, 5, 6) THEN list_concat(CASE WHEN contains(hint, '::') AND owner = hint THEN [0] ELSE [] END, CASE WHEN tail = short THEN [1] ELSE [] END, CASE WHEN ends_with(tail, short) THEN [2] ELSE [] END) ELSE [] END) AS tier FROM h JOIN g ON callee = name),
+n AS (SELECT ref, tier, min(id) AS id FROM c GROUP BY 1, 2 HAVING count(*) = 1)"""
+
+
+@query(f"WITH {TIERS} SELECT ref, min(tier) AS tier, arg_min(id, tier) AS target FROM n GROUP BY 1")
+def resolve_tiers(spark, sf):
+    """Each tier of the ladder: bare in a method, shadowed, self, by type, by an ending, by path, by a path that is not there, by too short a hint."""
+    s, c, o = load(spark, sf, "supplier"), load(spark, sf, "customer"), load(spark, sf, "orders")
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    kind = F.element_at(F.array(F.lit("Timeline"), F.lit("PyTimeline<T>"), F.lit("Net_Pipe")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    module = lambda k: t("crate::n", F.col(k))
+    f = s.select(module("s_nationkey").alias("module"), F.concat(module("s_nationkey"), F.lit("::"), kind).alias("owner"), t("f", F.col("s_suppkey") % 40).alias("name"), t("s", F.col("s_suppkey")).alias("key"))
+    f = f.union(c.select(module("c_nationkey"), module("c_nationkey"), t("f", F.col("c_custkey") % 60), t("c", F.col("c_custkey"))))
+    f = f.withColumn("path", F.concat_ws("::", "owner", "name")).withColumn("id", F.xxhash64("key"))
+    here, k = t("crate::n", F.col("o_custkey") % 25), F.floor(F.col("o_orderkey") / 7) % 8
+    none = F.lit(None).cast("string")
+    refs = o.select(
+        F.col("o_orderkey").alias("ref"),
+        F.concat(here, F.lit("::Timeline::m")).alias("caller_path"),
+        here.alias("caller_module"),
+        t("f", F.col("o_orderkey") % 80).alias("callee"),
+        F.when(k == 2, "self").when(k == 4, "my.net_pipe").when(k == 7, "ab").when(k > 2, "x").otherwise(none).alias("qualifier"),
+        F.when(k == 3, "Timeline").when(k == 5, F.concat(here, F.lit("::Timeline"))).when(k == 6, "crate::gone::Net_Pipe").otherwise(none).alias("receiver_type"),
+        k.isin(4, 7).alias("qualifier_owner_fallback"),
+        (k == 1).alias("shadowed_by_local"),
+    )
+    return resolve.select_candidates(refs, f).join(f.select("id", F.col("key").alias("target")), "id").select("ref", "tier", "target")
 
 
 @query("SELECT p_name, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS type FROM part GROUP BY 1")

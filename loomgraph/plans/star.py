@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.idents import node_id
 from ..graph import Graph
@@ -67,8 +68,6 @@ def edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> D
     one = F.lit(1.0)
 
     def of(df, src, dst, kind, weight=one):
-        # hashing paths costs more than moving them: few bytes must not mean few tasks
-        df = df.repartition(spark.sparkContext.defaultParallelism)
         return df.select(node_id(src).alias("src"), node_id(dst).alias("dst"), F.lit(kind).alias("kind"), weight.cast("float").alias("weight"))
 
     lines = t("lineitem") if lines is None else lines
@@ -78,24 +77,24 @@ def edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> D
     out = of(home, at(tag("r", "n_regionkey")), F.col("home"), "Contains")
     out = out.union(of(c, F.col("home"), customer, "Contains")).union(of(s, F.col("home"), supplier, "Contains"))
     out = out.union(of(t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")), order_path(), customer, "Calls"))
-    pairs = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    whole = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("all_q"))
-    pairs = pairs.join(whole, F.col("l_orderkey") == F.col("k"))
+    # dealt by order once: both sums and the parts of an order are in the same task
+    pairs = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    pairs = pairs.withColumn("all_q", F.sum("q").over(Window.partitionBy("l_orderkey")))
     out = out.union(of(pairs, order_path("l_orderkey"), part_path("l_partkey"), "Calls", F.col("q") / F.col("all_q")))
     flows = lines.select("l_partkey", "l_suppkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return out.union(of(flows, part_path("l_partkey"), supplier, "DataFlow"))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim for each line: A is must, N is may, R is unknown and has no target."""
+    """A claim for each line: A is must, N is may, R is unknown and has no target. Customers and regions call nothing; suppliers have no evidence."""
     flag = F.col("l_returnflag")
     cls = F.when(flag == "A", "must").when(flag == "N", "may").otherwise("unknown")
     target = node_id(part_path("l_partkey"))
-    source = load(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("source"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("source"))
     n = F.col("l_linenumber").cast("long")
     site = F.struct(n.alias("start_byte"), (n + 1).alias("end_byte"), F.col("l_linenumber").alias("start_row"), F.lit(0).alias("start_col"))
-    lines = load(spark, sf_dir, "lineitem").join(source, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(
+    lines = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    own = lines.select(
         node_id(order_path("l_orderkey")).alias("caller"),
         F.lit(1).alias("version"),
         node_id(F.col("source")).alias("source_fingerprint"),
@@ -106,6 +105,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "R", "unproven-call").otherwise("proven-by-flag").alias("reason"),
         ((flag == "R") & (F.col("l_linestatus") == "O")).alias("coverage_gap"),
     )
+    idle = nodes(spark, sf_dir).where("kind = 'Module' or startswith(file, 'market/')").select(F.col("path"), "source")
+    idle = idle.union(orders.join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(order_path(), "source"))
+    none = lambda t: F.lit(None).cast(t)
+    idle = idle.select(node_id(F.col("path")), F.lit(1), node_id(F.col("source")), F.array().cast("array<string>"), none(own.schema["site"].dataType), none("string"), F.array().cast("array<bigint>"), none("string"), F.lit(False))
+    return own.union(idle)
 
 
 def star_graph(spark: SparkSession, sf_dir: str, with_claims: bool = False) -> Graph:
