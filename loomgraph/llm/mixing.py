@@ -2,13 +2,14 @@
 
 The words of each source, its documents one after another, are packed into
 blocks of fixed length. The output is a row of slots, in shards of fixed
-length. A stratified draw deals slots to sources: stratum j of the unit
-interval falls to the source whose interval of cumulative target weight holds
-it, and a pseudorandom permutation says which slot has stratum j. So each
-shard's counts of sources are a multinomial draw, and over all shards a source
-gets its target to within a block. The k-th slot of a source takes block p(k
-mod n) of its n blocks, p a pseudorandom permutation of the source's own, and
-blocks are joined by index.
+length. Every slot draws a source by a hash of its number, with the targets'
+shares as probabilities: so each shard's counts of sources are a multinomial
+draw. Sums of draws stray from the targets by about the square root of their
+number; that much is corrected: of a source with too many slots an evenly
+spread part goes to sources with too few, so that each source has its target to
+within a block. The k-th slot of a source takes block p(k mod n) of its n
+blocks, p a pseudorandom permutation of the source's own, and blocks are joined
+by index.
 
 Everything is a DataFrame expression: no Python runs on executors.
 
@@ -29,8 +30,10 @@ from .common import SPACE_RUN, fresh, let, materialize, words_of
 
 #: Words in a block; slots in an output shard; how often a source may be repeated.
 BLOCK, SHARD, REPEATS = 64, 4096, 3
-#: Rounds of the permutations, and strata that a task expands at a time.
+#: Rounds of the permutations; numbers that a row expands to at most.
 ROUNDS, CHUNK = 8, 65_536
+#: Draws are whole numbers below 2 to the 31, looked up by their first ten bits; shards whose running sums one task makes.
+DRAWN, CELL, RUN = 1 << 31, 1 << 21, 4096
 #: Buckets of a source's documents for the running sum of their sizes: sums run within buckets and over buckets.
 BUCKETS = 4096
 #: Weights of the sources in their order, repeating.
@@ -73,12 +76,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return ranked.select("source", "source_size", "rank", F.when(F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight") >= cap, cap).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sources, taken).
 
     documents: doc_id, source, size, hash (of the text), start, rank, source_size, target;
-    sources: source, source_size, rank, target, blocks, low, high (its strata), slots;
-    taken: rank, block, times; at most a row for each block, none without a slot.
+    sources: source, source_size, rank, target, blocks, slots (of the mix), low and high (its draws), quota (its slots);
+    taken: rank, block, times, shards (of the output that have it, one for each time); at most a row for each block, none without a slot.
     """
     x = F.coalesce(F.col(text), F.lit(""))
     hashed = F.xxhash64(x)
@@ -87,15 +90,14 @@ def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     total = Window.partitionBy(F.lit(1))
     upto = Window.orderBy("rank")
-    slots = F.ceil(F.sum("source_size").over(total) / F.lit(float(block)))
-    share = F.sum("target").over(upto) / F.sum("target").over(total)
-    # the stratum j of n is at (j + 1/2) / n: a source has those from its low to its high
-    edge = F.least(F.ceil(share * slots - 0.5), slots).cast("long")
-    sources = sources.withColumn("slots", slots.cast("long")).withColumn("high", F.when(F.col("slots") > 0, edge).otherwise(F.lit(0)))
-    sources = sources.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0))).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long"))
-    sources = materialize(sources.withColumn("high", F.greatest("low", F.least("high", F.col("low") + REPEATS * F.col("blocks")))), "sources")
-    drawn = slots_of(sources, seed)
-    taken = drawn.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    slots = F.coalesce(F.ceil(F.sum("source_size").over(total) / F.lit(float(block))), F.lit(0)).cast("long")
+    share = F.coalesce(F.sum("target").over(upto) / F.sum("target").over(total), F.lit(0.0))
+    sources = sources.withColumn("slots", slots).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long"))
+    sources = sources.withColumn("high", F.round(share * DRAWN).cast("long")).withColumn("upto", F.ceil(share * F.col("slots") - 0.5).cast("long"))
+    before = lambda c: F.coalesce(F.lag(c).over(upto), F.lit(0))
+    sources = sources.withColumn("low", before("high")).withColumn("quota", F.least(F.col("upto") - before("upto"), REPEATS * F.col("blocks")))
+    sources = materialize(sources.drop("upto"), "sources")
+    taken = slots_of(sources, seed, shard).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list("shard")).alias("shards"))
     bucketed = buckets.withColumn("bucket_start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("inner", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
@@ -104,18 +106,59 @@ def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     return docs, sources, taken
 
 
+def draws(sources: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFrame:
+    """(shard, rank, n): how many slots of each shard drew each source: a multinomial draw a shard, of sources (rank, low, high, slots)."""
+    first = sources.agg(F.max("slots").alias("n")).first()
+    spark = sources.sparkSession
+    slots = spark.range(first["n"] or 0).select(F.floor(F.col("id") / F.lit(shard)).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(DRAWN)).alias("draw"))
+    # a source is in all cells of draws that its interval touches: at most a row for each cell and source more
+    cells = sources.where("high > low").select("rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / F.lit(CELL)), F.floor((F.col("high") - 1) / F.lit(CELL)))).alias("cell"))
+    found = slots.withColumn("cell", F.floor(F.col("draw") / F.lit(CELL))).join(cells, "cell").where("low <= draw and draw < high")
+    return found.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(start: Column, n: Column) -> Column:
+    """Rows of (from, to) that cover start up to start + n in steps: to be exploded in turn, so that no row grows without bound."""
+    last = start + n - 1
+    return F.transform(F.sequence(start, last, F.lit(CHUNK).cast("long")), lambda a: F.struct(a.alias("from"), F.least(a + CHUNK - 1, last).alias("to")))
+
+
 def slots_of(sources: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFrame:
-    """(slot, shard, rank, block): the mix, a row for each slot; its order is the order of slots."""
-    strata = sources.where("high > low").select("rank", "low", "high", "slots", "blocks", F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(CHUNK).cast("long"))).alias("from"))
-    strata = strata.repartition("rank", "from")  # a large source is many chunks, over all tasks
-    strata = strata.select("rank", "low", "slots", "blocks", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("high")) - 1)).alias("stratum"))
-    slot = permuted(F.col("stratum"), F.col("slots"), F.lit(seed))
-    k = F.col("stratum") - F.col("low")
-    return strata.select(slot.alias("slot"), F.floor(slot / F.lit(shard)).alias("shard"), "rank", permuted(k % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("rank"))).alias("block"))
+    """(slot, shard, rank, block): the mix, a row for each slot; its order is the order of slots. Slots that no source has a use for are not there."""
+    drawn = materialize(draws(sources, seed, shard), "draws")
+    # how many slots a source has before each shard: sums within runs of shards, and over runs
+    run = F.floor(F.col("shard") / F.lit(RUN))
+    runs = drawn.groupBy("rank", run.alias("run")).agg(F.sum("n").alias("m"))
+    runs = runs.withColumn("upto", F.sum("m").over(Window.partitionBy("rank").orderBy("run")) - F.col("m")).drop("m")
+    inner = F.sum("n").over(Window.partitionBy("rank", "run").orderBy("shard")) - F.col("n")
+    # where a source's slots are in their shard, before they are shuffled there
+    place = F.sum("n").over(Window.partitionBy("shard").orderBy("rank")) - F.col("n")
+    counts = drawn.withColumn("run", run).withColumn("inner", inner).withColumn("place", place).join(runs, ["rank", "run"]).withColumn("k", F.col("upto") + F.col("inner"))
+    all_ = drawn.groupBy("rank").agg(F.sum("n").alias("got"))
+    more = sources.select("rank", "blocks", "quota", "slots").join(all_, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    more = more.withColumn("extra", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("lack", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
+    by = Window.orderBy("rank")
+    more = more.withColumn("extra_from", F.sum("extra").over(by) - F.col("extra")).withColumn("lack_from", F.sum("lack").over(by) - F.col("lack"))
+    more = materialize(more, "quotas")
+    n = sources.agg(F.max("slots").alias("n")).first()["n"] or 0
+    # few bytes become many rows: tasks by the number of slots
+    tasks = max(1, n >> 22, min(sources.sparkSession.sparkContext.defaultParallelism, n >> 15))
+    rows = counts.select("rank", "shard", "place", "n", "k").repartition(tasks, "rank", "shard").join(more.select("rank", "blocks", "slots", "got", "extra", "extra_from"), "rank")
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("i", F.col("k") + F.col("j"))
+    size = F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard)
+    slot = F.col("shard") * shard + permuted(F.col("place") + F.col("j"), size, F.xxhash64(F.lit(seed), F.lit("slots"), F.col("shard")))
+    # of a source's slots an evenly spread part is too many: the e-th of them is where i * extra / got grows by one
+    rows = rows.select("rank", "shard", slot.alias("slot"), "i", F.expr("(i * extra) div got").alias("e"), F.expr("((i + 1) * extra) div got > (i * extra) div got").alias("spare"), "blocks", "extra_from")
+    block = lambda k: permuted(k % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("rank"))).alias("block")
+    kept = rows.where("not spare").select("slot", "shard", "rank", block(F.col("i") - F.col("e")))
+    wants = more.where("lack > 0").select("rank", "blocks", "got", "lack_from", F.explode(numbered(F.col("lack_from"), F.col("lack"))).alias("part"))
+    wants = wants.select("rank", "blocks", (F.col("got") - F.col("lack_from")).alias("base"), F.explode(F.sequence("part.from", "part.to")).alias("e"))
+    spare = rows.where("spare").select("slot", "shard", (F.col("extra_from") + F.col("e")).alias("e"))
+    return kept.union(spare.join(wants, "e").select("slot", "shard", "rank", block(F.col("base") + F.col("e"))))
 
 
 def mix_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, target, taken (words the mix takes of it), pieces (its blocks: at, words, times)."""
+    """For each document: doc_id, source, size, source_size, target, taken (words the mix takes of it), pieces (its blocks: at, words, times, shards: where in the output)."""
     docs, _, taken = mixing_plan(df, doc_id, text, source, block, seed)
     b = F.lit(block)
     spread = docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))))
@@ -126,7 +169,7 @@ def mix_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     # size 0: equal rows may share a start, so rows are counted and dealt out again
     out = both.groupBy("doc_id", "source", "hash", "start", "size", "rank", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"),
-        F.collect_list(F.when(F.col("times") > 0, F.struct("at", "words", "times"))).alias("pieces"),
+        F.collect_list(F.when(F.col("times") > 0, F.struct("at", "words", "times", "shards"))).alias("pieces"),
         F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("rows"),
     )
     return out.withColumn("row", F.explode(F.sequence(F.lit(1), F.greatest("rows", F.lit(1))))).drop("row", "rows")

@@ -23,7 +23,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sizes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.size(F.array_distinct(F.flatten(F.transform("pieces", lambda p: p["shards"]))))
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards.cast("long").alias("n_shards"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,35 @@ def test_mix_sizes(spark):
     assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_draws_are_multinomial(spark):
+    """The draws of each shard, drawn again one by one; their spread; the slots after correction."""
+    texts = [prose(90 + i % 40, i) for i in range(400)]
+    df = documents(spark, texts, ["hot", "hot", "hot", "warm", "warm", "small", None])
+    _, sources, taken = mixing.mixing_plan(df, block=4, shard=64)
+    rows = sources.orderBy("rank").collect()
+    n = rows[0]["slots"]
+    drawn = {r["id"]: r["d"] for r in spark.range(n).select("id", F.pmod(F.xxhash64(F.lit(0), F.col("id")), F.lit(mixing.DRAWN)).alias("d")).collect()}
+    want = Counter((i // 64, next(r["rank"] for r in rows if r["low"] <= d < r["high"])) for i, d in drawn.items())
+    assert {(r["shard"], r["rank"]): r["n"] for r in mixing.draws(sources, 0, 64).collect()} == dict(want)
+    whole = n // 64
+    for r in rows:
+        p = (r["high"] - r["low"]) / mixing.DRAWN
+        counts = [want[s, r["rank"]] for s in range(whole)]
+        spread = sum((c - 64 * p) ** 2 for c in counts) / whole / (64 * p * (1 - p))
+        assert 0.6 < spread < 1.5, (r["rank"], spread)  # strata or exact quotas a shard would give about 0
+    slots = mixing.slots_of(sources, 0, 64).collect()
+    assert len(slots) == len({r["slot"] for r in slots}) and all(0 <= r["slot"] < n and r["shard"] == r["slot"] // 64 for r in slots)
+    per = Counter(r["rank"] for r in slots)
+    times = Counter((r["rank"], r["block"]) for r in slots)
+    for r in rows:
+        assert per[r["rank"]] == r["quota"] and abs(r["quota"] - r["target"] / 4) <= 1.5
+        each = [times[r["rank"], b] for b in range(r["blocks"])]
+        assert max(each) - min(each) <= 1 and max(each) <= 3
+    moved = sum(abs(Counter((r["shard"], r["rank"]) for r in slots)[k] - v) for k, v in want.items())
+    assert moved < 0.2 * n
+    assert all(r["times"] == len(r["shards"]) for r in taken.collect())
+
+
 def test_mix_documents_holds_what_sizes_say(spark):
     df = documents(spark, [prose(100 + i, i) for i in range(60)], ["x", "x", "x", "y", None])
     sizes = mixing.mix_sizes(df, block=16)
