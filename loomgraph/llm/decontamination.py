@@ -8,14 +8,19 @@ joined to the benchmark's seeds by hash. Each hit proposes an alignment of a
 document and an item; the words around it are compared, and an alignment counts
 if a stretch of it with two equal words in three or more has enough of them.
 
-Defined cases: null and empty texts have no words and no overlap; items of
-fewer than four words are not searched, and of those under eight all words must
-be found; null and repeated ids are kept; repeated rows are one result for
-their id; no rows give no rows.
+Defined cases: null and empty texts have no words and no overlap; of items of
+under eight words all must be found, and an item of fewer than four is found
+only in a text that has these words and no others; null and repeated ids of
+documents and items are kept, and so are items of equal texts; repeated rows
+are one result for their ids; very long texts are cut into batches of their own
+and compared around hits only; no documents or no items give no rows; other
+columns of the tables are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +31,9 @@ from .vector import flat, mixed, pieces, small_batches, splitmix, word_hashes
 
 #: Masks over words: 1 is looked at. The last is for items that the others don't fit in.
 MASKS = ("110011", "11011001", "1101000111", "10110010011", "1011")
+LONGEST, LEAST = max(map(len, MASKS[:-1])), len(MASKS[-1])
+#: The salt of a text's whole word sequence, which is the seed of those too short for any mask.
+WHOLE = len(MASKS)
 #: Words around a hit that are compared; words that a stretch needs, fewer for shorter items; share of these that must be equal;
 #: equal words that an unequal one in a stretch costs (2: two in three are equal).
 AROUND, ENOUGH, SHARE, COST = 64, 12, 0.8, 2
@@ -55,13 +63,23 @@ def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mixed(h)
 
 
+def whole_seed(words: np.ndarray) -> int:
+    return int(mixed(np.array([(words * (splitmix(LEAST, 20 + WHOLE) | np.uint64(1))[: len(words)]).sum() + np.uint64(len(words))], np.uint64))[0].astype(np.int64))
+
+
 def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 17, 34)]
 
 
-def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(seed, item, at, words) and the items' words, a row for each seed."""
-    longest = max(map(len, MASKS[:-1]))
+def keyed(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item, item_id, text): items by a key of their own, so that null and repeated ids are items like others."""
+    x = F.coalesce(F.col(text), F.lit(""))
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), x.alias("text")).distinct()
+    return rows.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text").alias("item"), "item_id", "text")
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item, at): a row for each seed of keyed items."""
 
     def run(batches):
         for batch in batches:
@@ -69,12 +87,14 @@ def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
             out = []
             for key, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 for k, mask in enumerate(MASKS):
-                    if k < len(MASKS) - 1 or b - a < longest:
+                    if k < len(MASKS) - 1 or b - a < LONGEST:
                         out += [(s, key, at) for at, s in enumerate(seeds(words[a:b], mask, k).astype(np.int64).tolist())]
+                if 0 < b - a < LEAST:
+                    out.append((whole_seed(words[a:b]), key, 0))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seed", "item", "at"])
 
-    return items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).mapInArrow(run, "seed long, item long, at long")
+    return items.select("item", "text").mapInArrow(run, "seed long, item long, at long")
 
 
 def filter_of(found: DataFrame) -> np.ndarray:
@@ -82,16 +102,16 @@ def filter_of(found: DataFrame) -> np.ndarray:
     n = found.count()
     bits = min(MOST_BITS, max(1 << 20, 1 << (BITS * n).bit_length()))
     out = np.zeros(bits // 8, np.uint8)
-    for r in found.select("seed").distinct().toLocalIterator():  # streamed, never held
-        for p in probes(np.array([r[0]], np.int64).astype(np.uint64), bits):
-            out[p >> 3] |= np.uint8(1) << (p & 7).astype(np.uint8)
+    rows = found.select("seed").distinct().toLocalIterator()  # streamed, never held whole
+    while some := [r[0] for r in itertools.islice(rows, 1 << 16)]:
+        for p in probes(np.array(some, np.int64).view(np.uint64), bits):
+            np.bitwise_or.at(out, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
     return out
 
 
-def hits(df: DataFrame, doc_id: str, text: str, bloom: np.ndarray, short: bool) -> DataFrame:
+def hits(df: DataFrame, doc_id: str, text: str, bloom: np.ndarray) -> DataFrame:
     """(doc_id, hash, start, words, hits (seed, at)): stretches of documents around seeds that the filter lets through."""
     shipped = df.sparkSession.sparkContext.broadcast(bloom)
-    masks = MASKS if short else MASKS[:-1]
 
     def run(batches):
         sieve = shipped.value
@@ -100,7 +120,7 @@ def hits(df: DataFrame, doc_id: str, text: str, bloom: np.ndarray, short: bool)
             for batch in pieces(whole, 2):
                 words, first = tokens(batch.column(2))
                 at, found = [], []
-                for k, mask in enumerate(masks):
+                for k, mask in enumerate(MASKS):
                     h = seeds(words, mask, k)
                     here = np.arange(len(h))
                     for shift in (0, 17, 34):
@@ -111,7 +131,10 @@ def hits(df: DataFrame, doc_id: str, text: str, bloom: np.ndarray, short: bool)
                     here = here[here + len(mask) <= first[doc + 1]]
                     at.append(here)
                     found.append(h[here])
-                at, found = np.concatenate(at), np.concatenate(found).astype(np.int64)
+                brief = [(int(first[d]), whole_seed(words[first[d] : first[d + 1]])) for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < LEAST)).tolist()]
+                at.append(np.array([a for a, _ in brief], np.int64))
+                found.append(np.array([s for _, s in brief], np.int64).view(np.uint64))
+                at, found = np.concatenate(at), np.concatenate(found).view(np.int64)
                 order = np.argsort(at, kind="stable")
                 at, found = at[order], found[order]
                 doc = np.searchsorted(first, at, "right") - 1
@@ -143,10 +166,9 @@ def stretch(equal: np.ndarray) -> tuple[int, int, int]:
 def overlaps(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, hash, item_id, start, end, matched, item_words): for each document and item that overlap, the longest stretch, in words of the document."""
     small_batches(df.sparkSession)
-    found = materialize(item_seeds(items, item_id, item_text), "item_seeds")
-    longest = max(map(len, MASKS[:-1]))
-    short = bool(items.where(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), " ")) < 3 * longest).limit(1).count())
-    near = materialize(hits(df, doc_id, text, filter_of(found), short), "hits")
+    items = keyed(items, item_id, item_text)
+    found = materialize(item_seeds(items), "item_seeds")
+    near = materialize(hits(df, doc_id, text, filter_of(found)), "hits")
     each = near.select("doc_id", "hash", "start", F.explode("hits").alias("h")).select("doc_id", "hash", "start", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
     aligned = each.join(found, "seed").select("doc_id", "hash", "start", "item", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
 
@@ -154,28 +176,28 @@ def overlaps(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             words, first = tokens(batch.column(1))
             own = [words[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["item", "item_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary())], names=["item", "item_id", "item_words"])
 
-    texts = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).distinct().mapInArrow(of_items, "item long, item_words binary")
+    texts = items.select("item", "text", "item_id").mapInArrow(of_items, "item long, item_id long, item_words binary")
     at = near.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), F.col("start").alias("s"), "words").distinct()
     both = aligned.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("start") == F.col("s"))).join(texts, "item")
 
     def compared(batches):
         for batch in batches:
             out = []
-            for key, h, start, w, item, shift, iw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, h, start, w, item, number, shift, iw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 d, t = np.frombuffer(w, np.uint64), np.frombuffer(iw, np.uint64)
                 lo, hi = max(start, shift), min(start + len(d), shift + len(t))
                 if hi <= lo:
                     continue
                 a, b, n = stretch(d[lo - start : hi - start] == t[lo - shift : hi - shift])
-                if n >= (len(t) if len(t) < 8 else SHARE * min(len(t), ENOUGH)):
-                    out.append((key, h, item, lo + a, lo + b, n, len(t)))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "hash", "item_id", "start", "end", "matched", "item_words"])
+                if n >= (len(t) if len(t) < 8 else SHARE * min(len(t), ENOUGH)) and (len(t) >= LEAST or len(d) == len(t)):
+                    out.append((key, h, item, number, lo + a, lo + b, n, len(t)))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "hash", "item", "item_id", "start", "end", "matched", "item_words"])
 
-    rows = both.select("doc_id", "hash", "start", "words", "item", "shift", "item_words").mapInArrow(compared, "doc_id long, hash long, item_id long, start long, end long, matched long, item_words long")
-    best = rows.groupBy("doc_id", "hash", "item_id").agg(F.max(F.struct("matched", "start", "end", "item_words")).alias("b"))
+    rows = both.select("doc_id", "hash", "start", "words", "item", "item_id", "shift", "item_words").mapInArrow(compared, "doc_id long, hash long, item long, item_id long, start long, end long, matched long, item_words long")
+    best = rows.groupBy("doc_id", "hash", "item", "item_id").agg(F.max(F.struct("matched", "start", "end", "item_words")).alias("b"))
     return best.select("doc_id", "hash", "item_id", "b.start", "b.end", "b.matched", "b.item_words")
 
 
@@ -185,5 +207,3 @@ def without_overlaps(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     k = fresh(df, "hash_")
     bad = bad.select(F.col("hash").alias(k)).distinct()
     return df.withColumn(k, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(bad, k, "left_anti").drop(k)
-
-
