@@ -25,13 +25,13 @@ from .common import SPACE, fresh, let, materialize, words_of
 
 #: Symbols whose number is reported.
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate of a host from more than this share of its distinct documents, and at least so many.
-MAX_SHARE, MIN_DOCS = 0.10, 10
+#: A line is boilerplate of a host in at least so many of its distinct documents, if these are more than this share of all or more than so many.
+MAX_SHARE, MIN_DOCS, MAX_DOCS = 0.10, 10, 100_000
 #: Percent of its words that a document must keep without boilerplate lines.
 MIN_LEFT = 50
 #: Words a document needs; percent of words in repeated windows that it may have.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: So many frequent lines are surely small enough to send to every executor (16 bytes each).
+#: So many frequent lines are surely small enough to send to every executor (16 bytes each); more are joined by host and text.
 BROADCAST_LINES = 100_000
 
 
@@ -79,36 +79,59 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return let(words, of).cast("long")
 
 
-def frequent_lines(df: DataFrame, text: str, host: str, max_share: float, min_docs: int) -> DataFrame:
-    """(host, lines): for each host, the hashes of the lines in more than the given share of its distinct texts."""
+def frequent_lines(df: DataFrame, text: str, host: str, max_share: float, min_docs: int, max_docs: int) -> DataFrame:
+    """(host, lines): for each host, the hashes of the lines in too many of its distinct texts."""
     x = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(host).alias("host"), F.xxhash64(x).alias("doc"), F.array_distinct(line_hashes(x)).alias("lines"))
     # a hash of 64 bits stands for the text; the pairs are made distinct over all three columns, so no host or line is one task's load
     seen = rows.select("host", "doc", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     total = rows.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
     seen = seen.where(F.col("docs") >= min_docs)
-    over = seen.alias("s").join(total.alias("t"), F.col("s.host").eqNullSafe(F.col("t.host"))).where(F.col("docs") > max_share * F.col("all_docs"))
+    most = F.least(max_share * F.col("all_docs"), F.lit(float(max_docs)))
+    over = seen.alias("s").join(total.alias("t"), F.col("s.host").eqNullSafe(F.col("t.host"))).where(F.col("docs") > most)
     return over.groupBy(F.col("s.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
+def lines_by_text(df: DataFrame, text: str, host: str, often: DataFrame) -> DataFrame:
+    """(host, doc, lines): the frequent lines of each distinct text that has any, found line by line: no host is one task's load."""
+    x = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(host).alias("host"), F.xxhash64(x).alias("doc"), F.explode(F.array_distinct(line_hashes(x))).alias("line")).distinct()
+    each = often.select(F.col("host").alias("h"), F.explode("lines").alias("l"))
+    found = rows.join(each, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    return found.groupBy("host", "doc").agg(F.collect_list("line").alias("lines"))
+
+
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "text_left", "base_failed", "kept")
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with other names for the columns that are called like a result, and what each of its columns is called now."""
+    names = {c: c for c in df.columns}
+    for c in [c for c in df.columns if c.lower() in MADE]:
+        names[c] = fresh(df, f"in_{c}")
+        df = df.withColumnRenamed(c, names[c])
+    return df, names
+
+
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: int = MIN_LEFT, max_docs: int = MAX_DOCS, sent: int = BROADCAST_LINES) -> DataFrame:
     """The rows of df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words_left, text_left, base_failed and kept."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "text_left", "base_failed", "kept"]
-    for c in [c for c in df.columns if c.lower() in made]:
-        df = df.withColumnRenamed(c, fresh(df, f"in_{c}"))
-    often = materialize(frequent_lines(df, text, host, max_share, min_docs), "lines")
+    df = renamed(df)[0]
+    often = materialize(frequent_lines(df, text, host, max_share, min_docs, max_docs), "lines")
     # at most (lines a document has) / max_share a host; hosts are counted, not assumed to be few
     n = often.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] + often.count()
-    host_, lines_, words_ = fresh(df, "host_"), fresh(df, "lines_"), fresh(df, "words_")
-    often = often.select(F.col("host").alias(host_), F.col("lines").alias(lines_))
-    if n <= BROADCAST_LINES:
-        often = F.broadcast(often)
+    host_, lines_, words_, doc_ = fresh(df, "host_"), fresh(df, "lines_"), fresh(df, "words_"), fresh(df, "doc_")
     x = F.coalesce(F.col(text), F.lit(""))
+    if n <= sent:
+        often = F.broadcast(often.select(F.col("host").alias(host_), F.col("lines").alias(lines_)))
+        same = df[host].eqNullSafe(F.col(host_))
+    else:
+        often = lines_by_text(df, text, host, often).select(F.col("host").alias(host_), F.col("doc").alias(doc_), F.col("lines").alias(lines_))
+        same = df[host].eqNullSafe(F.col(host_)) & (F.xxhash64(x) == F.col(doc_))
     lines = lines_of(x)
     # lower-casing and 0 for numbers leave the lines and their words' number as they are
     here = F.filter(F.zip_with(lines, line_hashes(x), lambda line, h: F.when(F.array_contains(F.col(lines_), h), line)), lambda line: line.isNotNull())
     gone = F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(F.aggregate(here, F.lit(0), lambda a, line: a + F.size(words_of(line))))
-    out = df.join(often, df[host].eqNullSafe(F.col(host_)), "left").withColumn(words_, words_of(x))
+    out = df.join(often, same, "left").withColumn(words_, words_of(x))
     out = out.select(
         *df.columns,
         F.size(words_).cast("long").alias("n_words"),
@@ -121,3 +144,12 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_s
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("n_words_left") >= min_left * F.col("n_words")))
+
+
+def cleaned(df: DataFrame, text: str = "text", host: str = "source", chars: str | None = "n_chars", **how) -> DataFrame:
+    """The rows of df that the rules keep, with df's columns and values; of their texts the frequent lines are gone."""
+    here, names = renamed(df)
+    out = quality_rules(here, names[text], names[host], **how).where("kept").withColumn(names[text], F.col("text_left"))
+    if chars and chars in names:
+        out = out.withColumn(names[chars], F.char_length(names[text]).cast(df.schema[chars].dataType))
+    return out.select(*[F.col(names[c]).alias(c) for c in df.columns])

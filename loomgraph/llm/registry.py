@@ -111,7 +111,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
 lines AS (SELECT doc_id, source, t, unnest(l) AS x FROM b),
 keyed AS (SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[0-9]+', '0', 'g'), {SPACES}) AS x, len(regexp_extract_all(x, {WORDS})) AS n FROM lines),
-often AS (SELECT source, x FROM keyed JOIN (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1) USING (source) GROUP BY source, x, docs HAVING count(DISTINCT t) >= {quality_rules.MIN_DOCS} AND count(DISTINCT t) > {quality_rules.MAX_SHARE} * docs),
+often AS (SELECT source, x FROM keyed JOIN (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1) USING (source) GROUP BY source, x, docs HAVING count(DISTINCT t) >= {quality_rules.MIN_DOCS} AND count(DISTINCT t) > least({quality_rules.MAX_SHARE} * docs, {quality_rules.MAX_DOCS})),
 gone AS (SELECT doc_id, sum(n) AS n FROM keyed SEMI JOIN often ON keyed.source = often.source AND keyed.x = often.x GROUP BY 1),
 f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(w) - coalesce(gone.n, 0) AS n_words_left FROM b LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= {quality_rules.MIN_LEFT} * n_words AS kept FROM f"""

@@ -40,6 +40,24 @@ def test_boilerplate_lines_go_from_kept_texts(spark):
     assert out.columns == docs.columns and {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(i, got[i]["text_left"], len(got[i]["text_left"])) for i in range(90)}
 
 
+def test_many_lines_are_joined_by_text(spark):
+    """Beyond what is sent to every executor the lines come by host and text; the results are the same. An absolute limit holds too."""
+    rows = [f"{prose(80, i)}\nPage {i} of the menu\nlast {i} {prose(9, 500 + i)}" for i in range(30)] + [prose(80, 99 + i) for i in range(60)]
+    docs = documents(spark, rows + ODD, ["h", "i", None])
+    rows_of = lambda df: Counter(tuple(r) for r in df.collect())
+    assert rows_of(quality_rules.quality_rules(docs)) == rows_of(quality_rules.quality_rules(docs, sent=-1))
+    few = documents(spark, rows, ["h"])
+    left = lambda **how: quality_rules.quality_rules(few, max_share=0.9, **how).where("text_left <> text").count()
+    assert left() == 0 and left(max_docs=20) == 32
+
+
+def test_cleaned_keeps_clashing_columns(spark):
+    docs = documents(spark, [prose(80, i) for i in range(5)] + [None, ""]).withColumn("text_left", F.lit("mine")).withColumn("n_words", F.lit(-1))
+    out = quality_rules.cleaned(docs)
+    assert out.columns == docs.columns
+    assert {(r["KEPT"], r["text_left"], r["n_words"]) for r in out.collect()} == {("y", "mine", -1)}
+
+
 def test_copies_are_one_document(spark):
     text = prose(80, 5)
     got = quality_rules.quality_rules(documents(spark, [text] * 50 + [prose(80, 200 + i) for i in range(20)], ["h"])).where("text <> 'no id at all'").collect()
