@@ -12,7 +12,6 @@ mix takes of it); the last stage writes rows of token ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, minhash, mixing, packing, quality_rules
 from loomgraph.llm.common import materialize, table
@@ -22,8 +21,7 @@ ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.quality_rules(docs).where("kept").withColumn("text", F.col("text_left"))
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
