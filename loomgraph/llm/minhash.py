@@ -151,7 +151,8 @@ def confirmed_links(members: DataFrame, texts: DataFrame, shingle: int, percent:
     """(a, b) links from members (node, family, bits, n) and texts (node, text)."""
     family = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_SETS)), F.ceil(F.sum("n") * 8 / F.lit(CHUNK_BYTES))).cast("int").alias("chunks"))
     members = materialize(members.join(family, "family"), "members")
-    texts = texts.join(members, "node").dropDuplicates(["node"])
+    # copies become one before they meet: each task sends one of them at most
+    texts = texts.dropDuplicates(["node"]).join(members, "node")
 
     def shingled(batches):
         for whole in batches:
