@@ -11,14 +11,19 @@ quicksort on words of eight bytes to a shallow depth, then blind tries order
 what still agrees. Common prefixes of neighbours in both orders tell how far
 each occurrence agrees with another one to the left and to the right.
 
-A group of more surroundings than a task should hold is counted by the hashes
-of its 400-byte windows instead, an aggregate that is spread over tasks.
+A group of more surroundings than a task should hold is split before it is
+sorted, as a radix sort splits: a common string that begins a to b bytes before
+the anchor agrees in a bytes to the left and 400 - b to the right, so the range
+of a and b is halved and each half's group dealt by these bytes, until groups
+fit or a range is one place, where all of a group are equal.
 
-Hashes of surroundings and windows have 128 bits; anchors are compared by bytes.
+Hashes of surroundings have 128 bits; what is sorted is compared by bytes.
 
 Defined cases: a null text is empty; shorter texts lose nothing; equal rows and
-equal texts of 400 bytes or more cover each other; null and repeated ids are
-kept, a row for each input row; no rows give no rows.
+equal texts of 400 bytes or more cover each other, and where several strings
+are equal all of them go, none is kept as the first; null and repeated ids are
+kept, a row for each input row; texts of any length are read whole, one in a
+batch if need be; no rows give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from .vector import BYTES, flat, mixed, pieces, powers, small_batches
 LENGTH, GRAM = 400, 100
 #: Depth in bytes to which multikey quicksort goes.
 SHALLOW = 64
-#: Surroundings that a task sorts at a time; larger groups are counted by windows.
+#: Surroundings that a task sorts at a time; larger groups are split by more of their bytes.
 GROUP = 32_768
 
 
@@ -251,7 +256,8 @@ def surroundings(df: DataFrame, text: str, wanted: DataFrame, length: int, gram:
     """(anchor, hash, at, times, before, bytes) for wanted (hash, anchor, at, times): the bytes around, before: how many of them are left of the anchor."""
     x = F.coalesce(F.col(text), F.lit(""))
     each = wanted.groupBy("hash").agg(F.collect_list(F.struct("anchor", "at", "times")).alias("list"))
-    both = df.select(F.xxhash64(x).alias("hash"), x.alias("text")).join(each, "hash").dropDuplicates(["hash"])
+    # copies become one before they meet: each task sends one of them at most
+    both = df.where(F.octet_length(x) >= length).select(F.xxhash64(x).alias("hash"), x.alias("text")).dropDuplicates(["hash"]).join(each, "hash")
 
     def run(batches):
         for whole in batches:
@@ -288,37 +294,57 @@ def sorted_groups(around: DataFrame, length: int) -> DataFrame:
         out: list = []
         rows, key = [], None
         for batch in batches:
-            for anchor, *r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if anchor != key:
+            for group, *r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group != key:
                     done(rows)
-                    rows, key = [], anchor
+                    rows, key = [], group
                     if len(out) > 10_000:
                         yield batch_of()
                 rows.append(r)
         done(rows)
         yield batch_of()
 
-    rows = around.repartition("anchor").sortWithinPartitions("anchor")
-    return rows.select("anchor", "hash", "at", "times", "before", "bytes").mapInArrow(run, "hash long, lo long, hi long")
+    rows = around.repartition("group").sortWithinPartitions("group")
+    return rows.select("group", "hash", "at", "times", "before", "bytes").mapInArrow(run, "hash long, lo long, hi long")
 
 
-def counted_windows(around: DataFrame, length: int) -> DataFrame:
-    """(hash, lo, hi): the same for groups of any size, by counting hashes of windows."""
+def split_groups(around: DataFrame, length: int, gram: int, most: int) -> list[DataFrame]:
+    """Tables (hash, lo, hi) of what is covered in groups of more than most surroundings (anchor, hash, at, times, before, bytes)."""
 
-    def run(batches):
+    def dealt(batches):
+        kinds = [pa.int64()] * 4 + [pa.int64(), pa.binary()] + [pa.int64()] * 4
         for batch in batches:
-            for anchor, key, at, times, before, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n = min(before, len(b) - length) + 1
-                digests = [np.frombuffer(xxhash.xxh3_128_digest(b[k : k + length]), np.int64) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([before - k for k in range(n)], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([key] * n), pa.array([at] * n), pa.array([times] * n)], names=["anchor", "off", "w1", "w2", "hash", "at", "times"])
-
-    rows = around.mapInArrow(run, "anchor long, off long, w1 long, w2 long, hash long, at long, times long")
-    names = ["anchor", "off", "w1", "w2"]
-    more = rows.groupBy(*names).agg(F.sum("times").alias("n")).where("n > 1")
-    return rows.where("times = 1").join(more, names, "left_semi").select("hash", (F.col("at") - F.col("off")).alias("lo"), (F.col("at") - F.col("off") + length).alias("hi"))
-
-
-def covered(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+            out = []
+            for anchor, key, at, times, before, b, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if before < lo or len(b) - before < length - hi:
+                    continue  # no common string can begin in this range
+                left = min(before, hi)
+                b = b[before - left : before + length - lo]
+                k = xxhash.xxh3_128_digest(b[left - lo : left + length - hi])
+                out.append((anchor, key, at, times, left, b, lo, hi, *np.frombuffer(k, np.int64).tolist()))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "hash", "at", "times", "before", "bytes", "lo", "hi", "k1", "k2"])
+
+    found, middle = [], F.floor((F.col("lo") + F.col("hi")) / 2)
+    halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+    base = ["anchor", "hash", "at", "times", "before", "bytes"]
+    rows = around.select(*base, F.lit(0).cast("long").alias("lo"), F.lit(length - gram).cast("long").alias("hi"))
+    for _ in range((length - gram).bit_length() + 1):
+        rows = rows.select(*base, halves.alias("half")).select(*base, "half.lo", "half.hi")
+        rows = materialize(rows.mapInArrow(dealt, "anchor long, hash long, at long, times long, before long, bytes binary, lo long, hi long, k1 long, k2 long"), "halves")
+        group = ["anchor", "lo", "hi", "k1", "k2"]
+        sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("times") == 1).alias("open")).where("n > 1 and open")
+        rows = rows.join(sizes, group)
+        one, fits = F.col("lo") == F.col("hi"), F.col("n") <= most
+        found.append(rows.where(one & (F.col("times") == 1)).select("hash", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
+        found.append(sorted_groups(rows.where(~one & fits).withColumn("group", F.xxhash64(*group)), length))
+        rows = rows.where(~one & ~fits).drop("k1", "k2", "n", "open")
+        if not rows.limit(1).count():
+            break
+    return found
+
+
+def covered(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = GROUP) -> DataFrame:
     """(hash, runs): for the texts of df (hash: xxhash64 of the text) their covered runs, unsorted (lo, hi) that may overlap."""
     small_batches(df.sparkSession)
     found = materialize(found_anchors(df, text, length, gram), "anchors")
@@ -331,16 +357,18 @@ def covered(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     settled = found.join(kinds.where("times > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi")
     settled = settled.select("hash", F.greatest(F.lit(0), F.col("at") - (length - gram)).alias("lo"), (F.col("at") + length).alias("hi"))
     wanted = kinds.where("kinds > 1 and open").select(F.col("one.hash").alias("hash"), "anchor", F.col("one.at").alias("at"), "times", "kinds")
-    runs = settled.union(own).union(sorted_groups(surroundings(df, text, wanted.where(F.col("kinds") <= GROUP), length, gram), length))
-    large = wanted.where(F.col("kinds") > GROUP)
+    small = surroundings(df, text, wanted.where(F.col("kinds") <= most), length, gram)
+    runs = settled.union(own).union(sorted_groups(small.withColumnRenamed("anchor", "group"), length))
+    large = wanted.where(F.col("kinds") > most)
     if large.limit(1).count():
-        runs = runs.union(counted_windows(surroundings(df, text, large, length, gram), length))
+        for more in split_groups(surroundings(df, text, large, length, gram), length, gram, most):
+            runs = runs.union(more)
     return runs.groupBy("hash").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = GROUP) -> DataFrame:
     """For each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed (lo, hi) in bytes), kept (bytes)."""
-    runs = materialize(covered(df, text, length, gram), "runs")
+    runs = materialize(covered(df, text, length, gram, most), "runs")
     x = F.coalesce(F.col(text), F.lit(""))
     both = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(x).alias("hash"), x.alias("text")).join(runs, "hash", "left").select("doc_id", "text", "runs")
 

@@ -56,10 +56,13 @@ def test_matches_brute_force(spark):
     same(spark, shared() + small)
 
 
-def test_large_groups_are_counted_alike(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 5)
+@pytest.mark.parametrize("most", [1, 5])
+def test_large_groups_are_split(spark, most):
     p = prose(150, 77)
-    same(spark, [prose(20, i) + p[i % 9 : len(p) - i % 5] + prose(20, 100 + i) for i in range(60)])
+    texts = [prose(20, i) + p[i % 9 : len(p) - i % 5] + prose(20, 100 + i) for i in range(60)]
+    # equal strings of 400 bytes and a little that begin at many places around an anchor
+    texts += [prose(3, 300 + i) + p[i : i + 400 + i % 3] + prose(3, 400 + i) for i in range(0, 200, 9)] * 2
+    same(spark, texts, most=most)
 
 
 def test_groups_over_64_use_levels():
