@@ -1,22 +1,27 @@
 """A hidden Markov language model over words.
 
-The most frequent words are symbols of their own; every other word is one of a
-few classes by its length in bytes and whether it has bytes beyond ASCII or
-digits, times its smoothed share of its class. So the model is a distribution
-over all texts: each ends with an end symbol, and a class keeps a share for
-words that were never seen.
+Words that occur often enough to tell their states are symbols of their own,
+however many they are; every other word is one of a few classes by its length
+in bytes and whether it has bytes beyond ASCII or digits, times its smoothed
+share of its class. So the model is a distribution over all texts: each ends
+with an end symbol, and a class keeps a share for words that were never seen.
 
 Training takes every learning text: words are counted by an aggregate; the
 most frequent words are dealt to states by the words they stand next to, as
 counted over all texts; then Baum-Welch rounds sum expected counts of states,
-transitions and symbols over partitions. Texts are trained on in stretches of
-128 words. Scoring runs the scaled forward recursion over the whole text.
+transitions and symbols over partitions. Both recursions run over whole texts:
+the forward one keeps its state at the start of each stretch of words, the
+backward one goes from stretch to stretch and makes the states between again.
+Scoring runs the scaled forward recursion over the whole text.
 
 Counts of the words that are frequent, a bounded table, go with the tasks; the
 others are joined by their hash.
 
 Defined cases: a null or empty text is one end symbol; null and repeated ids
-are kept; without learning texts all counts are 0; no rows give no rows.
+are kept, a row for each input row; words of equal count go alike; without
+learning texts all counts are 0; texts of any length are read whole, in memory
+that grows with their words' number over that of a stretch; no rows give no
+rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,22 +30,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .vector import flat, pieces, small_batches, splitmix, word_hashes
 
-#: States; words that are symbols of their own; words whose counts go with the tasks; words that deal states.
-STATES, SYMBOLS, CARRIED, DEALT = 8, 1 << 14, 1 << 20, 1024
-#: Rounds of Baum-Welch; words of a stretch in training; what is added to expected counts.
+#: States; occurrences that make a word a symbol of its own; words whose counts and states go with the tasks; words that deal states.
+STATES, EVIDENCE, CARRIED, DEALT = 8, 10, 1 << 20, 1024
+#: Rounds of Baum-Welch; words between the states that are kept in training; what is added to expected counts.
 ROUNDS, STRETCH, PRIOR = 2, 128, 0.01
+#: Words whose expected states are held before they are added up.
+HELD = 1 << 20
 #: Classes of the words that are no symbols: by length up to 15, and two marks.
 CLASSES = 16 * 4
 #: What is added to each word's count.
 ADDED = 0.1
-#: Words of a text from which it is kept to be scored with others as long; how many are kept.
-LONG, KEPT = 1500, 64
+#: Words of a text from which it is kept to be gone through with others as long; how many texts and words are kept.
+LONG, KEPT, KEPT_WORDS = 1500, 128, 1 << 21
 
 
 def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,25 +129,21 @@ def symbols_of(lookup: dict, n: int, batch: pa.Array):
     return out, first + np.arange(len(first)), hashes, counts, kinds, symbol, first
 
 
-def dense(seq: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, table): the texts in the given order, longest first, as columns of a table by place."""
-    lengths = np.diff(bounds)[order]
-    table = np.zeros((int(lengths[0]) if len(lengths) else 0, len(order)), np.int64)
-    for k, i in enumerate(order.tolist()):
-        table[: lengths[k], k] = seq[bounds[i] : bounds[i + 1]]
-    return lengths, table
+def ranked(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, active): the texts from long to short, where each starts, and how many have a place t."""
+    lengths = np.diff(bounds)
+    order = np.argsort(-lengths, kind="stable")
+    most = int(lengths[order[0]]) if len(order) else 0
+    return order, bounds[:-1][order], np.searchsorted(-lengths[order], -np.arange(most), "left")
 
 
 def forward(model: dict, seq: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 likelihood of each text: the scaled forward recursion, over all texts of the batch at a time."""
-    order = np.argsort(-np.diff(bounds), kind="stable")
-    lengths, table = dense(seq, bounds, order)
+    order, starts, active = ranked(bounds)
     logs = np.zeros(len(order))
-    active = np.searchsorted(-lengths, -np.arange(len(table)), "left")  # texts longer than t
     a = None
-    for t in range(len(table)):
-        n = active[t]
-        e = model["emit"][table[t, :n]]
+    for t, n in enumerate(active.tolist()):
+        e = model["emit"][seq[starts[:n] + t]]
         a = e * model["start"] if a is None else (a[:n] @ model["move"]) * e
         s = a.sum(axis=1)
         a /= s[:, None]
@@ -149,76 +153,123 @@ def forward(model: dict, seq: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(model: dict, seq: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of stretches: scaled forward and backward."""
-    order = np.argsort(-np.diff(bounds), kind="stable")
-    lengths, table = dense(seq, bounds, order)
-    active = np.searchsorted(-lengths, -np.arange(len(table)), "left")
-    k = len(model["start"])
-    ahead, scales = [], []
-    for t in range(len(table)):
+def expected(model: dict, seq: np.ndarray, bounds: np.ndarray, total: np.ndarray, stretch: int = STRETCH) -> None:
+    """Adds the expected counts of whole texts to total: a row of starts, a row of moves from each state, then a row for each symbol."""
+    _, starts, active = ranked(bounds)
+    k, move, emit = len(model["start"]), model["move"], model["emit"]
+    steps = len(active)
+    if not steps:
+        return
+
+    def ahead(a, t):
+        """The scaled forward states at t from those before, and their scales."""
         n = active[t]
-        e = model["emit"][table[t, :n]]
-        a = e * model["start"] if t == 0 else (ahead[-1][:n] @ model["move"]) * e
+        e = emit[seq[starts[:n] + t]]
+        a = e * model["start"] if t == 0 else (a[:n] @ move) * e
         s = a.sum(axis=1)
-        ahead.append(a / s[:, None])
-        scales.append(s)
-    move = np.zeros((k, k))
-    states, kinds = [], []
-    b = np.ones((0, k))
-    for t in range(len(table) - 1, -1, -1):
-        n = active[t]
-        if len(b) < n:
-            b = np.concatenate([b, np.ones((n - len(b), k))])
-        if t + 1 < len(table):
-            m = active[t + 1]
-            back = model["emit"][table[t + 1, :m]] * b[:m] / scales[t + 1][:, None]
-            move += (ahead[t][:m].T @ back) * model["move"]
-            b[:m] = back @ model["move"].T
-        g = ahead[t] * b[:n]
-        states.append(g / g.sum(axis=1)[:, None])
-        kinds.append(table[t, :n])
-    first = states[-1].sum(axis=0) if states else np.zeros(k)
-    g, c = (np.concatenate(states), np.concatenate(kinds)) if states else (np.zeros((0, k)), np.zeros(0, np.int64))
-    emit = np.stack([np.bincount(c, g[:, j], minlength=len(model["emit"])) for j in range(k)], axis=1)
-    return first, move, emit
-
-
-def summed_over(df: DataFrame, text: str, size: int, shipped, sums) -> np.ndarray:
-    """A vector of the given size, summed over all texts: sums(state, batch of texts) makes a task's share, and Spark adds the entries."""
+        return a / s[:, None], s
+
+    kept, a = [], None
+    for t in range(steps):
+        if t % stretch == 0:
+            kept.append(a)  # the state before the stretch
+        a, _ = ahead(a, t)
+    pairs = np.zeros((k, k))
+    states, kinds, held = [], [], 0
+
+    def summed():
+        c, g = np.concatenate(kinds), np.concatenate(states)
+        each, back = np.unique(c, return_inverse=True)
+        for j in range(k):
+            total[1 + k + each, j] += np.bincount(back, g[:, j], minlength=len(each))
+
+    b, later = np.ones((0, k)), None  # later: what the place after this one sends back
+    for first in range((steps - 1) // stretch * stretch, -1, -stretch):
+        a, run = kept.pop(), []
+        for t in range(first, min(first + stretch, steps)):
+            a, s = ahead(a, t)
+            run.append((a, s))
+        for t in range(first + len(run) - 1, -1 + first, -1):
+            a, s = run[t - first]
+            n = active[t]
+            b = np.ones((n, k))
+            if later is not None:
+                m = len(later)
+                pairs += a[:m].T @ later
+                b[:m] = later @ move.T
+            g = a * b
+            g /= g.sum(axis=1)[:, None]
+            here = seq[starts[:n] + t]
+            states.append(g.astype(np.float32))
+            kinds.append(here)
+            held += n
+            if held >= HELD:
+                summed()
+                states, kinds, held = [], [], 0
+            later = emit[here] * b / s[:, None]
+            if t == 0:
+                total[0] += g.sum(axis=0)
+    if held:
+        summed()
+    total[1 : 1 + k] += pairs * move
+
+
+def grouped(batches, text: int, limit: int = 8 << 20):
+    """(batch, long): pieces of batches; texts of over LONG words come last, with others as long, so that few go on alone."""
+    late, words = [], 0
+    for whole in batches:
+        for batch in pieces(whole, text, limit):
+            n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            big = n > 6 * LONG  # about LONG words; which way a text goes changes no result
+            if big.any():
+                late.append(batch.filter(pa.array(big)))
+                words += int(n[big].sum()) // 6
+                batch = batch.filter(pa.array(~big))
+            if batch.num_rows:
+                yield batch
+            if sum(b.num_rows for b in late) >= KEPT or words >= KEPT_WORDS:
+                yield from joined(late)
+                late, words = [], 0
+    yield from joined(late)
+
+
+def joined(batches: list[pa.RecordBatch]):
+    if batches:
+        # a text column of 32-bit offsets holds what KEPT_WORDS allows and one batch more
+        table = pa.Table.from_batches(batches)
+        large = [f.with_type(pa.large_string()) if pa.types.is_string(f.type) else f for f in table.schema]
+        yield table.cast(pa.schema(large)).combine_chunks().to_batches()[0]
+
+
+def summed_over(df: DataFrame, text: str, shape: tuple[int, int], shipped, add) -> np.ndarray:
+    """A table of the given shape, summed over all texts: add(state, batch of texts, total) adds a task's share, and Spark adds rows."""
+    width = shape[1]
+    names = ["k", *(f"x{j}" for j in range(width))]
 
     def run(batches):
-        total = np.zeros(size)
+        total = np.zeros(shape)
         state = shipped.value
-        for whole in batches:
-            for batch in pieces(whole, 0, 8 << 20):
-                total += sums(state, batch.column(0))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "x"])
-
-    rows = df.select(text).mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x"))
-    out = np.zeros(size)
-    for r in rows.toArrow().to_batches():  # at most size rows, the model's parameters
-        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+        for batch in grouped(batches, 0):
+            add(state, batch.column(0), total)
+        k = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(total[k, j].astype(np.float32)) for j in range(width))], names=names)
+
+    rows = df.select(text).mapInArrow(run, "k long, " + ", ".join(f"{c} float" for c in names[1:]))
+    rows = rows.groupBy("k").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in names[1:]])
+    out = np.zeros(shape)
+    for r in rows.toArrow().to_batches():  # at most as many rows as the model has
+        out[r.column(0).to_numpy()] = np.stack([r.column(1 + j).to_numpy() for j in range(width)], axis=1)
     return out
 
 
-def stretches(seq: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """Bounds that also cut every n words of a text."""
-    lengths = np.diff(bounds)
-    parts = -(-lengths // n)
-    starts = np.repeat(bounds[:-1], parts) + n * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return np.append(starts, bounds[-1])
-
-
-def neighbours(state: dict, texts: pa.Array) -> np.ndarray:
-    """Counts of pairs of the most frequent words, by the next frequent word after each."""
+def neighbours(state: dict, texts: pa.Array, total: np.ndarray) -> None:
+    """Adds counts of pairs of the most frequent words, by the next frequent word after each."""
     n, m = state["symbols"], min(DEALT, state["symbols"])
     seq, bounds, *_ = symbols_of(state["lookup"], n, texts)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     some = np.flatnonzero(seq < m)
     same = doc[some[1:]] == doc[some[:-1]]
-    return np.bincount(seq[some[:-1]][same] * m + seq[some[1:]][same], minlength=m * m).astype(float)
+    total[:, 0] += np.bincount(seq[some[:-1]][same] * m + seq[some[1:]][same], minlength=m * m)
 
 
 def dealt(pairs: np.ndarray, states: int) -> np.ndarray:
@@ -260,9 +311,9 @@ def learnt(df: DataFrame, text: str, counts: DataFrame, texts: int, states: int,
             break
         left -= r["words"]
         least = r["step"] + 1
-    table = counts.where(step >= least).toArrow()
+    table = counts.where(step >= least).toArrow()  # at most CARRIED words
     words, n = table["word"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
-    symbols = min(SYMBOLS, len(words))
+    symbols = int((n >= EVIDENCE).sum())
     lookup = carried(words, n, symbols)
     total = np.zeros((CLASSES, 2))
     for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
@@ -280,20 +331,19 @@ def learnt(df: DataFrame, text: str, counts: DataFrame, texts: int, states: int,
     u = splitmix(len(mass) * states, 9).reshape(len(mass), states).astype(float) / 2.0**64
     emit = mass[:, None] * (0.5 + u)
     if m > states:
-        pairs = summed_over(df, text, m * m, spark.sparkContext.broadcast(state), neighbours).reshape(m, m)
+        pairs = summed_over(df, text, (m * m, 1), spark.sparkContext.broadcast(state), neighbours).reshape(m, m)
         emit[:m] *= 0.05
         emit[np.arange(m), dealt(pairs, states)] *= 20
     model = normalized(np.ones(states), np.eye(states) * 4 + 1, emit / emit.sum(axis=0) * 1000, mass)
     k, v = states, len(mass)
 
-    def counts_of(state, texts):
+    def counts_of(state, texts, total):
         seq, bounds, *_ = symbols_of(state["lookup"], state["symbols"], texts)
-        first, move, emit = expected(state["model"], seq, stretches(seq, bounds, STRETCH))
-        return np.concatenate([first, move.ravel(), emit.ravel()])
+        expected(state["model"], seq, bounds, total)
 
     for _ in range(rounds if texts else 0):
-        got = summed_over(df, text, k + k * k + v * k, spark.sparkContext.broadcast(state | {"model": model}), counts_of)
-        model = normalized(got[:k], got[k : k + k * k].reshape(k, k), got[k + k * k :].reshape(v, k), mass)
+        got = summed_over(df, text, (1 + k + v, k), spark.sparkContext.broadcast(state | {"model": model}), counts_of)
+        model = normalized(got[0], got[1 : 1 + k], got[1 + k :], mass)
     return state | {"model": model, "classes": total}
 
 
@@ -319,36 +369,25 @@ def language_model(df: DataFrame, learns: Column, doc_id: str = "doc_id", text:
         lookup, symbols = m["lookup"], m["symbols"]
         end = math.log10(m["texts"] + ADDED)
 
-        def scored(keys, parts, seqs):
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-            likely = forward(m["model"], np.concatenate(seqs), bounds)
+        def scored(keys, parts, seq, bounds):
+            likely = forward(m["model"], seq, bounds)
             columns = list(zip(*[(*k, *p[:4], float(x + p[4]), p[5]) for k, p, x in zip(keys, parts, likely, strict=True)], strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("w", pa.int64()), ("k", pa.int64())])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "hash", "n_tokens", "known", "base", "others", "score", "rest"])
 
-        late: list = []
-        for whole in batches:
-            for batch in pieces(whole, 2, 8 << 20):
-                seq, bounds, hashes, counts_, kinds, symbol, first = symbols_of(lookup, symbols, batch.column(2))
-                logs = np.log10(np.maximum(counts_, 0) + ADDED)
-                rest = counts_ == 0  # not carried: joined by hash
-                now: list = []
-                for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                    a, b = first[i], first[i + 1]
-                    known = ~rest[a:b]
-                    other, times = np.unique(hashes[a:b][~known], return_counts=True)
-                    # what a class gives: the words in it that have no symbol
-                    bare = symbol[a:b] < 0
-                    within = float(logs[a:b][bare & known].sum() - shares[kinds[a:b][bare]].sum())
-                    part = (int(b - a) + 1, int(known.sum()) + (m["texts"] > 0), float(logs[a:b][known].sum()) + end, int((~known).sum()), within, [{"w": w, "k": k} for w, k in zip(other.view(np.int64).tolist(), times.tolist(), strict=True)])
-                    (late if b - a > LONG else now).append((key, part, seq[bounds[i] : bounds[i + 1]]))
-                if now:
-                    yield scored(*zip(*now, strict=True))
-                if len(late) >= KEPT:
-                    yield scored(*zip(*late, strict=True))
-                    late = []
-        if late:
-            yield scored(*zip(*late, strict=True))
+        for batch in grouped(batches, 2):
+            seq, bounds, hashes, counts_, kinds, symbol, first = symbols_of(lookup, symbols, batch.column(2))
+            logs = np.log10(np.maximum(counts_, 0) + ADDED)
+            rest = counts_ == 0  # not carried: joined by hash
+            parts = []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                known = ~rest[a:b]
+                other, times = np.unique(hashes[a:b][~known], return_counts=True)
+                # what a class gives: the words in it that have no symbol
+                bare = symbol[a:b] < 0
+                within = float(logs[a:b][bare & known].sum() - shares[kinds[a:b][bare]].sum())
+                parts.append((b - a + 1, int(known.sum()) + (m["texts"] > 0), float(logs[a:b][known].sum()) + end, int((~known).sum()), within, [{"w": w, "k": k} for w, k in zip(other.view(np.int64).tolist(), times.tolist(), strict=True)]))
+            yield scored(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), parts, seq, bounds)
 
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
     parts = materialize(docs.mapInArrow(run, "doc_id long, hash long, n_tokens long, known long, base double, others long, score double, rest array<struct<w:long,k:long>>"), "scores")

@@ -31,7 +31,7 @@ def same(got, rows, want):
 @pytest.mark.parametrize("carried", [1 << 20, 30])
 def test_counts_match_brute_force(spark, monkeypatch, carried):
     monkeypatch.setattr(hmm, "CARRIED", carried)
-    monkeypatch.setattr(hmm, "SYMBOLS", 20)
+    monkeypatch.setattr(hmm, "EVIDENCE", 60)
     df = documents(spark, [prose(60, i) + f" own{i % 7} rare{i}" for i in range(40)] + [t for t in ODD if t is None or len(t) < 20_000])
     learns = lambda i: i is not None and i % 3 != 0
     got = hmm.language_model(df, F.col("doc_id") % 3 != 0, states=3, rounds=1).drop("score").collect()
@@ -62,7 +62,33 @@ def test_forward_is_exact_and_rounds_help():
     for _ in range(8):
         now = hmm.forward(model, many, bounds).sum()
         assert now >= last - 0.5
-        last, model = now, hmm.normalized(*hmm.expected(model, many, bounds), np.full(4, 0.001))
+        got = np.zeros((1 + 2 + 4, 2))
+        hmm.expected(model, many, bounds, got)
+        last, model = now, hmm.normalized(got[0], got[1:3], got[3:], np.full(4, 0.001))
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 128])
+def test_expected_counts_are_those_of_whole_texts(stretch, monkeypatch):
+    """Against the sum over all paths, however the recursion is cut and its states are held."""
+    monkeypatch.setattr(hmm, "HELD", 4)
+    r = np.random.default_rng(5)
+    model = hmm.normalized(r.random(2), r.random((2, 2)), r.random((4, 2)) * 9, np.full(4, 0.01))
+    seqs = [r.integers(0, 4, n) for n in (1, 6, 3, 6, 5)]
+    want = np.zeros((1 + 2 + 4, 2))
+    for seq in seqs:
+        whole = paths(model, seq)
+        for path in np.ndindex(*(2,) * len(seq)):
+            p = model["start"][path[0]] * model["emit"][seq[0], path[0]]
+            for a, b, c in zip(path, path[1:], seq[1:], strict=False):
+                p *= model["move"][a, b] * model["emit"][c, b]
+            want[0, path[0]] += p / whole
+            for a, b in zip(path, path[1:], strict=False):
+                want[1 + a, b] += p / whole
+            for c, b in zip(seq, path, strict=True):
+                want[3 + c, b] += p / whole
+    got = np.zeros_like(want)
+    hmm.expected(model, np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]), got, stretch)
+    assert got == pytest.approx(want, abs=1e-5)
 
 
 def test_it_is_a_distribution():
