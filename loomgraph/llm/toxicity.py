@@ -1,22 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: on what toxic training texts have and
-ordinary ones lack (the beginnings of words whose share of toxic documents is
-far above that of ordinary ones), and on ordinary text. Each goes with the same
-base of ordinary text, so that only what is special to a side shows, and ends
-with the side's shortest distinctive strings, which only count when near. Each
-window of a text, a word in a fixed carrier, is compressed with both; the
-difference of the lengths, against the window's size, has a calibrated weight:
-the log ratio of how often it is seen in toxic and ordinary texts of the half
-of the sample that no dictionary saw. The weights' means and the shares of windows
-above two thresholds go into a logistic regression.
+Two zstandard dictionaries are made, one from the toxic and one from the
+ordinary texts of half of a training sample. Plainly trained ones don't tell
+the sides apart here: both keep what is frequent, which is ordinary (README,
+figures). So the toxic one is trained on what toxic texts have and ordinary ones
+lack, the beginnings of words whose share of toxic documents is far above that
+of ordinary ones; the ordinary one on whole ordinary texts. Each goes with the
+same base of ordinary text, so that only what is special to a side shows, and
+ends with the side's distinctive strings, the shortest last, which only count
+when near. Each window of a text, a word in a fixed carrier, is compressed with
+both; the difference of the lengths, against the window's size, has a
+calibrated weight: the log ratio of how often it is seen in toxic and ordinary
+texts of the half of the sample that no dictionary saw. The weights' means and
+the shares of windows above two thresholds go into a logistic regression.
 
 The training sample is bounded (``SAMPLE`` rows); every text is scored whole.
 
 Defined cases: null and empty texts are one empty window; words of over 48
-bytes are windows of 48 bytes with their mean weight; without labels of both
-kinds every score is the share of toxic ones; null and repeated ids are kept; no
-rows give no rows.
+bytes are windows of 48 bytes with their mean weight, in training too; without
+labels of both kinds in both halves every score is the share of toxic ones; ids
+whose labels disagree teach nothing; null and repeated ids are kept, a row for
+each input row; texts of any length are scored whole, one in a batch if need
+be; no rows give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -71,7 +76,7 @@ class Lengths:
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.both = []
         for d in (ordinary, toxic):
-            p = zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=0, write_checksum=0)
+            p = zstandard.ZstdCompressionParameters(**SEARCH | {"window_log": max(SEARCH["window_log"], (2 * len(d)).bit_length())}, write_content_size=0, write_checksum=0)
             data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.both.append(zstandard.ZstdCompressor(compression_params=p, dict_data=data))
 
@@ -82,10 +87,12 @@ class Lengths:
         return min(max(d, -10), 29) + 10, min(len(word), 31)
 
     def weight(self, word: bytes, table: np.ndarray) -> float:
-        if len(word) <= WINDOW:
-            return float(table[self.cell(word)])
-        cells = [table[self.cell(word[k : k + WINDOW])] for k in range(0, len(word), WINDOW)]
-        return float(np.mean(cells))
+        return float(np.mean([table[self.cell(part)] for part in parts(word)]))
+
+
+def parts(word: bytes) -> list[bytes]:
+    """A word's windows: the word, or all of it in pieces."""
+    return [word[k : k + WINDOW] for k in range(0, len(word), WINDOW)] or [word]
 
 
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
@@ -107,12 +114,13 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
     r = np.random.default_rng(0)
     special = [b"".join(names[i] for i in r.permutation(len(names))[:8]) + EDGE for _ in range(400)] if names else []
     # a match costs by its distance, and a short one soon as much as it saves: the shortest stand last
-    near = b"".join(sorted(names, key=lambda g: (-len(g), best[g], g)))[-SIDE:]
+    near = b"".join(sorted(names, key=lambda g: (-len(g), best[g], g)))
     text = [b"".join(EDGE + w for w in d) for d in ordinary]
-    base = trained(BASE, [t[k : k + 1024] for t in text for k in range(0, len(t), 1024)])
-    few = [b"".join(EDGE + w for w in d[:: max(1, len(d) // 8)]) for d in ordinary if d]
-    end = CARRIER + TAIL
-    return trained(SIDE, special, k=64, d=6, level=3) + base + near + end, trained(SIDE, few) + base + (trained(2 * SIDE, few)[-len(near) :] if near else b"") + end
+    pieces_ = [t[k : k + 1024] for t in text for k in range(0, len(t), 1024)]
+    base, end = trained(BASE, pieces_), CARRIER + TAIL
+    # as long as the toxic side's, from whole ordinary texts
+    other = trained(SIDE + max(256, len(near)), pieces_)
+    return trained(SIDE, special, k=64, d=6, level=3) + base + near + end, other[len(near) :] + base + other[: len(near)] + end
 
 
 def features(weights: np.ndarray) -> list[float]:
@@ -149,8 +157,9 @@ def fit(sample: list[tuple[str, int]]) -> dict:
     for d, y in halves[1]:
         for w, n in Counter(d).items():
             if w not in cells:
-                cells[w] = lengths.cell(w[:WINDOW])
-            seen[y][cells[w]] += n / len(d) / total[y]
+                cells[w] = [lengths.cell(part) for part in parts(w)]
+            for cell in cells[w]:
+                seen[y][cell] += n / len(d) / total[y] / len(cells[w])
     table = np.log((seen[1] + 2e-5) / (seen[0] + 2e-5))
     known: dict = {}
     x = []
