@@ -236,7 +236,7 @@ def lexical_proofs(sites: DataFrame, scopes: DataFrame) -> DataFrame:
     """(ref, id) of sites (ref, file, name, at) by scopes (file, name, start, end, id, once): the innermost scope that holds the site, if its name is bound once there."""
     s = scopes.select(F.col("file").alias("f"), F.col("name").alias("n"), "start", "end", "id", "once")
     both = sites.join(s, (F.col("file") == F.col("f")) & (F.col("name") == F.col("n")) & (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    best = both.groupBy("ref").agg(F.min_by(F.struct("id", "once"), F.col("end") - F.col("start")).alias("b"))
+    best = both.groupBy("ref").agg(F.min_by(F.struct("id", "once"), F.struct(F.col("end") - F.col("start"), "id")).alias("b"))
     return best.where("b.once").select("ref", "b.id")
 
 

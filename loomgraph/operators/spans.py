@@ -34,8 +34,9 @@ def occurrence_numbers(rows: DataFrame, base: str, order: list[str]) -> DataFram
     return out.withColumn("path", F.when(F.col("n") > 1, F.concat(F.col(base), F.lit("#"), F.col("n").cast("string"))).otherwise(F.col(base)))
 
 
-def adjacent_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
+def adjacent_duplicates(rows: DataFrame, keys: list[str], order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Rows that equal the one before them in an order; within: columns in whose groups the order runs, so that no task has all rows."""
+    w = Window.partitionBy(*(within or [F.lit(1)])).orderBy(*order)
     return rows.withColumn("before", F.lag(F.struct(*keys)).over(w)).where(F.col("before").eqNullSafe(F.struct(*keys))).drop("before")
 
 

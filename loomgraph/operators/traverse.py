@@ -65,15 +65,20 @@ def routes(g: Graph) -> DataFrame:
     return each.groupBy("caller", "path").agg(value("entry_route::").alias("entry"), F.max(F.col("kind") == "entry_route_params::").alias("params"), value("route_guard::").alias("guard"))
 
 
-def impact(g: Graph, origins: DataFrame, routed: bool = False) -> DataFrame:
+def has_routes(g: Graph) -> bool:
+    keys = g.nodes.select(F.explode(F.map_keys("attributes")).alias("key"))
+    return bool(keys.where(F.startswith("key", F.lit("entry_route")) | F.startswith("key", F.lit("route_guard::"))).limit(1).count())
+
+
+def impact(g: Graph, origins: DataFrame, routed: bool | None = None) -> DataFrame:
     """(origin, node, distance) that the origins (id) have impact on, without themselves.
 
-    routed: a guard on the step into a dispatcher is a context for the next step,
+    routed: by default where any node has a route, since without routes both are the same. A guard on the step into a dispatcher is a context for the next step,
     which only callers of the same entry route, or of none, may take. Every pair
     of node and context is visited, so the result doesn't hang on order.
     """
     seeds = origins.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
-    if not routed:
+    if not (has_routes(g) if routed is None else routed):
         return reach(impact_steps(g), seeds).where("node <> origin")
     spark = seeds.sparkSession
     base, schema = new_dir(spark, "routes"), "origin long, node long, context string, distance int"
@@ -99,6 +104,19 @@ def impact(g: Graph, origins: DataFrame, routed: bool = False) -> DataFrame:
     return out.groupBy("origin", "node").agg(F.min("distance").alias("distance")).where("node <> origin")
 
 
+def impact_edges(found: DataFrame) -> DataFrame:
+    """Edges of kind Impacts of found (origin, node, distance): the nearer the heavier."""
+    weight = F.greatest(1 / (F.col("distance") + 1), F.lit(0.05)).cast("float")
+    return found.select(F.col("origin").alias("src"), F.col("node").alias("dst"), F.lit("Impacts").alias("kind"), weight.alias("weight"))
+
+
+def materialize_impacts(g: Graph, origins: DataFrame) -> Graph:
+    """The graph with what the origins (id) have impact on as edges; again, it changes nothing."""
+    from ..graph import add_edges
+
+    return add_edges(g, impact_edges(impact(g, origins)))
+
+
 def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("id_hex", hex_id(F.col("node"))).orderBy("distance", "id_hex")
 
