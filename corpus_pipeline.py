@@ -7,6 +7,14 @@ near-duplicates the document with the least id stays; documents that hold a
 benchmark passage go; the mix takes words of each source to its target (a
 document is there once for each pass over its source, with the words that the
 mix takes of it); the last stage writes rows of token ids.
+
+Defined cases: null and empty texts and those under 50 words are rejected by the
+first stage; null ids and sources are kept like others (a null source is a
+source of its own); of repeated rows and of ties one row stays, that of the
+least id and text; very long texts are gone through whole by each stage; an
+empty table gives no rows; other columns of documents, also those called like a
+stage's results, keep their values up to the last stage, which has columns of
+its own.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.idents import module_of, node_id
+from ..functions.idents import module_path as file_module
 from ..graph import Graph
 from ..operators.resolve import bare_proofs, resolve_inherits, select_candidates
 from ..schema import SPAN
@@ -306,8 +307,8 @@ def build(facts: DataFrame) -> Graph:
     inherits = facts.where("fact = 'inherit'").select(F.col("path").alias("ref"), module_of(F.col("path")).alias("module"), F.col("name").alias("base")).distinct()
     edges = edges.union(of(resolve_inherits(inherits, types), F.col("ref"), F.col("path"), "Inherits"))
     calls = facts.where("fact = 'call'").withColumn("ref", F.xxhash64("file", "path", "start", "qualifier", "name"))
-    refs = calls.select("ref", node_id(F.col("path")).alias("caller"), F.col("path").alias("caller_path"), F.col("name").alias("callee"), "qualifier", F.col("receiver").alias("receiver_type"), F.lit(True).alias("qualifier_owner_fallback"), F.col("shadowed").alias("shadowed_by_local"))
-    functions = nodes.where("kind = 'Function'").select("id", "path", "name")
+    refs = calls.select("ref", node_id(F.col("path")).alias("caller"), F.col("path").alias("caller_path"), F.col("name").alias("callee"), "qualifier", F.col("receiver").alias("receiver_type"), F.lit(True).alias("qualifier_owner_fallback"), F.col("shadowed").alias("shadowed_by_local"), file_module(F.col("file")).alias("caller_module"))
+    functions = nodes.where("kind = 'Function'").select("id", "path", "name", file_module(F.col("file")).alias("module"))
     found = select_candidates(refs, functions)
     made = found.join(refs.select("ref", "caller"), "ref").where("caller <> id").select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("Calls").alias("kind"), one)
     edges = edges.union(made).distinct()
@@ -322,4 +323,8 @@ def build(facts: DataFrame) -> Graph:
     reason = F.when(cls == "must", "proven-top-level-lexical-binding").when(cls == "may", "only-candidate").otherwise("unproven-call-site")
     site = F.struct(F.col("start").alias("start_byte"), (F.col("start") + F.col("n")).alias("end_byte"), F.lit(0).alias("start_row"), F.lit(0).alias("start_col")).cast(SPAN)
     claims = c.select("caller", F.lit(1).alias("version"), "source_fingerprint", F.array().cast("array<string>").alias("assumptions"), site.alias("site"), cls.alias("class"), F.when(F.col("id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("id")).alias("targets"), reason.alias("reason"), F.lit(False).alias("coverage_gap"))
-    return Graph(nodes, edges.select("src", "dst", "kind", "weight"), claims.distinct())
+    # functions and modules without calls say so: without a claim their evidence would be missing
+    idle = nodes.where("kind in ('Function', 'Module')").select(F.col("id").alias("caller")).join(claims.select("caller"), "caller", "left_anti").join(text, "caller")
+    none = lambda t: F.lit(None).cast(t)
+    idle = idle.select("caller", F.lit(1), "source_fingerprint", F.array().cast("array<string>"), none(SPAN), none("string"), F.array().cast("array<bigint>"), none("string"), F.lit(False))
+    return Graph(nodes, edges.select("src", "dst", "kind", "weight"), claims.distinct().union(idle))
