@@ -56,3 +56,24 @@ def test_stages_against_brute_force(spark):
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(len(r["ids"]) == 2 * packing.LENGTH for r in rows)
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns called like every stage's results."""
+    from pyspark.sql import functions as F
+
+    from .fixtures import ODD, SCHEMA, documents, prose
+
+    docs = documents(spark, [*ODD, *(prose(80, 40 + i) for i in range(20))])
+    for c in ("text_left", "n_words", "hash", "component_id", "tie_", "key_", "item", "taken", "row"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert {(r["KEPT"], r["Size"], r["hash"], r["taken"]) for r in docs.collect()} <= {("y", "x", "mine", "mine")}
+        assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+    none = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
