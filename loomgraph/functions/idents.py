@@ -114,10 +114,8 @@ def tokens(text: Column) -> Column:
 
 
 def token_pairs(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """(keys, token): the same as rows, each once. Words are rows from the start, so that all of it is compiled, not folded over arrays."""
-    words = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 1))).alias("word"))
-    parts = words.select(*keys, F.explode(F.concat(F.array("word"), F.split("word", INNER, -1))).alias("word"))
-    return parts.select(*keys, stem(ascii_lower(F.col("word"))).alias("token")).where(kept(F.col("token"))).distinct()
+    """(keys, token): the same as rows, each once for a row of df. Equal words go before they are stemmed."""
+    return df.select(*keys, F.explode(tokens(text)).alias("token"))
 
 
 def with_identifier(text: Column, old: str, new: str) -> Column:

@@ -40,7 +40,7 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = TOP, floor: float | No
     """
     rows = materialize(token_rows(nodes), "tokens")
     w = materialize(idf(rows, nodes.agg(F.count(F.lit(1)).alias("n"))), "idf").select("token", "weight")
-    q = token_pairs(queries, ["query"], F.col("text"))
+    q = token_pairs(queries, ["query"], F.col("text")).distinct()
     q = q.join(w, "token", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("q_norm"))
     boost = F.when(F.col("named"), BOOST).otherwise(1.0)
