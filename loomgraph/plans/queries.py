@@ -488,10 +488,10 @@ TALK = tokens_sql("t", "SELECT conv_id * 1000 + turn AS id, text FROM conversati
 @query(
     f"""WITH {TALK}, sets AS (SELECT id, list_sort(list(token)) AS s FROM t GROUP BY 1), reps AS (SELECT s, min(id) AS id FROM sets GROUP BY 1), tok AS (SELECT id, len(s) AS n, unnest(s) AS token FROM reps),
 pairs AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i FROM tok x JOIN tok y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2)
-SELECT a, b, round(i / (na + nb - i), 6) AS score FROM pairs WHERE i / (na + nb - i) >= 0.3"""
+SELECT a, b, round(i / (na + nb - i), 6) AS score FROM pairs WHERE i / (na + nb - i) >= 0.15"""
 )
 def jaccard_pairs(spark, sf):
-    return similarity.similar_pairs(conversation_sets(spark, sf), 0.3)[0].select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.similar_pairs(conversation_sets(spark, sf), 0.15)[0].select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {TALK}, sets AS (SELECT id, list_sort(list(token)) AS s FROM t GROUP BY 1) SELECT min(id) OVER (PARTITION BY s) AS rep, id FROM sets")
