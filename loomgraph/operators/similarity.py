@@ -106,6 +106,23 @@ def concept(g: Graph, text: str, k: int = TOP) -> DataFrame:
     return hits.select("id", "score", F.lit("match").alias("kind")).union(like.select("id", "score", F.lit("similar")))
 
 
+def search_report(g: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query, rank, score, path) for queries (query, text): what a search prints, the score with two decimals."""
+    hits = search(searchable(g), queries, k).join(g.nodes.select("id", "path"), "id")
+    return hits.select("query", "rank", F.round("score", 2).alias("score"), "path").orderBy("query", "rank")
+
+
+def duplicate_report(g: Graph, threshold: float = 0.6) -> DataFrame:
+    """(left, right): the paths of each pair of alike functions once, the lesser id at the left, in the order of paths."""
+    from ..functions.idents import hex_id
+
+    path = g.nodes.select("id", "path")
+    pairs = similarity_edges(g, threshold).where(hex_id(F.col("src")) < hex_id(F.col("dst"))).select("src", "dst")
+    pairs = pairs.join(path.select(F.col("id").alias("src"), F.col("path").alias("left")), "src")
+    pairs = pairs.join(path.select(F.col("id").alias("dst"), F.col("path").alias("right")), "dst")
+    return pairs.select("left", "right").orderBy("left", "right")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -10,7 +10,7 @@ from ..functions.idents import node_id
 from ..operators import classify, crdt, diff, lookup, resolve, review, similarity, spans, traverse
 from ..sources.files import normalized_path
 from ..streaming import watch
-from .queries import BEFORE, CLASSED, EDGE_DIFF, NEW, OLD, OPS, STEPS, classified, edges_sql, event_ops, ids, older_parts, parts_now, query, reach_sql, star_sql, supplier_sql, suppliers, tokens_sql, with_paths
+from .queries import BEFORE, CLASSED, EDGE_DIFF, NEW, OLD, OPS, STEPS, classified, documents_as_nodes, edges_sql, event_ops, ids, older_parts, parts_now, query, reach_sql, search_sql, star_sql, supplier_sql, suppliers, tokens_sql, with_paths
 from .star import baseline, load, part_path, star_graph
 
 
@@ -220,6 +220,21 @@ def similar_edges(spark, sf):
     return out.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(col("weight").cast("double")), 3).alias("weight"))
 
 
+@query(f"WITH {PARTS}, m AS (SELECT w.id, k.id AS rep FROM w JOIN k USING (s)), d AS (SELECT a, b FROM pairs WHERE score >= 0.6 UNION ALL SELECT b, a FROM pairs WHERE score >= 0.6 UNION ALL SELECT id, id FROM k) SELECT 'p' || x.id AS path, count(*) AS n FROM d JOIN m x ON x.rep = a JOIN m y ON y.rep = b WHERE x.id < y.id GROUP BY x.id")
+def duplicate_pairs(spark, sf):
+    """Parts as functions; of each the number of alike parts that the report lists with it."""
+    p = load(spark, sf, "part").select(col("p_partkey").alias("id"), text("p", col("p_partkey")).alias("path"), F.lit("Function").alias("kind"), F.concat_ws(" ", "p_name", "p_type").alias("source"))
+    return similarity.duplicate_report(G.Graph(p, None)).groupBy(col("left").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT query, 'crate::docs::' || source || '::d' || doc_id AS path, rank FROM ({search_sql('true').replace('rank <= 8', 'rank <= 10')}) JOIN documents ON id = doc_id")
+def search_lines(spark, sf):
+    """Documents as functions, the benchmark's items as questions: the paths that a search prints."""
+    d = documents_as_nodes(spark, sf).withColumns({"kind": F.lit("Function"), "attributes": F.create_map().cast("map<string,string>")})
+    q = load(spark, sf, "benchmark").select(col("item_id").alias("query"), "text")
+    return similarity.search_report(G.Graph(d, None), q).select("query", "path", "rank")
+
+
 # resolution
 
 

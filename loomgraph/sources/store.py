@@ -76,16 +76,29 @@ def current(spark: SparkSession, base: str) -> int | None:
     return int(text) if text else None
 
 
-def publish(g: Graph, base: str, expected: int | None) -> int:
-    """Writes the next generation and points to it, if the published one is still the expected one: readers see all of it or nothing."""
+class Stale(RuntimeError):
+    """An event came while a candidate was built for an older epoch."""
+
+
+def publish(g: Graph, base: str, expected: int | None, still=None) -> int:
+    """Writes the next generation and points to it, if the published one is still the expected one: readers see all of it or nothing.
+
+    still: asked before the write and before the pointer moves; if it says no,
+    nothing is published.
+    """
     spark = g.nodes.sparkSession
-    if current(spark, base) != expected:
-        raise RuntimeError("another generation was published")
+
+    def check():
+        if current(spark, base) != expected:
+            raise RuntimeError("another generation was published")
+        if still is not None and not still():
+            raise Stale(base)
+
+    check()
     number = (expected or 0) + 1
     save(g, f"{base}/gen={number}")
     load(spark, f"{base}/gen={number}")
-    if current(spark, base) != expected:
-        raise RuntimeError("another generation was published")
+    check()
     write_text(spark, f"{base}/current", str(number))
     return number
 

@@ -186,6 +186,68 @@ def test_incremental_equals_cold(spark, tree, tmp_path):
     assert inc.apply(watch.coalesced(spark.createDataFrame([(1, None, "a.py", "x")], watch.CHANGES)), 0) == {"skipped": True}
 
 
+def held_files(spark, files):
+    from loomgraph.functions.idents import language
+
+    rows = spark.createDataFrame(list(files.items()), "path string, source string").withColumn("lang", language(F.col("path")))
+    return rows.select("path", "lang", "source", F.sha2(F.encode("source", "UTF-8"), 256).alias("sha256"))
+
+
+def test_updates_act_on_their_reasons(spark, tmp_path):
+    """Few changes parse only what changed; lost notifications, another configuration and inconsistent facts lead to a rebuild; an old epoch is never published."""
+    changes = lambda rows: spark.createDataFrame([(k, None, p, t) for k, (p, t) in enumerate(rows)], watch.CHANGES)
+    now = {f"m{k}.py": f"def f{k}():\n    return {k}\n" for k in range(4)}
+    inc = watch.Incremental(spark, f"file://{tmp_path}/inc")
+    assert inc.apply(changes(now.items()), 0) == {"parsed": 4, "reused": 0, "deleted": 0, "reasons": ["dirty_set"], "generation": 1}
+    now["m0.py"] = "def f0():\n    return f1()\n"
+    assert inc.apply(changes([("m0.py", now["m0.py"])]), 1) == {"parsed": 1, "reused": 3, "deleted": 0, "reasons": [], "generation": 2}
+    assert inc.apply(changes([("gone.py", None)]), 2)["reasons"] == ["uncertain_mapping"]
+    # a file came and one went, and nobody told
+    now["n.py"] = "def g():\n    pass\n"
+    del now["m3.py"]
+    assert inc.reconcile(held_files(spark, now)) == {"parsed": 1, "reused": 3, "deleted": 1, "reasons": [], "generation": 4}
+    assert inc.reconcile(held_files(spark, now)) == {"empty": True}
+    now["o.py"] = "X = 1\n"
+    told = inc.apply(changes([("m1.py", now["m1.py"])]), 3, held_files(spark, now))
+    assert told["reasons"] == ["ownership"] and told["parsed"] == 5
+    other = watch.Incremental(spark, inc.base, "v2")
+    assert other.apply(changes([("m1.py", now["m1.py"])]), 4)["reasons"] == ["configuration"]
+    # an event during the build
+    epoch = inc.epoch
+    stamps = iter(["a", "a", "b"])
+    other.epoch = lambda: next(stamps)
+    before = store.current(spark, inc.base)
+    with pytest.raises(store.Stale):
+        other.apply(changes([("m1.py", "x = 2\n")]), 5)
+    assert store.current(spark, inc.base) == before and other._state()["batch"] == 4
+    other.epoch = epoch
+    assert epoch() is None
+    inc.invalidate()
+    first = epoch()
+    inc.invalidate()
+    assert first and epoch() != first
+    assert other.apply(changes([("m1.py", "x = 2\n")]), 5)["parsed"] == 1
+    # facts that aren't those of the texts
+    facts, n = other.facts().collect(), other._state()["facts"]
+    schema = other.facts().schema
+    spark.createDataFrame([r for r in facts if r["path"] != "crate::n::g"], schema).write.mode("overwrite").parquet(f"{other.base}/facts={n}")
+    assert [r["path"] for r in watch.inconsistent(other.held(), other.facts()).collect()] == ["n.py"]
+    with pytest.raises(ValueError):
+        other.apply(changes([("m2.py", "y = 1\n")]), 6)
+    now |= {"m1.py": "x = 2\n", "m2.py": "y = 1\n"}
+    (tmp_path / "ticks").mkdir()
+    (tmp_path / "ticks" / "0.json").write_text('{"tick": 0}\n')
+    ticks = spark.readStream.schema("tick long").json(f"file://{tmp_path}/ticks")
+    number = store.current(spark, other.base)
+    other.run_reconciling(ticks, lambda: held_files(spark, now), f"file://{tmp_path}/ticked")
+    assert store.current(spark, other.base) == number + 1
+    assert watch.inconsistent(other.held(), other.facts()).count() == 0
+    cold = extract.build(extract.extract(held_files(spark, now)))
+    warm = store.published(spark, other.base)[1]
+    for a, b in ((cold.nodes, warm.nodes), (cold.edges, warm.edges), (cold.claims, warm.claims)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
 def test_rebuild_rules():
     assert watch.rebuild_reasons(5, 10, 10) == [] and watch.rebuild_reasons(6, 10, 10) == ["dirty_set"]
     assert watch.rebuild_reasons(1, 10, 10, config_changed=True, cache_ok=False) == ["configuration", "cache_inconsistent"]
