@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
+from . import conversation_repair, decontamination, hmm, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .labelled import crc_of
 
@@ -75,6 +75,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hmm": op8_hmm,
         "op9_quality_cnn": op9_quality_cnn,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
