@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, hmm, minhash, mixing, packing, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
+from . import conversation_repair, decontamination, hmm, minhash, mixing, packing, pieces, pii, quality_cnn, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .labelled import crc_of
 
@@ -80,6 +80,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(rows), rows)[0]
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_cnn": op9_quality_cnn,
         "op10_toxicity": op10_toxicity,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_sentencepiece": op12_sentencepiece,
     }
 
 
