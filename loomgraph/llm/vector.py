@@ -75,14 +75,14 @@ def pieces(batch: pa.RecordBatch, text: int, limit: int = 4 << 20):
         at = to
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first, starts, ends): a hash for each word, the words of text i being first[i] up to first[i + 1]; starts and ends are bytes."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True, spaces: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, starts, ends): a hash for each word, the words of text i being first[i] up to first[i + 1]; starts and ends are bytes. spaces: which bytes end words, if others than white space."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), np.zeros(len(bounds), np.int64), none, none
-    plain, folded, spaces = BYTES
-    space = spaces[data]
+    plain, folded, white = BYTES
+    space = (white if spaces is None else spaces)[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
