@@ -16,8 +16,10 @@ Everything is a DataFrame expression: no Python runs on executors.
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source of its own, in the last place; repeated rows and rows with equal or null
 ids are separate documents; sources of no words have target 0; no rows give no
-rows; columns of the input that have the name of a result column keep their
-name with ``in_`` before it.
+rows; sources of few words take part too: a source with a target has a slot at
+least; very long texts are cut into blocks like others; other columns of the
+input, whatever their names, aren't looked at by ``mix_sizes``, whose columns
+are its own, and are kept as they are by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_RUN, fresh, let, materialize, words_of
+from .common import SPACE_RUN, let, materialize, words_of
 
 #: Words in a block; slots in an output shard; how often a source may be repeated.
 BLOCK, SHARD, REPEATS = 64, 4096, 3
@@ -90,13 +92,15 @@ def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     total = Window.partitionBy(F.lit(1))
     upto = Window.orderBy("rank")
-    slots = F.coalesce(F.ceil(F.sum("source_size").over(total) / F.lit(float(block))), F.lit(0)).cast("long")
-    share = F.coalesce(F.sum("target").over(upto) / F.sum("target").over(total), F.lit(0.0))
-    sources = sources.withColumn("slots", slots).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long"))
-    sources = sources.withColumn("high", F.round(share * DRAWN).cast("long")).withColumn("upto", F.ceil(share * F.col("slots") - 0.5).cast("long"))
-    before = lambda c: F.coalesce(F.lag(c).over(upto), F.lit(0))
-    sources = sources.withColumn("low", before("high")).withColumn("quota", F.least(F.col("upto") - before("upto"), REPEATS * F.col("blocks")))
-    sources = materialize(sources.drop("upto"), "sources")
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long"))
+    # slots by the words that a block of the source has on average: a source of a few words has one short block, and takes it as often as it should
+    want = F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
+    sources = sources.withColumn("quota", F.least(F.greatest(want, F.when(F.col("target") > 0, 1).otherwise(0)), REPEATS * F.col("blocks")))
+    sources = sources.withColumn("slots", F.coalesce(F.sum("quota").over(total), F.lit(0)))
+    share = F.coalesce(F.sum("quota").over(upto) / F.nullif("slots", F.lit(0)), F.lit(0.0))
+    sources = sources.withColumn("high", F.round(share * DRAWN).cast("long"))
+    sources = sources.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0)))
+    sources = materialize(sources, "sources")
     taken = slots_of(sources, seed, shard).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list("shard")).alias("shards"))
     bucketed = buckets.withColumn("bucket_start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
@@ -182,18 +186,17 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     place in the source, so each takes its own blocks.
     """
     mixed = mix_sizes(df, doc_id, text, source, block, seed).where("taken > 0")
-    tie, h = fresh(df, "tie_"), fresh(df, "hash_")
     x = F.coalesce(F.col(text), F.lit(""))
-    same = Window.partitionBy(doc_id, source, h).orderBy(F.lit(1))
-    left = df.withColumn(h, F.xxhash64(x)).withColumn(tie, F.row_number().over(same))
-    right = mixed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "hash").orderBy("start")))
-    right = right.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("hash").alias("m_hash"), F.col("nth").alias("m_nth"), F.array_sort("pieces").alias("m_pieces"))
-    right = right.withColumn("m_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("m_pieces", lambda p: p["times"])))))
-    both = left.join(right, left[doc_id].eqNullSafe(F.col("m_id")) & left[source].eqNullSafe(F.col("m_source")) & (left[h] == F.col("m_hash")) & (left[tie] == F.col("m_nth")))
-    tokens = F.split(F.regexp_replace(F.col(text), "^" + SPACE_RUN, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
-    body = let(tokens, lambda t: F.concat_ws("", F.flatten(F.transform(F.filter("m_pieces", lambda p: p["times"] >= F.col("m_pass")), lambda p: F.slice(t, (p["at"] + 1).cast("int"), p["words"].cast("int"))))))
-    both = both.withColumn(text, body)
-    if chars and chars in df.columns:
-        both = both.withColumn(chars, F.char_length(text).cast(df.schema[chars].dataType))
-    return both.select(*df.columns)
-
+    # the input's columns go along in one, so none clashes with a helper
+    left = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("of"), F.xxhash64(x).alias("h"))
+    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "of", "h").orderBy(F.lit(1))))
+    right = mixed.withColumn("m_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "hash").orderBy("start")))
+    right = right.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("hash").alias("m_hash"), "m_nth", F.array_sort("pieces").alias("pieces"))
+    right = right.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("pieces", lambda p: p["times"])))))
+    both = left.join(right, F.col("id").eqNullSafe(F.col("m_id")) & F.col("of").eqNullSafe(F.col("m_source")) & (F.col("h") == F.col("m_hash")) & (F.col("nth") == F.col("m_nth")))
+    own = F.col("row")[text]
+    tokens = F.split(F.regexp_replace(own, "^" + SPACE_RUN, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    body = let(tokens, lambda t: F.concat_ws("", F.flatten(F.transform(F.filter("pieces", lambda p: p["times"] >= F.col("pass")), lambda p: F.slice(t, (p["at"] + 1).cast("int"), p["words"].cast("int"))))))
+    both = both.select("row", body.alias("body"))
+    new = {text: F.col("body")} | ({chars: F.char_length("body").cast(df.schema[chars].dataType)} if chars and chars in df.columns else {})
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in df.columns])

@@ -158,6 +158,32 @@ def test_draws_are_multinomial(spark):
     assert all(r["times"] == len(r["shards"]) for r in taken.collect())
 
 
+def test_small_sources_are_in_the_mix(spark):
+    """Sources of few words, well under half a block: as often as their target says, not never."""
+    rows = [prose(900, i) for i in range(12)]
+    sources = ["big"] * 12 + ["six", "three", "seventy", "one"]
+    df = documents(spark, [*rows, "a b c d e f", "x y z", prose(70, 7), "w"], sources).where("source is not null")
+    got = defaultdict(int)
+    want = {}
+    for r in mixing.mix_sizes(df, block=64).collect():
+        got[r["source"]] += r["taken"]
+        want[r["source"]] = r["target"]
+    assert (got["six"], want["six"]) == (18, 18) and (got["three"], want["three"]) == (9, 9) and (got["one"], want["one"]) == (3, 3)
+    assert abs(got["seventy"] - want["seventy"]) <= 64 and abs(got["big"] - want["big"]) <= 64
+    assert mixing.mix_documents(df, block=512).where("source = 'six'").count() == 3
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["m_id", "M_SOURCE", "m_hash", "m_nth", "m_pieces", "m_pass", "row", "id", "of", "H", "nth", "pieces", "pass", "body", "tie_", "hash_", "start", "rank", "target", "block", "times", "shards"]
+    df = documents(spark, [prose(80, i) for i in range(6)] + ODD)
+    for c in names:
+        df = df.withColumn(c, F.lit(f"my {c}"))
+    out = mixing.mix_documents(df, block=16)
+    assert out.columns == df.columns and out.count() > 6
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(f"my {c}" for c in names)}
+    assert mixing.mix_sizes(df, block=16).count() == df.count()
+
+
 def test_mix_documents_holds_what_sizes_say(spark):
     df = documents(spark, [prose(100 + i, i) for i in range(60)], ["x", "x", "x", "y", None])
     sizes = mixing.mix_sizes(df, block=16)

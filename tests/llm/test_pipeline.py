@@ -65,7 +65,7 @@ def test_odd_rows_and_clashing_columns(spark):
     from .fixtures import ODD, SCHEMA, documents, prose
 
     docs = documents(spark, [*ODD, *(prose(80, 40 + i) for i in range(20))])
-    for c in ("text_left", "n_words", "hash", "component_id", "tie_", "key_", "item", "taken", "row"):
+    for c in ("text_left", "n_words", "hash", "component_id", "tie_", "key_", "item", "taken", "row", "m_id", "m_source", "M_HASH", "m_nth", "m_pieces", "m_pass", "pieces", "body", "nth"):
         docs = docs.withColumn(c, F.lit("mine"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
