@@ -45,8 +45,8 @@ LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 BITS, BLOCK = (16, 30), 16
 #: Patterns of a group: about 200 MB of automata in a worker.
 GROUP = 400_000
-#: Occurrences that a task counts before it hands them on.
-HELD = 4 << 20
+#: Occurrences that a task counts before it hands them on; bytes of text that are hashed at a time, but for a longer text.
+HELD, SLICE = 4 << 20, 1 << 20
 UNKNOWN = "und"
 DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 
@@ -106,7 +106,7 @@ def sketched(batches, bits: int):
             yield batch_of(SKETCH, [(None, None, *r) for r in rows])
 
     for batch in batches:
-        for some in pieces(batch, 0, 2 << 20):
+        for some in pieces(batch, 0, SLICE):
             _, _, _, words, found = phrase_hashes(some.column(0), some.column(1))
             for lang, n in zip(some.column(1).to_pylist(), words.tolist(), strict=True):
                 langs[lang] = langs.get(lang, 0) + n
@@ -184,21 +184,26 @@ class Cells:
 
 
 def listed(batches, cells):
-    """(lang, phrase) of phrases in cells that reach the least count, about once for each few megabytes of text."""
+    """(lang, phrase) of phrases in cells that reach the least count, about once a task."""
+    seen = np.zeros(0, np.uint64)
     for batch in batches:
-        for some in pieces(batch, 0, 8 << 20):
+        for some in pieces(batch, 0, SLICE):
             data, starts, ends, words, found = phrase_hashes(some.column(0), some.column(1))
             langs = some.column(1)
             doc = np.repeat(np.arange(len(words)), words)
+            folded = data.tobytes().translate(FOLDED)
             for k, (at, h) in enumerate(found, 2):
                 kept = np.flatnonzero(cells.value.has(h))
-                _, one = np.unique(h[kept], return_index=True)
-                first = at[kept[one]]
+                new, one = np.unique(h[kept], return_index=True)
+                place = np.searchsorted(seen, new)
+                unseen = np.append(seen, np.uint64(0))[place] != new
+                first = at[kept[one[unseen]]]
+                seen = np.insert(seen, place[unseen], new[unseen]) if len(seen) < HELD else new
                 rows = langs.take(pa.array(doc[first])) if len(first) else pa.array([], pa.string())
-                folded = data.tobytes().translate(FOLDED)
-                texts = [b" ".join(folded[a:b].split()).decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first + k - 1].tolist(), strict=True)]
-                for i in range(0, len(texts), 65_536):
-                    yield pa.RecordBatch.from_arrays([rows.slice(i, 65_536), pa.array(texts[i : i + 65_536], pa.string())], names=["lang", "phrase"])
+                for i in range(0, len(first), 16_384):
+                    part = first[i : i + 16_384]
+                    texts = [b" ".join(folded[a:b].split()).decode("utf-8", "replace") for a, b in zip(starts[part].tolist(), ends[part + k - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([rows.slice(i, len(part)), pa.array(texts, pa.string())], names=["lang", "phrase"])
 
 
 class Automata:
@@ -207,7 +212,7 @@ class Automata:
     def __init__(self, patterns: pa.Table):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, patterns.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(patterns)
+            writer.write_table(patterns, max_chunksize=16_384)
         self.patterns, self.made = sink.getvalue().to_pybytes(), None
 
     def __getstate__(self):
@@ -217,12 +222,12 @@ class Automata:
         if self.made is None:
             import ahocorasick
 
-            table = pa.ipc.open_stream(self.patterns).read_all()
             self.made = {}
-            for lang, phrase, pid in zip(*(c.to_pylist() for c in table.columns), strict=True):
-                if lang not in self.made:
-                    self.made[lang] = ahocorasick.Automaton()
-                self.made[lang].add_word(f" {phrase} ", pid)
+            for batch in pa.ipc.open_stream(self.patterns):
+                for lang, phrase, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if lang not in self.made:
+                        self.made[lang] = ahocorasick.Automaton()
+                    self.made[lang].add_word(f" {phrase} ", pid)
             for automaton in self.made.values():
                 automaton.make_automaton()
         return self.made
