@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.idents import last_segment, module_of
 from ..graph import Graph
 from ..lineage import materialize
-from .traverse import reach
 
 
 def only(value: str):
@@ -214,15 +213,16 @@ def rebound(claims: DataFrame, literals: DataFrame) -> DataFrame:
     return claims.join(names, "name", "left").withColumn("class", F.when(F.col("hit") & (F.col("class") == "must"), "unknown").otherwise(F.col("class"))).drop("hit")
 
 
-def import_proofs(imports: DataFrame, exports: DataFrame, mocked: DataFrame) -> DataFrame:
-    """imports (importer, local, file, name) that are proved: one export (file, name), no mock of the file, no way of imports back to the importer."""
+def import_proofs(imports: DataFrame, exports: DataFrame, mocked: DataFrame, dependencies: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """imports (importer, local, file, name[, root]) that are proved: one export (file, name), no mock of the file, no way of imports or other dependencies (importer, file) back to the importer, no blocked root (root)."""
+    from .proofs import import_cycles
+
     one = exports.groupBy("file", "name").count().where("count = 1").select("file", "name")
-    good = imports.join(one, ["file", "name"]).join(mocked.select("file"), "file", "left_anti")
-    ids = lambda c: F.xxhash64(c)
-    steps = imports.select(ids("importer").alias("at"), ids("file").alias("to")).distinct()
-    seeds = good.select(ids("file").alias("origin"), ids("file").alias("node")).distinct()
-    back = reach(steps, seeds).select("origin", "node")
-    return good.join(back, (ids("file") == F.col("origin")) & (ids("importer") == F.col("node")), "left_anti")
+    good = imports.join(one, ["file", "name"]).join(mocked.select("file").distinct(), "file", "left_anti")
+    if blocked is not None:
+        good = good.join(blocked.select("root").distinct(), "root", "left_anti")
+    # an import leads back to its importer where both ends are in one component
+    return good.join(import_cycles(imports, dependencies), ["importer", "file"], "left_anti")
 
 
 def package_proofs(refs: DataFrame, declarations: DataFrame, constrained: DataFrame) -> DataFrame:

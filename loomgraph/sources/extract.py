@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.idents import module_of, node_id
 from ..functions.idents import module_path as file_module
+from ..functions.predicates import cfg_value
 from ..graph import Graph
-from ..operators.resolve import bare_proofs, resolve_inherits, select_candidates
+from ..operators.proofs import certain_calls, owners
+from ..operators.resolve import resolve_inherits, select_candidates
 from ..schema import SPAN
 
 FACTS = "fact string, file string, lang string, path string, owner string, kind string, name string, start long, stop long, row int, col int, source string, qualifier string, receiver string, shadowed boolean, test boolean, returns string"
@@ -46,8 +48,15 @@ class Facts:
         row = max(0, next((k for k, s in enumerate(self.starts) if s > start), len(self.starts)) - 1)
         self.add("def", kind=kind, path=path, owner=owner, name=name, start=start, stop=stop, row=row, col=start - self.starts[row], source=text, test=test, returns=returns)
 
-    def call(self, caller, qualifier, name, start, receiver=None, shadowed=False):
-        self.add("call", path=caller, qualifier=qualifier or None, name=name, start=start, receiver=receiver, shadowed=shadowed)
+    def call(self, caller, qualifier, name, start, receiver=None, shadowed=False, kind=None):
+        self.add("call", path=caller, qualifier=qualifier or None, name=name, start=start, receiver=receiver, shadowed=shadowed, kind=kind)
+
+    def use(self, name, role, start, path=None):
+        self.add("use", name=name, kind=role, start=start, path=path)
+
+    def region(self, kind, start, stop):
+        """What can run or change code without a call of its own: a macro, an attribute, an operator."""
+        self.add("region", kind=kind, start=start, stop=stop)
 
 
 def python_facts(file: str, source: str) -> list[dict]:
@@ -132,14 +141,49 @@ def python_facts(file: str, source: str) -> list[dict]:
                         hints[t.id] = typed(n.annotation) if isinstance(n, ast.AnnAssign) else made
 
     try:
-        body(ast.parse(source).body, out.module, "Module", {}, set(), False)
+        tree = ast.parse(source)
     except SyntaxError:
         out.add("gap", path=out.module, name="parse-error")
+        return out.rows
+    body(tree.body, out.module, "Module", {}, set(), False)
+    out.add("gap", path=out.module, name="implicit-runtime-dispatch-not-certified")
+    python_uses(out, tree, at)
     return out.rows
 
 
+def python_uses(out: Facts, tree, at) -> None:
+    """Every occurrence of a name with its role, and what may run code without a call."""
+    top = {id(n) for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and not n.decorator_list}
+    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Name):
+            out.use(n.id, "call" if id(n) in called else "other", at(n))
+            if id(n) in called and n.id in ("exec", "eval", "compile"):
+                out.add("gap", name="blocked")
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.use(n.name, "definition" if id(n) in top else "other", at(n), f"{out.module}::{n.name}" if id(n) in top else None)
+            for d in n.decorator_list:
+                out.region("attribute", at(d), at(d, True))
+        elif isinstance(n, ast.alias):
+            if n.name == "*":
+                out.add("gap", name="blocked")
+            for name in {*n.name.split("."), n.asname or ""} - {""}:
+                out.use(name, "other", at(n))
+        elif isinstance(n, ast.Constant) and isinstance(n.value, str):
+            # a string can rebind: setattr, patch, globals()[...]
+            out.use(n.value.rsplit(".", 1)[-1][:200], "other", at(n))
+        elif isinstance(n, (ast.BinOp, ast.Compare, ast.UnaryOp)):
+            out.region("operator", at(n), at(n, True))
+        else:
+            names = [getattr(n, a, None) for a in ("arg", "attr", "name", "rest")] + list(getattr(n, "names", []))
+            for name in names:
+                if isinstance(name, str):
+                    out.use(name, "other", at(n) if hasattr(n, "lineno") else 0)
+
+
 MASKS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'", re.DOTALL)
-NOISE = set("if while for match return fn loop in as move func switch select go defer range function catch typeof new await super constructor".split())
+# Words before a bracket that are no calls.
+NOISE = ("if", "while", "for", "match", "return", "fn", "loop", "in", "as", "move", "func", "switch", "select", "go", "defer", "range", "function", "catch", "typeof", "new", "await", "super", "constructor")
 FORMS = {
     "rust": [("Function", r"\bfn\s+(\w+)"), ("Type", r"\b(?:struct|enum|trait)\s+(\w+)"), ("Impl", r"\bimpl\b(?:<[^>]*>)?\s*(?:(\w+)(?:<[^>]*>)?\s+for\s+)?(\w+)")],
     "go": [("Function", r"\bfunc\s+(\w+)\s*[(\[]"), ("Method", r"\bfunc\s*\(\s*\w*\s*\*?(\w+)[^)]*\)\s*(\w+)\s*\("), ("Type", r"\btype\s+(\w+)\s+(?:struct|interface)")],
@@ -155,8 +199,17 @@ IMPORTS = {
 def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
     out = Facts(file, lang, source)
     form = "typescript" if lang == "tsx" else lang
-    code = MASKS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    blank = lambda text: re.sub(r"[^\n]", " ", text)
+    code = MASKS.sub(lambda m: blank(m[0]), source)
     offset = (lambda k: k) if source.isascii() else (lambda k: len(source[:k].encode()))
+    attributes: list[tuple[int, int]] = []
+    for m in re.finditer(r"#!?\[", code) if form == "rust" else re.finditer(r"@[\w.]+(?:\([^()]*\))?", code) if form == "typescript" else ():
+        attributes.append((m.start(), bracket(code, m.end() - 1) if form == "rust" else m.end()))
+    for a, b in attributes:
+        out.region("attribute", offset(a), offset(b))
+        if form != "rust" or re.sub(r"\s", "", source[a:b]) not in ("#[test]", "#[tokio::test]"):
+            out.add("gap", name="blocked")
+        code = code[:a] + blank(code[a:b]) + code[b:]
 
     def end_of(k):
         """After the block that opens next; the end of the statement if none does."""
@@ -197,9 +250,12 @@ def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
         seen[path] = seen.get(path, 0) + 1
         if seen[path] > 1:
             path = f"{path}#{seen[path]}"
-        head = code[max(0, start - 200) : start].rsplit("}", 1)[-1].rsplit(";", 1)[-1]
+        own = [source[a:b] for a, b in attributes if b <= start and not re.search(r"[;{}]", code[b:start])] if form == "rust" else []
+        for a in own:
+            if c := re.match(r"#\[\s*cfg\s*\((.*)\)\s*\]$", a, re.DOTALL):
+                out.add("cfg", path=path, source=c[1])
         test = {
-            "rust": bool(re.search(r"#\[(?:\w+::)*(?:test|rstest)\b", head)),
+            "rust": any(re.match(r"#\[\s*(?:\w+::)*(?:test|rstest)\b", a) for a in own),
             "go": file.endswith("_test.go") and bool(re.match(r"(Test|Benchmark|Fuzz|Example)(?![a-z])", name)),
         }.get(form, False)
         sort = "Type" if kind == "Type" else "Function"
@@ -219,7 +275,10 @@ def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
         inner = [s for s in functions if s[0] <= m.start() < s[1]]
         caller = min(inner, key=lambda s: s[1] - s[0])[2] if inner else out.module
         q = re.sub(r"(::|\.)$", "", m[1])
-        out.call(caller, {"this": "self", "super": "self"}.get(q, q), m[2], offset(m.start()))
+        made = bool(re.search(r"\bnew\s+$", code[max(0, m.start() - 16) : m.start()]))
+        out.call(caller, {"this": "self", "super": "self"}.get(q, q), m[2], offset(m.start()), kind="new" if made else None)
+    tops = {m.start(1): f"{out.module}::{m[1]}" for start, stop, kind, m in found if kind == "Function" and m[0].lstrip().startswith(("fn", "func")) and not any(a < start < b for a, b, _, _ in scopes) and code[m.end() : stop].rstrip().endswith("}") and "extern" not in code[max(0, start - 40) : start].rsplit("}", 1)[-1].rsplit(";", 1)[-1]}
+    scanned_uses(out, form, code, source, offset, tops)
     if form == "typescript":
         for m in re.finditer(r"\b(?:it|test)\s*\(\s*(['\"`])(.*?)\1", source):
             path = f"{out.module}::@test[{m[2].encode().hex()}]"
@@ -245,6 +304,55 @@ def scanned_facts(file: str, lang: str, source: str) -> list[dict]:
     return out.rows
 
 
+# Macros of the standard library that evaluate their arguments as they stand.
+ASSERTS = ("assert", "assert_eq", "assert_ne", "debug_assert", "debug_assert_eq", "debug_assert_ne")
+
+
+def bracket(code: str, k: int) -> int:
+    """After the bracket that closes the one at k; the end of the text if none does."""
+    depth = 0
+    for m in re.compile(r"[()\[\]{}]").finditer(code, k):
+        depth += 1 if m[0] in "([{" else -1
+        if depth <= 0:
+            return m.end()
+    return len(code)
+
+
+def scanned_uses(out: Facts, form: str, code: str, source: str, offset, tops: dict[int, str]) -> None:
+    """Every identifier with its role: what isn't surely a definition or a call is other. Macros are regions; in all but the standard assertions nothing is a call."""
+    opaque: list[tuple[int, int]] = []
+    if form == "rust":
+        own = re.search(rf"\bmacro_rules\s*!\s*(?:{'|'.join(ASSERTS)})\b|\buse\b[^;]*\b(?:{'|'.join(ASSERTS)})\b", code)
+        for m in re.finditer(r"\b(\w+)\s*!\s*(?:\w+\s*)?(?=[(\[{])", code):
+            stop = bracket(code, m.end())
+            trusted = m[1] in ASSERTS and not own and not re.search(r"[{|]|\blet\b|\bfn\b|\w\s*!\s*[(\[{]", code[m.end() : stop])
+            if not trusted:
+                opaque.append((m.start(), stop))
+            if m[1] != "macro_rules":
+                out.region("assertion" if trusted else "macro", offset(m.start()), offset(stop))
+        if re.search(r"\blet\b|\bfor\b|\bimpl\b|[-+*/%?\[]|[<>=]=", code):
+            out.add("gap", path=out.module, name="implicit-drop-or-operator-dispatch-not-certified")
+    elif form == "typescript":
+        out.add("gap", path=out.module, name="implicit-runtime-dispatch-not-certified")
+        if not re.search(r"^\s*(?:export|import)\b", code, re.MULTILINE):
+            out.add("gap", name="blocked")
+    elif re.search(r"^\s*//go:", source, re.MULTILINE):
+        out.add("gap", path=out.module, name="go-build-or-compiler-directive-not-certified")
+    at = 0
+    for m in re.finditer(r"[A-Za-z_$][\w$]*", code):
+        if m[0] in NOISE or m[0] == "fn" or m[0] == "func":
+            continue
+        while at < len(opaque) and opaque[at][1] <= m.start():
+            at += 1
+        hidden = at < len(opaque) and opaque[at][0] <= m.start()
+        before, after = code[max(0, m.start() - 16) : m.start()], code[m.end() : m.end() + 16].lstrip()
+        called = after.startswith("(") and not re.search(r"(?:\.|::|->|\bnew|\bfn|\bfunc|\bfunction|\*)\s*$", before)
+        if path := tops.get(m.start()):
+            out.use(m[0], "definition", offset(m.start()), path)
+        else:
+            out.use(m[0], "call" if called and not hidden else "other", offset(m.start()))
+
+
 def identifier_spans(source: str, name: str) -> list[tuple[int, int]]:
     """Byte spans of an identifier in code, outside of strings and comments."""
     code = MASKS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
@@ -294,6 +402,9 @@ def build(facts: DataFrame) -> Graph:
     d = facts.where("fact = 'def'")
     attributes = F.map_filter(F.create_map(F.lit("is_test"), F.when(F.col("test"), F.lit("true")), F.lit("return_type"), F.col("returns")), lambda k, v: v.isNotNull())
     span = F.struct(F.col("start").alias("start_byte"), F.col("stop").alias("end_byte"), F.col("row").alias("start_row"), F.col("col").alias("start_col")).cast(SPAN)
+    # a test that is configured away is none; what can't be told stays one
+    off = facts.where("fact = 'cfg'").select("path", cfg_value(F.col("source")).alias("on")).where("not on").select("path").distinct().withColumn("off", F.lit(True))
+    d = d.join(off, "path", "left").withColumn("test", F.col("test") & F.col("off").isNull())
     nodes = d.select(node_id(F.col("path")).alias("id"), "kind", "name", "path", F.col("lang").alias("language"), "file", span.alias("span"), "source", attributes.alias("attributes"))
     nodes = nodes.dropDuplicates(["id"])
     one = F.lit(1.0).cast("float").alias("weight")
@@ -313,18 +424,39 @@ def build(facts: DataFrame) -> Graph:
     made = found.join(refs.select("ref", "caller"), "ref").where("caller <> id").select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("Calls").alias("kind"), one)
     edges = edges.union(made).distinct()
     edges = edges.join(ids, edges["src"] == ids["id"], "left_semi").join(ids, edges["dst"] == ids["id"], "left_semi")
-    # a bare call of the file's only definition of the name is certain; another resolved call is possible
-    defs = d.where("kind = 'Function'").select("file", "name")
-    bare = calls.where("qualifier is null and not shadowed").select("ref", "file", "name")
-    sure = bare_proofs(bare, defs, facts.where("fact = 'import'").select("file", "name")).select("ref", F.lit(True).alias("sure"))
+    # a call is certain by the proof over all occurrences of its name; every other one is unknown, and its edge is not certified
+    modules = d.where("kind = 'Module'").select("file", F.col("path").alias("module"))
+    spans = d.where("kind = 'Function'").select(F.col("path").alias("owner"), "file", F.col("start").alias("o_start"), F.col("stop").alias("o_end"))
+    regions = facts.where("fact = 'region'").select(F.xxhash64("file", "kind", "start", "stop").alias("site"), "file", F.col("start").alias("start"), F.col("stop").alias("end"), F.col("kind").alias("region"))
+    regions = owners(regions.distinct(), spans, modules)
+    macros = regions.where("region = 'macro'")
+    # a macro outside of functions may rewrite the whole file
+    whole = macros.join(modules, "file").where("owner = module").select("file")
+    blocked = facts.where("fact = 'gap' and name in ('blocked', 'parse-error')").select("file").union(whole)
+    blocked = blocked.union(d.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).where("n > 1").select("file"))
+    uses = facts.where("fact = 'use'").select("file", "name", F.col("kind").alias("role"), "path")
+    bare = calls.where("qualifier is null and kind is null").select("ref", "file", "name", F.col("path").alias("caller"))
+    sure = certain_calls(bare, uses, blocked, macros.select(F.col("owner").alias("caller")))
+    asserted = regions.where("region = 'assertion'").select(F.col("owner").alias("a_owner"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     text = nodes.select(F.col("id").alias("caller"), node_id(F.coalesce("source", F.lit(""))).alias("source_fingerprint"))
-    c = calls.select("ref", node_id(F.col("path")).alias("caller"), "start", F.length("name").alias("n")).join(found, "ref", "left").join(sure, "ref", "left").join(text, "caller")
-    cls = F.when(F.col("id").isNull(), "unknown").when(F.col("sure"), "must").otherwise("may")
-    reason = F.when(cls == "must", "proven-top-level-lexical-binding").when(cls == "may", "only-candidate").otherwise("unproven-call-site")
-    site = F.struct(F.col("start").alias("start_byte"), (F.col("start") + F.col("n")).alias("end_byte"), F.lit(0).alias("start_row"), F.lit(0).alias("start_col")).cast(SPAN)
-    claims = c.select("caller", F.lit(1).alias("version"), "source_fingerprint", F.array().cast("array<string>").alias("assumptions"), site.alias("site"), cls.alias("class"), F.when(F.col("id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("id")).alias("targets"), reason.alias("reason"), F.lit(False).alias("coverage_gap"))
+    here = calls.select("ref", F.col("path").alias("caller_path"), "start", F.length("name").alias("n"), "lang")
+    inside = here.join(asserted, (F.col("caller_path") == F.col("a_owner")) & (F.col("start") >= F.col("a_start")) & (F.col("start") < F.col("a_end"))).select("ref", F.lit(True).alias("asserted")).distinct()
+    c = here.join(sure, "ref", "left").join(inside, "ref", "left").withColumn("caller", node_id(F.col("caller_path")))
+    proof = F.when(F.col("asserted"), "proven-call-inside-trusted-assertion-macro").when(F.col("lang").isin("typescript", "tsx"), "proven-typescript-lexical-binding").otherwise("proven-top-level-lexical-binding")
+    none = lambda t: F.lit(None).cast(t)
+    no_targets, no_words = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    site = lambda start, end: F.struct(start.alias("start_byte"), end.alias("end_byte"), F.lit(0).alias("start_row"), F.lit(0).alias("start_col")).cast(SPAN)
+    found_target = F.col("target").isNotNull()
+    rows = c.select("caller", site(F.col("start"), F.col("start") + F.col("n")).alias("site"), F.when(found_target, "must").otherwise("unknown").alias("class"), F.when(found_target, F.array(node_id(F.col("target")))).otherwise(no_targets).alias("targets"), F.when(found_target, proof).otherwise("unproven-call-site").alias("reason"), F.lit(False).alias("coverage_gap"))
+    why = F.when(F.col("region") == "operator", "implicit-operator-dispatch-not-certified").otherwise("unexpanded-macro-or-decorator")
+    unknown = lambda start, end, reason: [site(start, end), F.lit("unknown"), no_targets, reason, F.lit(True)]
+    rows = rows.union(regions.where("region <> 'assertion'").select(node_id(F.col("owner")), *unknown(F.col("start"), F.col("end"), why)))
+    gaps = facts.where("fact = 'gap' and path is not null").select("file", "path", "name").distinct().join(d.where("kind = 'Module'").select("file", "start", "stop"), "file")
+    rows = rows.union(gaps.select(node_id(F.col("path")), *unknown(F.col("start"), F.col("stop"), F.col("name"))))
+    assumed = F.when(F.col("language").isin("python", "typescript", "tsx"), F.array(F.lit("indexed-source-snapshot"), F.lit("no-runtime-rebinding-or-monkey-patching"))).otherwise(F.array(F.lit("indexed-source-snapshot")))
+    said = nodes.select(F.col("id").alias("caller"), assumed.alias("assumptions"))
+    claims = rows.join(text, "caller").join(said, "caller").select("caller", F.lit(1).alias("version"), "source_fingerprint", "assumptions", "site", "class", "targets", "reason", "coverage_gap")
     # functions and modules without calls say so: without a claim their evidence would be missing
     idle = nodes.where("kind in ('Function', 'Module')").select(F.col("id").alias("caller")).join(claims.select("caller"), "caller", "left_anti").join(text, "caller")
-    none = lambda t: F.lit(None).cast(t)
     idle = idle.select("caller", F.lit(1), "source_fingerprint", F.array().cast("array<string>"), none(SPAN), none("string"), F.array().cast("array<bigint>"), none("string"), F.lit(False))
     return Graph(nodes, edges.select("src", "dst", "kind", "weight"), claims.distinct().union(idle))
