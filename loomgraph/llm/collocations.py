@@ -11,10 +11,11 @@ of floor(1000000 a a / (l r)), l and r being the occurrences of the parts.
    out. What goes to the tasks is one bit a cell (``BITS`` bounds it).
 2. The phrases in cells that reach it, made distinct, and their words are the
    patterns. They are cut into groups of bounded size, by hash.
-3. Each group is compiled into Aho-Corasick automata, one a language, its
-   phrases between delimiters, so that none matches within a word or across
-   pieces. Shards of the corpus are scanned, overlapping matches counted, and the
-   counts of shards are summed: they are exact, whatever the sketch let through.
+3. Each group is compiled into Aho-Corasick automata, one a language; words are
+   written as codes and pieces stand between delimiters, so that nothing matches
+   within a word or across pieces. Shards of the corpus are scanned, overlapping
+   matches counted, and the counts of shards are summed: they are exact, whatever
+   the sketch let through.
 4. Thresholds, scores and ranks are joins of the counted phrases.
 
 Defined cases: null and empty texts have no words; a null language is ``und``;
@@ -43,10 +44,10 @@ from .vector import flat, mixed, pieces, small_batches, splitmix, word_hashes
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 #: Log of the number of cells: at least, at most (128 MB of bits); log of the cells of a block.
 BITS, BLOCK = (16, 30), 16
-#: Patterns of a group: about 200 MB of automata in a worker.
-GROUP = 400_000
+#: Patterns of a group: about 150 MB of automata in a worker.
+GROUP = 1_000_000
 #: Occurrences that a task counts before it hands them on; bytes of text that are hashed at a time, but for a longer text.
-HELD, SLICE = 4 << 20, 1 << 20
+HELD, SLICE = 2 << 20, 1 << 19
 UNKNOWN = "und"
 DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 
@@ -207,7 +208,12 @@ def listed(batches, cells):
 
 
 class Automata:
-    """Patterns (lang, phrase, pid) of a group and their automata, which a worker makes once."""
+    """Patterns (lang, phrase, pid) of a group and their automata, which a worker makes once.
+
+    A word of the patterns is written as two characters: one of LEAD, then one
+    of TAIL. No lead is a tail, so nothing matches from within a word; other
+    words and the bounds of pieces are DELIMITER, which no pattern holds.
+    """
 
     def __init__(self, patterns: pa.Table):
         sink = pa.BufferOutputStream()
@@ -218,44 +224,71 @@ class Automata:
     def __getstate__(self):
         return {"patterns": self.patterns, "made": None}
 
-    def by_language(self):
+    def compiled(self) -> tuple[Codes, dict, np.ndarray]:
+        """(words' codes, automata by language, pids by place)."""
         if self.made is None:
+            from collections import Counter
+
             import ahocorasick
 
-            self.made = {}
+            words: Counter = Counter()
             for batch in pa.ipc.open_stream(self.patterns):
-                for lang, phrase, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if lang not in self.made:
-                        self.made[lang] = ahocorasick.Automaton()
-                    self.made[lang].add_word(f" {phrase} ", pid)
-            for automaton in self.made.values():
+                for phrase in batch.column(1).to_pylist():
+                    words.update(phrase.split(" "))
+            # children of a node are looked through in their order: words of many patterns first
+            codes = Codes({w.encode(): chr(LEAD + i // TAILS) + chr(TAIL + i % TAILS) for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0])))})
+            del words
+            automata: dict = {}
+            pids, n = [], 0
+            for batch in pa.ipc.open_stream(self.patterns):
+                for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if lang not in automata:
+                        automata[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                    automata[lang].add_word("".join([codes[w.encode()] for w in phrase.split(" ")]), n)
+                    n += 1
+                pids.append(batch.column(2).to_numpy())
+            for automaton in automata.values():
                 automaton.make_automaton()
+            self.made = codes, automata, np.concatenate(pids) if pids else np.zeros(0, np.int64)
         return self.made
 
 
-def guarded(text: str) -> str:
-    """Words between single spaces, pieces with a delimiter between that no pattern has."""
+#: First characters of words' codes from LEAD on (as many as are needed), second ones TAILS from TAIL on; neither is the delimiter.
+TAIL, TAILS, LEAD, DELIMITER = 0x100, 512, 0x10000, "|"
+
+
+class Codes(dict):
+    """Words' codes; another word is a delimiter."""
+
+    def __missing__(self, word: bytes) -> str:
+        return DELIMITER
+
+
+def guarded(text: str, codes: Codes) -> str:
+    """The codes of the words, pieces and unknown words apart by a delimiter."""
     folded = text.encode("utf-8", "surrogatepass").translate(FOLDED)
-    return f" {b' \n '.join(b' '.join(p.split()) for p in folded.split(b'\n')).decode('utf-8', 'replace')} "
+    return DELIMITER.join(["".join(map(codes.__getitem__, p.split())) for p in folded.split(b"\n")])
 
 
 def scanned(batches, automata):
     """(pid, n): overlapping matches of each pattern in a shard of the corpus."""
-    from collections import Counter
+    from itertools import chain
     from operator import itemgetter
 
-    by_language = automata.value.by_language()
-    counts: Counter = Counter()
-    pid = itemgetter(1)
+    codes, by_language, pids = automata.value.compiled()
+    counts = np.zeros(len(pids), np.int64)
+    place = itemgetter(1)
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            some = batch.slice(at, 64)
-            for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                if text and lang in by_language:
-                    counts.update(map(pid, by_language[lang].iter(guarded(text))))
-    found = sorted(counts.items())
+        for at in range(0, batch.num_rows, 32):
+            some = batch.slice(at, 32)
+            rows = zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+            matches = chain.from_iterable(map(place, by_language[lang].iter(guarded(text, codes))) for text, lang in rows if text and lang in by_language)
+            found, n = np.unique(np.fromiter(matches, np.int32), return_counts=True)
+            counts[found] += n
+    found = np.flatnonzero(counts)
     for i in range(0, len(found), 65_536):
-        yield batch_of(pa.schema([("pid", pa.int64()), ("n", pa.int64())]), found[i : i + 65_536])
+        part = found[i : i + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.array(pids[part], pa.int64()), pa.array(counts[part], pa.int64())], names=["pid", "n"])
 
 
 def frequent_cells(texts: DataFrame, bits: int) -> tuple[DataFrame, list[tuple[int, bytes]]]:
