@@ -120,7 +120,7 @@ def _top_level(text, depth: int = 4):
     for _ in range(depth):
         inner = F.regexp_replace(inner, r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", "<>")
         inner = F.regexp_replace(inner, "<>", "\u0001")
-    return F.transform(F.split(inner, ","), F.btrim)
+    return F.transform(F.split(inner, ","), lambda p: F.btrim(p))
 
 
 def passes_generic(type_parameters, first_parameter, return_type):

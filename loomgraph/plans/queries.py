@@ -916,4 +916,4 @@ def context_sample(spark, sf):
     return review.context_sample(star_graph(spark, sf))
 
 
-from . import more  # noqa: E402, F401  registers its queries
+from . import more, proofs  # noqa: E402, F401  register their queries

@@ -397,8 +397,26 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "source").mapInPandas(run, FACTS)
 
 
-def build(facts: DataFrame) -> Graph:
-    """The graph of facts: nodes, containment, data flow, calls and supertypes by the only candidate, and a claim for each call."""
+def call_facts(facts: DataFrame) -> DataFrame:
+    """Calls with their number (ref), which stays the same as long as the call's place does."""
+    return facts.where("fact = 'call'").withColumn("ref", F.xxhash64("file", "path", "start", "qualifier", "name"))
+
+
+def call_refs(calls: DataFrame) -> DataFrame:
+    """Calls as references to be resolved."""
+    return calls.select("ref", node_id(F.col("path")).alias("caller"), F.col("path").alias("caller_path"), F.col("name").alias("callee"), "qualifier", F.col("receiver").alias("receiver_type"), F.lit(True).alias("qualifier_owner_fallback"), F.col("shadowed").alias("shadowed_by_local"), file_module(F.col("file")).alias("caller_module"))
+
+
+def function_candidates(defs: DataFrame) -> DataFrame:
+    """Definitions of functions (path, name, file) as candidates."""
+    return defs.where("kind = 'Function'").select(node_id(F.col("path")).alias("id"), "path", "name", file_module(F.col("file")).alias("module")).dropDuplicates(["id"])
+
+
+def build(facts: DataFrame, found: DataFrame | None = None) -> Graph:
+    """The graph of facts: nodes, containment, data flow, calls and supertypes by the only candidate, and a claim for each call.
+
+    found: (ref, id) of the calls' resolution, where that is known already.
+    """
     d = facts.where("fact = 'def'")
     attributes = F.map_filter(F.create_map(F.lit("is_test"), F.when(F.col("test"), F.lit("true")), F.lit("return_type"), F.col("returns")), lambda k, v: v.isNotNull())
     span = F.struct(F.col("start").alias("start_byte"), F.col("stop").alias("end_byte"), F.col("row").alias("start_row"), F.col("col").alias("start_col")).cast(SPAN)
@@ -417,10 +435,10 @@ def build(facts: DataFrame) -> Graph:
     types = d.where("kind = 'Type'").select("path", "name").distinct()
     inherits = facts.where("fact = 'inherit'").select(F.col("path").alias("ref"), module_of(F.col("path")).alias("module"), F.col("name").alias("base")).distinct()
     edges = edges.union(of(resolve_inherits(inherits, types), F.col("ref"), F.col("path"), "Inherits"))
-    calls = facts.where("fact = 'call'").withColumn("ref", F.xxhash64("file", "path", "start", "qualifier", "name"))
-    refs = calls.select("ref", node_id(F.col("path")).alias("caller"), F.col("path").alias("caller_path"), F.col("name").alias("callee"), "qualifier", F.col("receiver").alias("receiver_type"), F.lit(True).alias("qualifier_owner_fallback"), F.col("shadowed").alias("shadowed_by_local"), file_module(F.col("file")).alias("caller_module"))
-    functions = nodes.where("kind = 'Function'").select("id", "path", "name", file_module(F.col("file")).alias("module"))
-    found = select_candidates(refs, functions)
+    calls = call_facts(facts)
+    refs = call_refs(calls)
+    if found is None:
+        found = select_candidates(refs, function_candidates(d))
     made = found.join(refs.select("ref", "caller"), "ref").where("caller <> id").select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("Calls").alias("kind"), one)
     edges = edges.union(made).distinct()
     edges = edges.join(ids, edges["src"] == ids["id"], "left_semi").join(ids, edges["dst"] == ids["id"], "left_semi")
