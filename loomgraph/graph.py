@@ -156,8 +156,9 @@ def violations(g: Graph) -> DataFrame:
 
 def annotate_calls(g: Graph, counts: DataFrame) -> Graph:
     """hot_calls on functions by name from (name, calls); the most called are hot; risk and duplicates by source and similarity edges."""
-    top = F.max("calls").over(Window.partitionBy(F.lit(1)))
-    hot = counts.withColumn("top", top).select(F.col("name").alias("hot_name"), "calls", "top")
+    # a table of one row
+    top = counts.agg(F.max("calls").alias("top"))
+    hot = counts.join(F.broadcast(top), F.lit(True)).select(F.col("name").alias("hot_name"), "calls", "top")
     own = F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))
     n = g.nodes.join(hot, (F.col("name") == F.col("hot_name")) & (F.col("kind") == "Function"), "left")
     similar = g.edges.where(F.col("kind") == "SemanticSimilar").join(g.nodes.select(F.col("id").alias("dst"), F.col("path").alias("near")), "dst")

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +34,20 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """df with the numbers 1, 2, .. in an order, without a task that has all rows.
+
+    Rows are dealt by ranges of the order and numbered within each range; a
+    range begins after the rows of those before it. Only the ranges' sizes, a
+    row for each, are summed in one task. Equal rows of the order get numbers
+    one after another.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("size_"))
+    before = F.sum("size_").over(Window.orderBy("range_")) - F.col("size_")
+    starts = sizes.select("range_", before.alias("start_"))
+    inner = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return dealt.withColumn(name, inner).join(F.broadcast(starts), "range_").withColumn(name, F.col(name) + F.col("start_")).drop("range_", "start_")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import numbered
+
 
 def observes(context: Column, actor: Column, counter: Column) -> Column:
     return F.coalesce(F.try_element_at(context, actor), F.lit(0)) >= counter
@@ -124,8 +126,36 @@ def compactable(ops: DataFrame, acknowledged: Column) -> DataFrame:
 
 def bootstrap(items: DataFrame, actor: str, order: list[str]) -> DataFrame:
     """items (key, action, payload) as one actor's operations, counted in their order."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return items.withColumn("counter", n).select(F.lit(actor).alias("actor"), "counter", F.create_map(F.lit(actor), (F.col("counter") - 1).cast("int")).alias("context"), "action", "key", "payload")
+    rows = numbered(items.select("key", "action", "payload", *[c for c in order if c not in ("key", "action", "payload")]), order, "counter")
+    counter = F.col("counter").cast("int")
+    return rows.select(F.lit(actor).alias("actor"), counter.alias("counter"), F.create_map(F.lit(actor), counter - 1).alias("context"), "action", "key", "payload")
+
+
+class ActorExists(ValueError):
+    """A new actor's name is in the history already."""
+
+
+def clock(ops: DataFrame) -> DataFrame:
+    """(actor, counter): what a log has of each actor."""
+    return ops.groupBy("actor").agg(F.max("counter").alias("counter"))
+
+
+def fork(ops: DataFrame, parent: str, actor: str, acknowledged: DataFrame | None = None) -> DataFrame:
+    """The history of a new actor: its parent's, with the operation by which the parent makes it a member.
+
+    Raises if the history has the name as an actor, as a member, now or once,
+    or among those that have acknowledged (actor). Both go on from the same
+    operations; the new actor's own start at 1.
+    """
+    known = ops.where((F.col("actor") == actor) | ((F.col("key") == actor) & F.col("action").isin("add_member", "remove_member"))).limit(1)
+    if known.count() or (acknowledged is not None and acknowledged.where(F.col("actor") == actor).limit(1).count()):
+        raise ActorExists(actor)
+    # a row for each actor; the parent's own operation has seen all of the log
+    seen = clock(ops).agg(F.map_from_entries(F.collect_list(F.struct("actor", "counter"))).alias("context"))
+    counter = F.coalesce(F.try_element_at("context", F.lit(parent)), F.lit(0)).cast(ops.schema["counter"].dataType) + 1
+    none = {c: F.lit(None).cast(ops.schema[c].dataType) for c in ops.columns}
+    new = none | {"actor": F.lit(parent), "counter": counter, "context": F.col("context").cast(ops.schema["context"].dataType), "action": F.lit("add_member"), "key": F.lit(actor)}
+    return ops.unionByName(seen.select(*[new[c].cast(ops.schema[c].dataType).alias(c) for c in ops.columns]))
 
 
 def sync(target: DataFrame, state: DataFrame) -> DataFrame:

@@ -178,17 +178,27 @@ def tests_for(g: Graph, origins: DataFrame) -> DataFrame:
 
 
 def blast_radius(g: Graph, file: str) -> tuple[DataFrame, DataFrame]:
-    """(reached, uncovered) of the functions in a file that are no tests: (node, distance) and the reached functions that no test reaches."""
+    """(reached, uncovered) of the functions in a file that are no tests: (node, distance) and the reached functions that no test reaches.
+
+    Where the graph has routes, only what they allow is reached, from functions
+    and by tests alike.
+    """
     n = g.nodes.where((F.col("kind") == "Function") & ~is_test(F.col("attributes")))
     own = n.where(F.col("file") == file).select("id")
+    functions = n.select(F.col("id").alias("node"))
+    if has_routes(g):
+        reached = own.select(F.col("id").alias("node"), F.lit(0).alias("distance")).union(impact(g, own, True).select("node", "distance"))
+        reached = materialize(reached.groupBy("node").agg(F.min("distance").alias("distance")), "radius")
+        mine = reached.join(functions, "node", "left_semi")
+        covered = tests_for(g, mine.select(F.col("node").alias("id"))).select(F.col("origin").alias("node"))
+        return reached, mine.join(covered, "node", "left_anti")
     # one search with a single origin: distances are least over all of the file's functions
     seeds = own.select(F.lit(0).cast("long").alias("origin"), F.col("id").alias("node"))
     reached = reach(impact_steps(g), seeds).select("node", "distance")
     tests = g.nodes.where(is_test(F.col("attributes"))).select(F.lit(0).cast("long").alias("origin"), F.col("id").alias("node"))
     down = impact_steps(g).select(F.col("to").alias("at"), F.col("at").alias("to"))
     covered = reach(down, tests).select("node")
-    functions = reached.join(n.select(F.col("id").alias("node")), "node", "left_semi")
-    return reached, functions.join(covered, "node", "left_anti")
+    return reached, reached.join(functions, "node", "left_semi").join(covered, "node", "left_anti")
 
 
 def display_rollup(g: Graph, shown: DataFrame) -> DataFrame:

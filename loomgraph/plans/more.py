@@ -109,9 +109,8 @@ p AS (SELECT src AS part, CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_size % 2
 l AS (SELECT 'crate::orders::o' || l_orderkey AS o, 'crate::parts::p' || l_partkey AS part, max(CASE WHEN l_linenumber % 3 = 1 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'a' ELSE 'b' END END) AS entry, bool_or(l_linenumber % 3 = 2) AS params FROM lineitem GROUP BY 1, 2)"""
 
 
-@query(star_sql("SELECT part AS path, 1 AS distance FROM p UNION ALL SELECT DISTINCT o, 2 FROM p JOIN l USING (part) WHERE guard IS NULL OR (NOT params AND (entry IS NULL OR entry = guard))", ROUTED))
-def routed_impact(spark, sf):
-    """Parts guard their calls of a supplier, orders enter parts by a route or by parameters."""
+def routed_graph(spark, sf):
+    """(graph, the supplier): parts guard their calls of a supplier, orders enter parts by a route or by parameters."""
     g = star_graph(spark, sf)
     one = g.nodes.where(suppliers(1, 1)).select("id", col("path").alias("s"))
     p, li = load(spark, sf, "part"), load(spark, sf, "lineitem")
@@ -123,10 +122,49 @@ def routed_impact(spark, sf):
     rows = guards.union(entries).union(params).groupBy("owner", "key").agg(F.max("value").alias("value"))
     more = rows.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("more"))
     nodes = g.nodes.join(more, col("path") == col("owner"), "left").withColumn("attributes", F.when(col("more").isNull(), col("attributes")).otherwise(F.map_concat("attributes", "more"))).select(*g.nodes.columns)
-    g = G.Graph(nodes, g.edges).materialized()
+    return G.Graph(nodes, g.edges).materialized(), one
+
+
+@query(star_sql("SELECT part AS path, 1 AS distance FROM p UNION ALL SELECT DISTINCT o, 2 FROM p JOIN l USING (part) WHERE guard IS NULL OR (NOT params AND (entry IS NULL OR entry = guard))", ROUTED))
+def routed_impact(spark, sf):
+    g, one = routed_graph(spark, sf)
     return with_paths(traverse.impact(g, one.select("id")), g, node="path").select("path", "distance")
 
 
+RADIUS = """own AS (SELECT path AS s FROM nodes WHERE file = (SELECT 'supply/' || s_nationkey FROM supplier WHERE s_suppkey = 1) AND kind = 'Function' AND NOT is_test),
+free AS (SELECT DISTINCT src AS part FROM edges JOIN own ON dst = s WHERE kind = 'DataFlow' AND s NOT IN (SELECT s FROM one)),
+found AS (SELECT s AS path, 0 AS distance FROM own UNION ALL SELECT part, 1 FROM free UNION ALL SELECT part, 1 FROM p UNION ALL SELECT o, 2 FROM free JOIN l USING (part) UNION ALL SELECT o, 2 FROM p JOIN l USING (part) WHERE guard IS NULL OR (NOT params AND (entry IS NULL OR entry = guard)))"""
+
+
+@query(star_sql("SELECT path, min(distance) AS distance FROM found GROUP BY 1", ROUTED, RADIUS))
+def routed_blast_radius(spark, sf):
+    """What a file's functions reach where parts and orders have routes."""
+    g, _ = routed_graph(spark, sf)
+    file = load(spark, sf, "supplier").where("s_suppkey = 1").select(text("supply/", col("s_nationkey")).alias("f")).first()["f"]
+    return with_paths(traverse.blast_radius(g, file)[0], g, node="path").select("path", "distance")
+
+
+# histories
+
+
+@query("SELECT 'z' AS actor, row_number() OVER (ORDER BY p_name, p_partkey) AS counter, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS seen, 'n' || p_partkey AS key FROM part")
+def bootstrapped_log(spark, sf):
+    """A table as one actor's operations, numbered without a task that holds all."""
+    items = load(spark, sf, "part").select(text("n", col("p_partkey")).alias("key"), F.lit("upsert_node").alias("action"), col("p_name").alias("payload"), "p_partkey")
+    log = crdt.bootstrap(items, "z", ["payload", "p_partkey"])
+    return log.select("actor", col("counter").cast("long").alias("counter"), col("context")["z"].cast("long").alias("seen"), "key")
+
+
+@query("WITH " + OPS + """, more AS (SELECT actor, counter FROM ops UNION ALL SELECT 'u3', coalesce(max(counter) FILTER (actor = 'u3'), 0) + 1 FROM ops)
+SELECT actor, max(counter) AS counter, (SELECT count(DISTINCT actor) FROM ops) AS seen FROM more GROUP BY 1""")
+def forked_log(spark, sf):
+    """The clock of a history after it was forked, and how many actors the fork's operation has seen."""
+    ops = event_ops(spark, sf)
+    out = crdt.fork(ops, "u3", "newcomer")
+    seen = out.where("key = 'newcomer'").select(F.size("context").cast("long").alias("seen"))
+    return crdt.clock(out).select("actor", col("counter").cast("long").alias("counter")).join(F.broadcast(seen), F.lit(True))
+
+
 @query(CLASSED + "SELECT node AS path FROM best JOIN nodes ON node = path WHERE is_test")
 def selected_tests(spark, sf):
     g = star_graph(spark, sf, True)
