@@ -134,6 +134,26 @@ f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= {quality_rules.MIN_LEFT} * n_words AS kept FROM f"""
 
 
+OP11 = r"""WITH RECURSIVE crc AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, _y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM hurt),
+faulty AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN place > min(place) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] AS pair FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (place > 1 AND NOT coalesce(pair IN ('su', 'ua', 'au'), false)) AS illegal, count(*) AS n FROM faulty GROUP BY 1),
+ends AS (SELECT conv_id, n + 1 AS place, {'c': 0, 'a': '', 'r': ''} AS s0, {'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s1, {'c': 3, 'a': 'I', 'r': chr(10) || 'assistant:'} AS s2, {'c': 0, 'a': '', 'r': ''} AS s3 FROM counts),
+dp AS (SELECT * FROM ends UNION ALL SELECT conv_id, place, i0, i1, i2, i3 FROM (
+  SELECT *, list_min([b0, {'c': i2.c + 3, 'a': 'I' || i2.a, 'r': chr(10) || 'user:' || i2.r}]) AS i0, list_min([b1, {'c': i2.c + 3, 'a': 'I' || i2.a, 'r': chr(10) || 'user:' || i2.r}]) AS i1 FROM (
+  SELECT *, list_min([b2, {'c': b3.c + 3, 'a': 'I' || b3.a, 'r': chr(10) || 'assistant:' || b3.r}]) AS i2, list_min([b3, {'c': b2.c + 3, 'a': 'I' || b2.a, 'r': chr(10) || 'user:' || b2.r}]) AS i3 FROM (
+  SELECT f.conv_id, f.place,
+    list_min([{'c': s0.c + 4, 'a': 'D' || s0.a, 'r': s0.r}] || CASE WHEN gone THEN [] ELSE [{'c': s2.c + 3 + late, 'a': 'R' || s2.a, 'r': asuser || s2.r}] END || CASE WHEN NOT gone AND role[1] = 's' THEN [{'c': s1.c + late, 'a': 'K' || s1.a, 'r': own || s1.r}] ELSE [] END || CASE WHEN NOT gone AND role[1] = 'u' THEN [{'c': s2.c + late, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS b0,
+    list_min([{'c': s1.c + 4, 'a': 'D' || s1.a, 'r': s1.r}] || CASE WHEN gone THEN [] ELSE [{'c': s2.c + 3 + late, 'a': 'R' || s2.a, 'r': asuser || s2.r}] END || CASE WHEN NOT gone AND role[1] = 'u' THEN [{'c': s2.c + late, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS b1,
+    list_min([{'c': s2.c + 4, 'a': 'D' || s2.a, 'r': s2.r}] || CASE WHEN gone THEN [] ELSE [{'c': s3.c + 3 + late, 'a': 'R' || s3.a, 'r': asother || s3.r}] END || CASE WHEN NOT gone AND role[1] = 'a' THEN [{'c': s3.c + late, 'a': 'K' || s3.a, 'r': own || s3.r}] ELSE [] END) AS b2,
+    list_min([{'c': s3.c + 4, 'a': 'D' || s3.a, 'r': s3.r}] || CASE WHEN gone THEN [] ELSE [{'c': s2.c + 3 + late, 'a': 'R' || s2.a, 'r': asuser || s2.r}] END || CASE WHEN NOT gone AND role[1] = 'u' THEN [{'c': s2.c + late, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS b3
+  FROM dp JOIN (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late, chr(10) || role || ':' || text AS own, chr(10) || 'user:' || text AS asuser, chr(10) || 'assistant:' || text AS asother FROM faulty) f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.place = dp.place - 1)))),
+done AS (SELECT conv_id, s0.c AS cost, s0.a AS audit, s0.r AS body FROM dp WHERE place = 1)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(substr(coalesce(body, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
 OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
 w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
@@ -152,4 +172,4 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say in reasonable time; the others are tested against brute force, round trips and held-out labels."""
-    return {"op4_minhash": OP4, "op7_quality_rules": OP7, "op13_collocations": OP13}
+    return {"op4_minhash": OP4, "op7_quality_rules": OP7, "op11_conversation_repair": OP11, "op13_collocations": OP13}
