@@ -44,8 +44,8 @@ from .vector import flat, mixed, pieces, small_batches, splitmix, word_hashes
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 #: Log of the number of cells: at least, at most (128 MB of bits); log of the cells of a block.
 BITS, BLOCK = (16, 30), 16
-#: Patterns of a group: about 150 MB of automata in a worker.
-GROUP = 1_000_000
+#: Patterns of a group: about 250 MB of automata in a worker. Texts that one task lists and scans, in bytes, where there are enough tasks.
+GROUP, SHARD = 2_000_000, 128 << 20
 #: Occurrences that a task counts before it hands them on; bytes of text that are hashed at a time, but for a longer text.
 HELD, SLICE = 2 << 20, 1 << 19
 UNKNOWN = "und"
@@ -311,7 +311,9 @@ def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits:
     wide = min(bits[1], max(bits[0], math.ceil(math.log2(length / 2 + 1))))
     words, blocks = frequent_cells(texts, wide)
     cells = spark.sparkContext.broadcast(Cells(wide, blocks))
-    found = texts.mapInArrow(lambda batches: listed(batches, cells), "lang string, phrase string").distinct()
+    # each task lists the phrases it finds: fewer, larger shards of the corpus list a phrase less often
+    shards = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, length // SHARD))
+    found = shards.mapInArrow(lambda batches: listed(batches, cells), "lang string, phrase string").distinct()
     own = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     found = materialize(found.unionByName(own).distinct().withColumn("pid", F.monotonically_increasing_id()), "patterns")
     groups = max(1, -(-found.count() // group))
@@ -321,7 +323,7 @@ def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits:
     for i in range(groups):
         # about group patterns, whatever the size of the corpus
         automata = spark.sparkContext.broadcast(Automata(dealt.where(F.col("group") == i).select("lang", "phrase", "pid").orderBy("lang", "phrase").toArrow()))
-        one = materialize(texts.mapInArrow(lambda batches, a=automata: scanned(batches, a), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("f")), "counts")
+        one = materialize(shards.mapInArrow(lambda batches, a=automata: scanned(batches, a), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("f")), "counts")
         automata.unpersist()
         counts = one if counts is None else counts.unionByName(one)
     cells.unpersist()
