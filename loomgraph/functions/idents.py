@@ -114,8 +114,18 @@ def tokens(text: Column) -> Column:
 
 
 def token_pairs(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """(keys, token): the same as rows, each once for a row of df. Equal words go before they are stemmed."""
-    return df.select(*keys, F.explode(tokens(text)).alias("token"))
+    """(keys, token): the same as rows, each once for a row of df.
+
+    A word that many texts have is cut up and stemmed once: words are made
+    distinct over all texts, and their tokens are joined back to the texts.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 1))
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("row_"), F.explode(words).alias("word_"))
+    parts = F.explode(F.array_distinct(F.concat(F.array("word_"), F.split("word_", INNER, -1))))
+    known = rows.select("word_").distinct().select("word_", parts.alias("part_"))
+    # exploded, so that a stem is made once, not once for each test of it
+    known = known.select("word_", F.explode(F.array(stem(ascii_lower(F.col("part_"))))).alias("token")).where(kept(F.col("token"))).distinct()
+    return rows.join(known, "word_").select(*keys, "row_", "token").distinct().drop("row_")
 
 
 def with_identifier(text: Column, old: str, new: str) -> Column:

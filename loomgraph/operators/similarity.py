@@ -67,9 +67,11 @@ def similar_pairs(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     """(pairs, members): (a, b, score), a < b, of distinct sets that are alike by the threshold or more, and (rep, id) of each set (id, tokens).
 
     Equal sets are one, named by its least member. Tokens are ordered from rare
-    to frequent, and two sets that are alike share one of the first
-    (1 - threshold) of theirs: only those meet, where sizes allow it, and the
-    pair's full sets are compared.
+    to frequent, and only the first of each set, all but a threshold's share,
+    meet, by hash. What two sets share of them is counted; they share at most
+    the rest of one set besides, since whose first tokens end earlier has all
+    other common tokens behind them. Only pairs that can still be alike are
+    compared in full.
     """
     s = sets.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens")).withColumn("h", F.sha2(F.array_join("tokens", "\x00"), 256))
     members = materialize(s.select("id", "h", F.min("id").over(Window.partitionBy("h")).alias("rep")), "members")
@@ -77,9 +79,14 @@ def similar_pairs(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     rows = full.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = Window.partitionBy("rep").orderBy("df", "token")
-    first = rows.join(df, "token").withColumn("i", F.row_number().over(place)).where(F.col("i") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    a, b = first.select("token", F.col("rep").alias("a"), F.col("n").alias("na")), first.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    meets = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
+    first = rows.join(df, "token").withColumn("i", F.row_number().over(place)).where(F.col("i") <= meets(F.col("n")))
+    # tokens that one set alone has bring nothing together
+    first = materialize(first.where("df > 1").select(F.xxhash64("token").alias("t"), "rep", "n"), "first")
+    a, b = first.select("t", F.col("rep").alias("a"), F.col("n").alias("na")), first.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.greatest(F.col("na") - meets(F.col("na")), F.col("nb") - meets(F.col("nb")))
+    near = near.where(F.col("c") + rest >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
     both = near.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     pairs = both.withColumn("score", jaccard(F.col("ta"), F.col("tb"))).where(F.col("score") >= threshold).select("a", "b", "score")
     return pairs, members.select("rep", "id")
