@@ -20,7 +20,10 @@ minima with a chance below 2e-7, and the estimate's margin with one of about
 Defined cases: a null or empty text has no shingles and is linked with nothing;
 a text with fewer words than a shingle is one shingle; null ids are passed over
 where a component's least id is taken, and a component of null ids has a null
-one; repeated rows are kept, a row for each input row; no rows give no rows.
+one; repeated rows are kept, a row for each input row; very long texts are
+shingled whole; of ties for a component's least id any of the equal ones is the
+same; no rows give no rows; other columns aren't looked at, whatever their
+names, and ``one_of_each`` keeps them.
 """
 
 from __future__ import annotations

@@ -13,8 +13,11 @@ for each segment), and for each segment doc_ids and offsets (its first token's
 place in its document).
 
 Defined cases: each document ends with the end token, so a null or empty text is
-one token; null and repeated ids are kept, segment by segment; no rows give no
-rows.
+one token; null and repeated ids are kept, segment by segment; a very long text
+is tokenized whole and fills as many rows as it needs; of equally long segments
+the earlier one goes first, and of equal capacities the row that came to it last; no
+rows give no rows; other columns aren't looked at, whatever their names. Which
+documents share a row hangs on the input's partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .vector import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How a text is cut before merging: the public pattern of this vocabulary.
+# Fixed value: how a text is cut before merging, the public pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a row; tokens of a pool; id after the last of the vocabulary ends documents.
 LENGTH, POOL = 2048, 4 << 20

@@ -12,8 +12,10 @@ with. Values of high-confidence patterns are added as spans of kind ``secret``.
 Everything is a DataFrame expression: no Python runs on executors.
 
 Defined cases: a null text is empty and has no spans; equal texts get equal
-spans; null and repeated ids are kept, a row for each input row; no rows give
-no rows; positions are code points, ends exclusive.
+spans; null and repeated ids are kept, a row for each input row; very long texts
+are searched whole; a value that several patterns find is one span; no rows give
+no rows; other columns aren't looked at, whatever their names; positions are
+code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ the greatest answers carry a gradient.
 The training sample is bounded (``SAMPLE`` rows); every text is scored whole.
 
 Defined cases: null and empty texts are one chunk of zero bytes; without labels
-every score is 0.5; null and repeated ids are kept; no rows give no rows.
+every score is 0.5; an id whose labels disagree teaches nothing, and of several
+texts of an id the least one is learned; null and repeated ids are kept; of
+equal answers of a filter the first chunk's counts; very long texts are scored
+whole; no rows give no rows; other columns aren't looked at, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined cases: a null text is an empty one and fails the word count; a text
 without frequent lines is left as it is, in others lines without a word stay; a null
 host is a host of its own; exact copies of a text count as one document of
 their host, so that copies alone don't make their lines boilerplate; repeated
-rows get equal results; no rows give no rows; columns of the input that have
+rows get equal results; very long texts are gone through whole; a line exactly
+at a limit stays; no rows give no rows; columns of the input that have
 the name of a result column keep their name with ``in_`` before it.
 """
 
