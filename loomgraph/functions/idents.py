@@ -163,8 +163,12 @@ def callee_parts(text: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(text, r"^(.*?)(?:::|\.)?([^.:]+)$", 1), F.lit("")).alias("qualifier"), F.regexp_extract(text, r"^(.*?)(?:::|\.)?([^.:]+)$", 2).alias("name"))
 
 
+# Keywords that stand before a parenthesis.
+KEYWORDS = ("if", "while", "for", "match", "return", "fn", "loop", "in", "as", "move")
+
+
 def macro_calls(text: Column) -> Column:
     """Names before an opening parenthesis in macro text, outside strings and comments, without keywords."""
     masked = F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"|//[^\n]*|/\*(?s:.*?)\*/', " ")
     found = F.regexp_extract_all(masked, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)
-    return F.filter(found, lambda n: ~n.isin("if", "while", "for", "match", "return", "fn", "loop", "in", "as", "move"))
+    return F.filter(found, lambda n: ~n.isin(*KEYWORDS))

@@ -43,38 +43,62 @@ def _between(text: str, a: str, b: str) -> str | None:
     return m[1].strip(EDGES) if m else None
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A kind of question fits if the text starts with, or holds, one of the words, holds "does" or not (asks), and lacks others."""
+
+    kind: str
+    starts: tuple[str, ...] = ()
+    has: tuple[str, ...] = ()
+    asks: bool | None = None
+    lacks: tuple[str, ...] = ()
+
+
+# The words of questions, in the order in which they are tried.
+RULES = (
+    Rule("impact", has=("break", "impact", "affect")),
+    Rule("callers", starts=("what calls", "who calls"), asks=False),
+    Rule("callers", has=("callers of",), asks=False),
+    Rule("callees", has=(" call", "depend"), asks=True),
+    Rule("callees", has=("callees of", "calls made by")),
+    Rule("explain", starts=("explain", "describe")),
+    Rule("explain", starts=("what is",), lacks=("best", "code")),
+    Rule("neighborhood", has=("subgraph", "neighborhood", "around")),
+)
+# The words after which a question's subject stands.
+SUBJECTS = {"impact": ("change", "modify", "edit", "of"), "neighborhood": ("around", "of", "near")}
+
+
+def _fits(rule: Rule, low: str) -> bool:
+    first = low.startswith(rule.starts) if rule.starts else any(w in low for w in rule.has)
+    return first and rule.asks in (None, "does" in low) and not any(w in low for w in rule.lacks)
+
+
 def parse(text: str) -> Question:
     """The first kind that the question's words fit, in a fixed order; a concept if none does."""
     low = text.lower().rstrip("?").strip()
-    has = lambda *words: any(w in low for w in words)
-    if has("break", "impact", "affect"):
-        return Question("impact", _after(low, ["change", "modify", "edit", "of"]))
-    asks = "does" in low
-    if (low.startswith(("what calls", "who calls")) or has("callers of")) and not asks:
-        return Question("callers", _last_name(low))
-    if (asks and has(" call", "depend")) or has("callees of", "calls made by"):
-        return Question("callees", _between(low, "does", "call") or _between(low, "does", "depend") or _last_name(low))
-    if low.startswith(("explain", "describe")) or (low.startswith("what is") and not has("best", "code")):
-        return Question("explain", _last_name(low))
-    if has("subgraph", "neighborhood", "around"):
-        return Question("neighborhood", _after(low, ["around", "of", "near"]), 2)
-    return Question("concept", text.strip())
+    kind = next((r.kind for r in RULES if _fits(r, low)), None)
+    if kind is None:
+        return Question("concept", text.strip())
+    if kind == "callees":
+        return Question(kind, _between(low, "does", "call") or _between(low, "does", "depend") or _last_name(low))
+    subject = _after(low, list(SUBJECTS[kind])) if kind in SUBJECTS else _last_name(low)
+    return Question(kind, subject, 2 if kind == "neighborhood" else 0)
 
 
 def kind_of(text: Column) -> Column:
     """The kind of question for a whole column."""
     low = F.btrim(F.regexp_replace(F.lower(text), r"\?+$", ""))
-    has = lambda *words: F.regexp_like(low, F.lit("|".join(map(re.escape, words))))
-    starts = lambda *words: F.regexp_like(low, F.lit("^(" + "|".join(map(re.escape, words)) + ")"))
-    asks = has("does")
-    return (
-        F.when(has("break", "impact", "affect"), "impact")
-        .when((starts("what calls", "who calls") | has("callers of")) & ~asks, "callers")
-        .when((asks & has(" call", "depend")) | has("callees of", "calls made by"), "callees")
-        .when(starts("explain", "describe") | (starts("what is") & ~has("best", "code")), "explain")
-        .when(has("subgraph", "neighborhood", "around"), "neighborhood")
-        .otherwise("concept")
-    )
+    one_of = lambda words, at="": F.regexp_like(low, F.lit(f"{at}(" + "|".join(map(re.escape, words)) + ")"))
+    out = F.lit("concept")
+    for rule in reversed(RULES):
+        fits = one_of(rule.starts, "^") if rule.starts else one_of(rule.has)
+        if rule.asks is not None:
+            fits = fits & (F.contains(low, F.lit("does")) == F.lit(rule.asks))
+        if rule.lacks:
+            fits = fits & ~one_of(rule.lacks)
+        out = F.when(fits, rule.kind).otherwise(out)
+    return out
 
 
 def ask(g: Graph, text: str) -> DataFrame:

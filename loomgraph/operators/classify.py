@@ -21,7 +21,7 @@ def category(reason: Column, gap: Column) -> Column:
     return F.when(bad, "missing_or_invalid_evidence").when(gap, "coverage_gap").otherwise("unresolved_call_site")
 
 
-#: Ways in which evidence fails, in the order in which they are looked for.
+# Ways in which evidence fails, in the order in which they are looked for.
 FAILS = ("unsupported-call-evidence-version", "missing-node", "stale-call-evidence", "invalid-call-claim")
 
 
