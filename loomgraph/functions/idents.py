@@ -120,7 +120,8 @@ def token_pairs(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     distinct over all texts, and their tokens are joined back to the texts.
     """
     words = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 1))
-    rows = df.select(*keys, F.monotonically_increasing_id().alias("row_"), F.explode(words).alias("word_"))
+    # numbered before words are rows
+    rows = df.select(*keys, words.alias("words_")).withColumn("row_", F.monotonically_increasing_id()).select(*keys, "row_", F.explode("words_").alias("word_"))
     parts = F.explode(F.array_distinct(F.concat(F.array("word_"), F.split("word_", INNER, -1))))
     known = rows.select("word_").distinct().select("word_", parts.alias("part_"))
     # exploded, so that a stem is made once, not once for each test of it
