@@ -132,3 +132,12 @@ def predicted(before: DataFrame, after: DataFrame, most: int = 20) -> DataFrame:
     old = before.select("node").exceptAll(after.select("node")).select(F.lit("removed").alias("change"), "node")
     n = F.row_number().over(Window.partitionBy("change").orderBy("node"))
     return new.union(old).withColumn("n", n).where(F.col("n") <= most).drop("n")
+
+
+def class_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(class, before, after, added, removed, kept) of two classifications (node, class): how many nodes each class has, gets, loses and keeps. A node that changes its class is removed from one and added to the other."""
+    b, a = before.select("node", "class", F.lit(1).alias("b")).distinct(), after.select("node", "class", F.lit(1).alias("a")).distinct()
+    both = b.join(a, ["node", "class"], "full_outer")
+    n = lambda c, name: F.count_if(c).alias(name)
+    has_b, has_a = F.col("b").isNotNull(), F.col("a").isNotNull()
+    return both.groupBy("class").agg(n(has_b, "before"), n(has_a, "after"), n(has_a & ~has_b, "added"), n(has_b & ~has_a, "removed"), n(has_a & has_b, "kept"))

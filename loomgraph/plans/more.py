@@ -427,3 +427,43 @@ def merged_log(spark, sf):
 
     ops = materialize(event_ops(spark, sf), "ops")
     return crdt.merge(ops.where("counter % 3 <> 0"), ops.where("counter % 2 = 0 or counter % 3 = 0")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# with something to find
+
+
+@query(f"WITH {OPS} SELECT actor, counter, action, key FROM ops")
+def merged_operations(spark, sf):
+    """Two halves of the log that share operations, operation by operation."""
+    from ..lineage import materialize
+
+    ops = materialize(event_ops(spark, sf), "ops")
+    return crdt.merge(ops.where("counter % 3 <> 0"), ops.where("counter % 2 = 0 or counter % 3 = 0")).select("actor", col("counter").cast("long").alias("counter"), "action", "key")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id FROM part UNION ALL SELECT p_partkey FROM part WHERE p_size % 10 = 3),
+e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), all_e AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE src % 50 = 7 UNION ALL SELECT src + 1000000, dst FROM e WHERE src % 40 = 1 UNION ALL SELECT src, dst + 1000000 FROM e WHERE src % 30 = 2)
+SELECT 'duplicate id' AS rule, count(*) AS n FROM (SELECT id FROM n GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'duplicate edge', count(*) FROM (SELECT src, dst FROM all_e GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'missing source', count(*) FROM all_e WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 'missing target', count(*) FROM all_e WHERE dst NOT IN (SELECT id FROM n)""")
+def broken_invariants(spark, sf):
+    """A graph that breaks each rule in known places."""
+    p = load(spark, sf, "part")
+    own = p.select(col("p_partkey").alias("id"), "p_size")
+    nodes = own.select("id").union(own.where("p_size % 10 = 3").select("id"))
+    e = load(spark, sf, "lineitem").select(col("l_partkey").alias("src"), col("l_suppkey").alias("dst")).distinct()
+    e = e.union(e.where("src % 50 = 7")).union(e.where("src % 40 = 1").select(col("src") + 1000000, "dst")).union(e.where("src % 30 = 2").select("src", col("dst") + 1000000))
+    return G.violations(G.Graph(nodes, e.withColumn("kind", F.lit("Calls"))))
+
+
+@query(CLASSED + """, c AS (SELECT node, CASE rank WHEN 0 THEN 'must' WHEN 1 THEN 'may' ELSE 'unknown' END AS class FROM best),
+b AS (SELECT node, class FROM c WHERE strlen(node) % 3 <> 0), a AS (SELECT node, CASE WHEN strlen(node) % 5 = 0 THEN 'unknown' ELSE class END AS class FROM c WHERE strlen(node) % 4 <> 1),
+f AS (SELECT coalesce(b.class, a.class) AS class, b.node IS NOT NULL AS was, a.node IS NOT NULL AS isnow FROM b FULL JOIN a ON a.node = b.node AND a.class = b.class)
+SELECT class, count(*) FILTER (was) AS before, count(*) FILTER (isnow) AS after, count(*) FILTER (isnow AND NOT was) AS added, count(*) FILTER (was AND NOT isnow) AS removed, count(*) FILTER (was AND isnow) AS kept FROM f GROUP BY 1""")
+def predicted_classes(spark, sf):
+    """Class counts before and after a change that drops some nodes and weakens others."""
+    g, classes, _ = classified(spark, sf)
+    named = with_paths(classes, g, node="path")
+    length = F.octet_length("path")
+    before = named.where(length % 3 != 0).select(col("path").alias("node"), "class")
+    after = named.where(length % 4 != 1).select(col("path").alias("node"), F.when(length % 5 == 0, "unknown").otherwise(col("class")).alias("class"))
+    return classify.class_counts(before, after)
