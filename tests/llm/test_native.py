@@ -218,3 +218,13 @@ def test_whole_tables(spark, name):
             assert [r[f"n_{k}"] for k in brute.FORMS] == [len(spans[k]) for k in brute.FORMS] and r["base_sha256"] == brute.base_sha(spans)
     if name == "op3_mixing":
         check_mix([r.asDict() | {"source": docs[r["doc_id"]]["source"]} for r in got], mixing.BLOCK)
+
+
+def test_recall_of_planted_secrets(spark):
+    """Values after ``token = "`` in the given table, whole: at least nine of ten are spans, with their exact bounds."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'token = "([^"\s]+)"', r["text"] or "")}
+    got = {(r["doc_id"], s["start"], s["end"]) for r in pii.personal_data(docs).collect() for s in r["spans"]["secret"]}
+    assert len(planted) >= 10 and len(planted & got) >= 0.9 * len(planted)
