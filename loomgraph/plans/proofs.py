@@ -41,15 +41,15 @@ def cfg_predicates(spark, sf):
     return p.select("p_partkey", cfg_value(texts).alias("holds"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT DISTINCT o_custkey % 300 AS a, (o_custkey % 300 + 1 + o_orderkey % 2) % 300 AS b FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 11 <> 0 UNION SELECT DISTINCT 1000 + l_suppkey, 1000 + l_suppkey - 1 FROM lineitem WHERE l_suppkey % 4 <> 0 UNION SELECT DISTINCT 1000 + l_suppkey - 3, 1000 + l_suppkey FROM lineitem WHERE l_suppkey % 8 = 3 UNION SELECT DISTINCT n_nationkey + 900000, n_nationkey + 900000 FROM nation WHERE n_nationkey % 3 = 0),
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT o_custkey % 300 AS a, (o_custkey % 300 * 3 + o_orderkey % 5) % 300 AS b FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 11 <> 0 UNION SELECT DISTINCT 1000 + l_suppkey, 1000 + l_suppkey - 1 FROM lineitem WHERE l_suppkey % 4 <> 0 UNION SELECT DISTINCT 1000 + l_suppkey - 3, 1000 + l_suppkey FROM lineitem WHERE l_suppkey % 8 = 3 UNION SELECT DISTINCT n_nationkey + 900000, n_nationkey + 900000 FROM nation WHERE n_nationkey % 3 = 0),
 r AS (SELECT a AS origin, b AS node FROM s UNION SELECT origin, b FROM r JOIN s ON node = a)
 SELECT x.origin AS node, max(y.origin) AS component FROM r x JOIN r y ON x.node = y.origin AND y.node = x.origin WHERE EXISTS (SELECT 1 FROM r z WHERE z.origin = x.origin AND z.node = x.origin) GROUP BY 1""")
 def import_components(spark, sf):
     """Cycles of different lengths, chains into and out of them, and steps of a node to itself."""
-    o, n = load(spark, sf, "orders").where("o_orderkey % 5 = 0 and o_custkey % 11 <> 0"), load(spark, sf, "nation").where("n_nationkey % 3 = 0")
+    o, n = load(spark, sf, "orders").where("o_orderkey % 3 = 0 and o_custkey % 11 <> 0"), load(spark, sf, "nation").where("n_nationkey % 3 = 0")
     a, s = col("o_custkey") % 300, col("l_suppkey") + 1000
     li = load(spark, sf, "lineitem")
-    steps = o.select(a.alias("at"), ((a + 1 + col("o_orderkey") % 2) % 300).alias("to")).union(li.where("l_suppkey % 4 <> 0").select(s, s - 1)).union(li.where("l_suppkey % 8 = 3").select(s - 3, s)).union(n.select(col("n_nationkey") + 900000, col("n_nationkey") + 900000))
+    steps = o.select(a.alias("at"), ((a * 3 + col("o_orderkey") % 5) % 300).alias("to")).union(li.where("l_suppkey % 4 <> 0").select(s, s - 1)).union(li.where("l_suppkey % 8 = 3").select(s - 3, s)).union(n.select(col("n_nationkey") + 900000, col("n_nationkey") + 900000))
     return components.cycles(steps.select(col("at").cast("long"), col("to").cast("long")))
 
 
