@@ -160,15 +160,19 @@ def summed(batches):
 REACHED = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
 
+def once(shared: dict, make):
+    """What a worker makes of a broadcast's plain values, once for all its tasks; no class of ours is in the broadcast, so workers need no copy of this package."""
+    if "made" not in shared:
+        shared["made"] = make(shared)
+    return shared["made"]
+
+
 class Cells:
     """One bit for each cell that reaches the least count: what goes to the workers, each of which unfolds it once."""
 
     def __init__(self, bits: int, blocks: list[tuple[int, bytes]]):
         self.bits, self.blocks, self.table = bits, blocks, None
 
-    def __getstate__(self):
-        return {"bits": self.bits, "blocks": self.blocks, "table": None}
-
     def unfolded(self) -> np.ndarray:
         if self.table is None:
             self.table = np.zeros(1 << (self.bits - 3), np.uint8)
@@ -187,6 +191,7 @@ class Cells:
 def listed(batches, cells):
     """(lang, phrase) of phrases in cells that reach the least count, about once a task."""
     seen = np.zeros(0, np.uint64)
+    own = once(cells.value, lambda x: Cells(x["bits"], x["blocks"]))
     for batch in batches:
         for some in pieces(batch, 0, SLICE):
             data, starts, ends, words, found = phrase_hashes(some.column(0), some.column(1))
@@ -194,7 +199,7 @@ def listed(batches, cells):
             doc = np.repeat(np.arange(len(words)), words)
             folded = data.tobytes().translate(FOLDED)
             for k, (at, h) in enumerate(found, 2):
-                kept = np.flatnonzero(cells.value.has(h))
+                kept = np.flatnonzero(own.has(h))
                 new, one = np.unique(h[kept], return_index=True)
                 place = np.searchsorted(seen, new)
                 unseen = np.append(seen, np.uint64(0))[place] != new
@@ -215,14 +220,15 @@ class Automata:
     words and the bounds of pieces are DELIMITER, which no pattern holds.
     """
 
-    def __init__(self, patterns: pa.Table):
+    def __init__(self, patterns: pa.Table | bytes):
+        self.made = None
+        if isinstance(patterns, bytes):
+            self.patterns = patterns
+            return
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, patterns.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             writer.write_table(patterns, max_chunksize=16_384)
-        self.patterns, self.made = sink.getvalue().to_pybytes(), None
-
-    def __getstate__(self):
-        return {"patterns": self.patterns, "made": None}
+        self.patterns = sink.getvalue().to_pybytes()
 
     def compiled(self) -> tuple[Codes, dict, np.ndarray]:
         """(words' codes, automata by language, pids by place)."""
@@ -275,7 +281,7 @@ def scanned(batches, automata):
     from itertools import chain
     from operator import itemgetter
 
-    codes, by_language, pids = automata.value.compiled()
+    codes, by_language, pids = once(automata.value, lambda x: Automata(x["patterns"])).compiled()
     counts = np.zeros(len(pids), np.int64)
     place = itemgetter(1)
     for batch in batches:
@@ -310,7 +316,7 @@ def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits:
     # about a fifth as many phrases as bytes, and two cells or more for each
     wide = min(bits[1], max(bits[0], math.ceil(math.log2(length / 2 + 1))))
     words, blocks = frequent_cells(texts, wide)
-    cells = spark.sparkContext.broadcast(Cells(wide, blocks))
+    cells = spark.sparkContext.broadcast({"bits": wide, "blocks": blocks})
     # each task lists the phrases it finds: fewer, larger shards of the corpus list a phrase less often
     shards = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, length // SHARD))
     found = shards.mapInArrow(lambda batches: listed(batches, cells), "lang string, phrase string").distinct()
@@ -322,7 +328,7 @@ def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits:
     counts = None
     for i in range(groups):
         # about group patterns, whatever the size of the corpus
-        automata = spark.sparkContext.broadcast(Automata(dealt.where(F.col("group") == i).select("lang", "phrase", "pid").orderBy("lang", "phrase").toArrow()))
+        automata = spark.sparkContext.broadcast({"patterns": Automata(dealt.where(F.col("group") == i).select("lang", "phrase", "pid").orderBy("lang", "phrase").toArrow()).patterns})
         one = materialize(shards.mapInArrow(lambda batches, a=automata: scanned(batches, a), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("f")), "counts")
         automata.unpersist()
         counts = one if counts is None else counts.unionByName(one)

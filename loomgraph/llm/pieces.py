@@ -172,31 +172,23 @@ class Pieces:
 
 
 def shipped(spark, model: str):
-    """The model's bytes, a file of the driver: under a megabyte goes with the tasks, and each worker makes its tables once."""
+    """The model's bytes, a file of the driver: under a megabyte goes with the tasks, as plain values, and each worker makes its tables once."""
     with open(model, "rb") as f:
-        return spark.sparkContext.broadcast(Shared(f.read()))
+        return spark.sparkContext.broadcast({"model": f.read()})
 
 
-class Shared:
-    """A model's bytes that become tables where they are first used; a worker keeps them over its tasks."""
+def tables_of(shared: dict) -> Pieces:
+    if "pieces" not in shared:
+        shared["pieces"] = Pieces(shared["model"])
+    return shared["pieces"]
 
-    def __init__(self, model: bytes):
-        self.model, self.made = model, {}
-
-    def __getstate__(self):
-        return {"model": self.model, "made": {}}
-
-    def pieces(self) -> Pieces:
-        if "pieces" not in self.made:
-            self.made["pieces"] = Pieces(self.model)
-        return self.made["pieces"]
 
-    def library(self):
-        if "library" not in self.made:
-            import sentencepiece
+def library_of(shared: dict):
+    if "library" not in shared:
+        import sentencepiece
 
-            self.made["library"] = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-        return self.made["library"]
+        shared["library"] = sentencepiece.SentencePieceProcessor(model_proto=shared["model"])
+    return shared["library"]
 
 
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
@@ -208,8 +200,8 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, ids: str = "id
     at = df.columns.index(next(c for c in df.columns if c.lower() == text.lower()))
 
     def run(batches):
-        pieces = shared.value.pieces()
-        decode = shared.value.library().decode if decoded else None
+        pieces = tables_of(shared.value)
+        decode = library_of(shared.value).decode if decoded else None
         for batch in batches:
             for some in slices(batch, at):
                 found = [pieces.encode(t or "") for t in some.column(at).to_pylist()]
@@ -229,7 +221,7 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, name: str = "dec
     at = df.columns.index(ids)
 
     def run(batches):
-        library = shared.value.library()
+        library = library_of(shared.value)
         for batch in batches:
             texts = [library.decode(x) if x else "" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
