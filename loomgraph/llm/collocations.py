@@ -10,7 +10,9 @@ of floor(1000000 a a / (l r)), l and r being the occurrences of the parts.
    bound of each of its phrases, so phrases of a cell under the least count are
    out. What goes to the tasks is one bit a cell (``BITS`` bounds it).
 2. The phrases in cells that reach it, made distinct, and their words are the
-   patterns. They are cut into groups of bounded size, by hash.
+   patterns. They are cut into groups of bounded size, by hash. Where there are
+   more than two, texts are cut into windows by the same hash of two words, so
+   that a group's scan reads only where its phrases can be.
 3. Each group is compiled into Aho-Corasick automata, one a language; words are
    written as codes and pieces stand between delimiters, so that nothing matches
    within a word or across pieces. Shards of the corpus are scanned, overlapping
@@ -23,8 +25,9 @@ repeated rows and ids, null or not, count as often as they are there; very long
 texts are gone through whole; of equal scores the more frequent phrase comes
 first, then the lesser in the order of UTF-8 bytes; of equal cuts the one after
 fewer words counts; no rows give no rows; other columns aren't looked at,
-whatever their names. More patterns than a group holds mean one more scan of the
-texts for each group.
+whatever their names. More words than a group holds mean one more scan of the
+texts for each group; phrases beyond two groups are scanned in windows, about
+three times the texts in all.
 """
 
 from __future__ import annotations
@@ -212,6 +215,44 @@ def listed(batches, cells):
                     yield pa.RecordBatch.from_arrays([rows.slice(i, len(part)), pa.array(texts, pa.string())], names=["lang", "phrase"])
 
 
+def headed(batches, k: int):
+    """(lang, phrase, pid, part): patterns of two or more words, dealt to k parts by their first two."""
+    for batch in batches:
+        _, _, _, words, ((at, h), *_) = phrase_hashes(batch.column(1), batch.column(0))
+        part = h[np.searchsorted(at, np.cumsum(words) - words)] % np.uint64(k)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["lang", "phrase", "pid", "part"])
+
+
+def windows(batches, cells, k: int):
+    """(lang, text, part): of each part what a pattern of it can match: every two words that reach the least count with the word after them.
+
+    A pair is dealt as patterns that begin with it. Windows of one part that
+    overlap are one, so that it holds each occurrence of its patterns once.
+    """
+    own = once(cells.value, lambda x: Cells(x["bits"], x["blocks"]))
+    for batch in batches:
+        for some in pieces(batch, 0, SLICE):
+            data, starts, ends, words, ((at, h), (longer, _)) = phrase_hashes(some.column(0), some.column(1))
+            kept = own.has(h)
+            at, part = at[kept], (h[kept] % np.uint64(k)).astype(np.int32)
+            if not len(at):
+                continue
+            codes = some.column(1).dictionary_encode()
+            lang = np.repeat(codes.indices.to_numpy(zero_copy_only=False), words)[at]
+            last = at + 1 + np.isin(at, longer, assume_unique=True)
+            by = np.lexsort((at, lang, part))
+            at, last, lang, part = at[by], last[by], lang[by], part[by]
+            row = np.r_[True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])]
+            first = np.flatnonzero(row | np.r_[True, at[1:] > last[:-1]])
+            to = ends[last[np.r_[first[1:], len(at)] - 1]].tolist()
+            folded = data.tobytes().translate(FOLDED)
+            texts = [folded[a:b] for a, b in zip(starts[at[first]].tolist(), to, strict=True)]
+            rows = np.flatnonzero(row)
+            bounds = np.searchsorted(first, np.r_[rows, len(at)]).tolist()
+            joined = [b"\n".join(texts[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(lang[rows])), pa.array(joined, pa.string()), pa.array(part[rows])], names=["lang", "text", "part"])
+
+
 class Automata:
     """Patterns (lang, phrase, pid) of a group and their automata, which a worker makes once.
 
@@ -307,6 +348,26 @@ def frequent_cells(texts: DataFrame, bits: int) -> tuple[DataFrame, list[tuple[i
     return words, [(r["block"], bytes(r["cells"])) for r in reached.toLocalIterator()]
 
 
+def groups_of(found: DataFrame, shards: DataFrame, cells, group: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(patterns, texts) of each scan: about group of the patterns (lang, phrase, pid), and all texts (text, lang) where they can be.
+
+    Two groups are looked for in all of the texts. Where there are more, only
+    words are; phrases are dealt by their first two words, and windows of the
+    texts with them, so that what is scanned does not grow with the groups.
+    """
+    alone = ~F.contains("phrase", F.lit(" "))
+    n, singles = found.agg(F.count(F.lit(1)), F.count_if(alone)).first()
+    head = F.slice(F.split("phrase", " "), 1, 2)
+    whole = lambda df, k: [(df.where(F.pmod(F.xxhash64("lang", head), F.lit(k)) == i), shards) for i in range(k)]
+    if n <= 2 * group:
+        return whole(found, max(1, -(-n // group)))
+    out = whole(materialize(found.where(alone), "singles"), -(-singles // group))
+    k = -(-(n - singles) // group)
+    dealt = materialize(found.where(~alone).mapInArrow(lambda batches: headed(batches, k), "lang string, phrase string, pid long, part int"), "headed", "part")
+    texts = materialize(shards.mapInArrow(lambda batches: windows(batches, cells, k), "lang string, text string, part int"), "windows", "part")
+    return out + [(dealt.where(F.col("part") == i), texts.where(F.col("part") == i).select("text", "lang")) for i in range(k)]
+
+
 def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits: tuple[int, int] = BITS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): (lang, phrase, size, f) of all phrases and their words with f of the least count or more, and (lang, n)."""
     spark = df.sparkSession
@@ -322,14 +383,11 @@ def counted_phrases(df: DataFrame, text: str = "text", lang: str = "lang", bits:
     found = shards.mapInArrow(lambda batches: listed(batches, cells), "lang string, phrase string").distinct()
     own = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     found = materialize(found.unionByName(own).distinct().withColumn("pid", F.monotonically_increasing_id()), "patterns")
-    groups = max(1, -(-found.count() // group))
-    head = F.slice(F.split("phrase", " "), 1, 2)
-    dealt = materialize(found.withColumn("group", F.pmod(F.xxhash64("lang", head), F.lit(groups)).cast("int")), "groups") if groups > 1 else found.withColumn("group", F.lit(0))
     counts = None
-    for i in range(groups):
+    for patterns, searched in groups_of(found, shards, cells, group):
         # about group patterns, whatever the size of the corpus
-        automata = spark.sparkContext.broadcast({"patterns": Automata(dealt.where(F.col("group") == i).select("lang", "phrase", "pid").orderBy("lang", "phrase").toArrow()).patterns})
-        one = materialize(shards.mapInArrow(lambda batches, a=automata: scanned(batches, a), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("f")), "counts")
+        automata = spark.sparkContext.broadcast({"patterns": Automata(patterns.select("lang", "phrase", "pid").orderBy("lang", "phrase").toArrow()).patterns})
+        one = materialize(searched.mapInArrow(lambda batches, a=automata: scanned(batches, a), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("f")), "counts")
         automata.unpersist()
         counts = one if counts is None else counts.unionByName(one)
     cells.unpersist()

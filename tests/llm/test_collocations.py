@@ -95,3 +95,18 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert C.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert C.collocations(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_windows_do_not_grow_with_groups(spark):
+    """However many groups, the windows of all hold at most three times the words, and each frequent pair once where it is dealt to."""
+    rows = [(t, x or "und") for _, t, x, _, _ in corpus(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([x for _, x in rows])], names=["text", "lang"])
+
+    class Value:
+        value = {"bits": 16, "blocks": [(0, np.r_[0, np.ones(65535)].astype("<u2").tobytes())]}  # every cell is reached
+
+    words = lambda t: len(re.findall(r"[^ \n]+", t))
+    total = sum(len(re.findall(r"[^ \t.,;:!?\n-\r]+", t or "")) for t, _ in rows)
+    for k in (1, 3, 200):
+        found = [r for b in C.windows([batch], Value, k) for r in b.to_pylist()]
+        assert {r["part"] for r in found} <= set(range(k)) and sum(words(r["text"]) for r in found) <= 3 * total
