@@ -355,3 +355,12 @@ def test_reviews(spark):
     steps = spark.createDataFrame([(1, "crate::f::b", mark), (2, "crate::f::b", "00"), (3, "crate::nope", "00")], "step int, path string, fingerprint string")
     assert {r["step"]: r["category"] for r in review.pre_check(now, steps, "p").collect()} == {2: "stale_input", 3: "insufficient_evidence"}
     assert {r["file"]: (r["modified"], r["removed"]) for r in review.by_file(now, base).collect()} == {"src/f.rs": (2, 1)}
+
+
+def test_acknowledged_is_a_table(spark):
+    """A row for each actor, so that no operation carries all of them; an actor that is not there has acknowledged nothing."""
+    schema = "actor string, counter int, context map<string,int>, action string, key string, payload string"
+    rows = [("a", 1, {"a": 0}, "upsert_node", "n", "1"), ("a", 2, {"a": 1}, "upsert_node", "n", "2"), ("a", 3, {"a": 2}, "upsert_node", "n", "3")]
+    rows += [("b", 1, {"b": 0}, "remove_node", "m", "1"), ("b", 2, {"b": 1}, "upsert_node", "m", "2"), ("c", 1, {"c": 0}, "upsert_node", "m", "1"), ("c", 2, {"c": 1}, "upsert_node", "m", "2")]
+    known = spark.createDataFrame([("a", 2), ("a", 1), ("b", 2)], "actor string, counter int")
+    assert [tuple(r) for r in crdt.compactable(spark.createDataFrame(rows, schema), known).select("actor", "counter").collect()] == [("a", 1)]
