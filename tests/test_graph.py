@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +365,25 @@ def test_acknowledged_is_a_table(spark):
     rows += [("b", 1, {"b": 0}, "remove_node", "m", "1"), ("b", 2, {"b": 1}, "upsert_node", "m", "2"), ("c", 1, {"c": 0}, "upsert_node", "m", "1"), ("c", 2, {"c": 1}, "upsert_node", "m", "2")]
     known = spark.createDataFrame([("a", 2), ("a", 1), ("b", 2)], "actor string, counter int")
     assert [tuple(r) for r in crdt.compactable(spark.createDataFrame(rows, schema), known).select("actor", "counter").collect()] == [("a", 1)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Each pair of vectors once, whatever the blocks: equal vectors by id; what is null, nought or of another length is the last."""
+    r = random.Random(5)
+    rows = [(i, [r.random() - 0.5 for _ in range(6)]) for i in range(400)]
+    rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(2000, None), (2001, [0.0] * 6), (2002, [1.0, 2.0])]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    double = df.selectExpr("id", "transform(embedding, x -> cast(x as double)) as embedding")
+    rows32 = {x["id"]: x["embedding"] for x in double.collect()}
+    fine = {i: v for i, v in rows32.items() if i < 2000}
+    asked = [(i, v) for i, v in fine.items() if i % 20 == 0]
+    want = {(i, j, n) for i, v in asked for n, (_, j) in enumerate(sorted((-round(cos(v, w), 9), j) for j, w in fine.items() if j != i)[:5], 1)}
+    for size in (7, 100_000):
+        monkeypatch.setattr(similarity, "QUERY_BLOCK", size)
+        monkeypatch.setattr(similarity, "VECTOR_BLOCK", max(size, 90))
+        got = similarity.nearest_vectors(df, df.where("id % 20 = 0 and id < 2000").withColumnRenamed("id", "query"), 5).collect()
+        assert {(x["query"], x["id"], x["rank"]) for x in got} == want
+    few = df.where("id >= 2000 or id < 2")
+    got = similarity.nearest_vectors(few, few.where("id in (0, 2000)").withColumnRenamed("id", "query"), 5).orderBy("query", "rank").collect()
+    assert [x["id"] for x in got] == [1, 2000, 2001, 2002, 0, 1, 2001, 2002] and [x["score"] is None for x in got] == [False, *[True] * 7]
