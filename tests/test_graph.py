@@ -1,4 +1,5 @@
 import random
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,17 @@ def test_nearest_in_blocks(spark, monkeypatch):
     few = df.where("id >= 2000 or id < 2")
     got = similarity.nearest_vectors(few, few.where("id in (0, 2000)").withColumnRenamed("id", "query"), 5).orderBy("query", "rank").collect()
     assert [x["id"] for x in got] == [1, 2000, 2001, 2002, 0, 1, 2001, 2002] and [x["score"] is None for x in got] == [False, *[True] * 7]
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """A task groups as many lines whatever the table's size: no setting, and no joining of small partitions, decides on it."""
+    from loomgraph.plans import star
+
+    sf = "/root/testdata/sf0.001"
+    want = star.edges(spark, sf).count()
+    monkeypatch.setattr(star, "LINES", 100)
+    tasks = -(-star.load(spark, sf, "lineitem").count() // 100)
+    e = star.edges(spark, sf)
+    assert e.count() == want
+    plan = re.sub(r"#\d+L?", "", e._jdf.queryExecution().executedPlan().toString())
+    assert f"hashpartitioning(l_orderkey, {tasks})" in plan and f"hashpartitioning(l_partkey, l_suppkey, {tasks})" in plan
