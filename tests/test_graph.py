@@ -402,3 +402,19 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert e.count() == want
     plan = re.sub(r"#\d+L?", "", e._jdf.queryExecution().executedPlan().toString())
     assert f"hashpartitioning(l_orderkey, {tasks})" in plan and f"hashpartitioning(l_partkey, l_suppkey, {tasks})" in plan
+
+
+def test_classified_derives_the_graph_once(spark, monkeypatch):
+    """Evidence reads its tables many times; they are derived from the star's once."""
+    from loomgraph.plans import more, queries
+
+    given = []
+    monkeypatch.setattr(classify, "classified_impact", lambda g, origins: given.append(g) or (g.nodes.limit(0), None))
+    monkeypatch.setattr(classify, "selected_tests", lambda g, origins: given.append(g) or g.nodes.select(F.col("id").alias("node")).limit(0))
+    queries.classified(spark, "/root/testdata/sf0.001")
+    more.selected_tests(spark, "/root/testdata/sf0.001")
+    assert len(given) == 2
+    for g in given:
+        for df in (g.nodes, g.edges, g.claims):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "ArrowEval" not in plan
