@@ -418,3 +418,29 @@ def test_classified_derives_the_graph_once(spark, monkeypatch):
         for df in (g.nodes, g.edges, g.claims):
             plan = df._jdf.queryExecution().optimizedPlan().toString()
             assert "Join" not in plan and "ArrowEval" not in plan
+
+
+def test_duplicate_counts_are_those_of_the_report(spark):
+    """Counted without pairs: 400 copies have 79,800, of which no row is made."""
+    rows = [(i, f"p{i}", "Function", "alpha beta gamma") for i in range(-200, 200)] + [(1000 + i, f"p{1000 + i}", "Function", s) for i, s in enumerate(["alpha beta gamma delta", "other words here", "gamma delta beta alpha", "", "other words"])]
+    g = G.Graph(spark.createDataFrame(rows, "id long, path string, kind string, source string"), None)
+    want = {(r["left"], r["count"]) for r in similarity.duplicate_report(g).groupBy("left").count().collect()}
+    counts = similarity.duplicate_counts(g)
+    assert {tuple(r) for r in counts.collect()} == want and sum(n for _, n in want) > 79_800
+    parts = more_pairs(spark)
+    assert parts < 10 * len(rows)
+
+
+def more_pairs(spark):
+    """The most rows that a step of duplicate_counts writes, of 400 copies."""
+    from loomgraph.operators import similarity as S
+
+    seen = []
+    kept = S.numbered
+    S.numbered = lambda df, order, name: seen.append(df.count()) or kept(df, order, name)
+    try:
+        rows = [(i, f"p{i}", "Function", "alpha beta gamma") for i in range(400)]
+        S.duplicate_counts(G.Graph(spark.createDataFrame(rows, "id long, path string, kind string, source string"), None)).count()
+    finally:
+        S.numbered = kept
+    return max(seen)
