@@ -444,3 +444,26 @@ def more_pairs(spark):
     finally:
         S.numbered = kept
     return max(seen)
+
+
+def test_sets_of_common_tokens(spark, monkeypatch):
+    """Where first tokens bring all sets together no pair is a row before it is counted, and no pair is lost."""
+    rng = random.Random(3)
+    sets = {k: {f"t{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 30))} for k in range(-200, 200)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    reps = {}
+    for k, v in sorted(sets.items()):
+        reps.setdefault(frozenset(v), k)
+    reps = [(k, v) for v, k in reps.items() if v]
+    share = lambda x, y: len(x & y) / len(x | y)
+    used = []
+    by_first, in_blocks = similarity.by_first, similarity.in_blocks
+    monkeypatch.setattr(similarity, "by_first", lambda *x: used.append("first") or by_first(*x))
+    monkeypatch.setattr(similarity, "in_blocks", lambda *x: used.append("blocks") or in_blocks(*x))
+    for threshold, block, most, way in ((0.15, 65_536, 10**9, "blocks"), (0.15, 60, 10**9, "blocks"), (0.6, 60, 0, "blocks"), (0.6, 60, 10**9, "first")):
+        monkeypatch.setattr(similarity, "SET_BLOCK", block)
+        monkeypatch.setattr(similarity, "JOINED", most)
+        monkeypatch.setattr(similarity, "COUNTED", 32 if way == "blocks" else 0.001)
+        got = {(r["a"], r["b"]): round(r["score"], 9) for r in similarity.similar_pairs(df, threshold)[0].collect()}
+        assert got == {(a, b): round(share(x, y), 9) for a, x in reps for b, y in reps if a < b and share(x, y) >= threshold}
+        assert used.pop() == way
