@@ -467,3 +467,29 @@ def test_sets_of_common_tokens(spark, monkeypatch):
         got = {(r["a"], r["b"]): round(r["score"], 9) for r in similarity.similar_pairs(df, threshold)[0].collect()}
         assert got == {(a, b): round(share(x, y), 9) for a, x in reps for b, y in reps if a < b and share(x, y) >= threshold}
         assert used.pop() == way
+
+
+def test_routed_radius(spark, monkeypatch):
+    """One search for all functions of a file, and one back from all tests, say what a search from each function says."""
+    rng = random.Random(8)
+    names = [f"crate::{'f' if k < 6 else 'g'}::n{k}" for k in range(28)]
+    n = fns(*names, tests=names[20:])
+    e = sorted({(rng.choice(names), rng.choice(names), "Calls") for _ in range(50)})
+    for src, dst, _ in e:
+        kind = rng.choice(("route_guard::", "entry_route::", "entry_route_params::", ""))
+        if kind:
+            n[src][2][kind + dst] = rng.choice("ab")
+    g = graph(spark, n, e).materialized()
+    own = {r["id"] for r in g.nodes.where("file = 'src/f.rs'").select("id").collect()}
+    every = traverse.impact(g, g.nodes.select("id"), True).collect()
+    want = {k: 0 for k in own}
+    for r in every:
+        if r["origin"] in own:
+            want[r["node"]] = min(want.get(r["node"], 99), r["distance"])
+    tests = {fnv(x) for x in names[20:]}
+    covered = {r["origin"] for r in every if r["node"] in tests}
+    monkeypatch.setattr(traverse, "impact", None)  # no search from each function
+    found, uncovered = traverse.blast_radius(g, "src/f.rs")
+    assert {r["node"]: r["distance"] for r in found.collect()} == want
+    assert {r["node"] for r in uncovered.collect()} == set(want) - tests - covered
+    assert {r["node"] for r in traverse.radius(g, "src/f.rs").collect()} == set(want)
