@@ -121,3 +121,14 @@ def test_owners_and_proofs_against_loops(spark, seed):
     got = {(x["file"], x["name"]) for x in proofs.proven_names(spark.createDataFrame(uses, "file string, name string, role string, path string"), spark.createDataFrame(blocked, "file string")).collect()}
     want = {(f, n) for f, n, _, _ in uses if f != "x1" and [u[2] for u in uses if u[:2] == (f, n)].count("definition") == 1 and not any(u[:2] == (f, n) and u[2] == "other" for u in uses)}
     assert got == want
+
+
+def test_chains_end(spark, monkeypatch):
+    """What waits for a function without a type keeps no round going."""
+    functions = spark.createDataFrame([(1, "a", "crate::A", "Beta", None, None), (2, "b", "crate::Beta", None, None, None)], "id long, name string, owner string, return_type string, type_parameters string, first_parameter string")
+    factories = spark.createDataFrame([(1, "a", None, 1, None, None), (2, "b", 1, None, None, None), (3, "c", 2, None, None, None)], "factory long, name string, receiver long, base long, fallback_type string, fallback long")
+    calls = spark.createDataFrame([(10, "b", 1), (11, "c", 2)], "ref long, name string, factory long")
+    written, materialize = [], proofs.materialize
+    monkeypatch.setattr(proofs, "materialize", lambda *x: written.append(1) or materialize(*x) if len(written) < 40 else 1 / 0)
+    assert {tuple(r) for r in proofs.chained_receivers(calls, factories, functions).collect()} == {(10, 2)}
+    assert not spark.sql("SHOW TABLES LIKE 'loomgraph_*'").collect()
