@@ -41,24 +41,22 @@ from .vector import flat, pieces, small_batches, splitmix, word_hashes
 STATES, EVIDENCE, CARRIED, DEALT = 8, 10, 1 << 20, 1024
 #: Rounds of Baum-Welch; words between the states that are kept in training; what is added to expected counts.
 ROUNDS, STRETCH, PRIOR = 2, 128, 0.01
-#: Words whose expected states are held before they are added up.
-HELD = 1 << 20
+#: Words whose states are held at a time.
+HELD = 1 << 19
 #: Classes of the words that are no symbols: by length up to 15, and two marks.
 CLASSES = 16 * 4
 #: What is added to each word's count.
 ADDED = 0.1
-#: Words of a text from which it is kept to be gone through with others as long; how many texts and words are kept.
-LONG, KEPT, KEPT_WORDS = 1500, 128, 1 << 21
+#: Words of a text from which it is kept to be gone through with others as long; how many texts and words are kept; shorter texts that go together.
+LONG, KEPT, KEPT_WORDS, TOGETHER = 1500, 256, 1 << 20, 2048
 
 
 def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The class of each word."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    marks = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data > 127) + ((data >= 48) & (data <= 57)) * (1 << 32), out=marks[1:])
-    found = marks[ends] - marks[starts]
-    return np.minimum(ends - starts, 15) + 16 * ((found & 0xFFFFFFFF) > 0) + 32 * ((found >> 32) > 0)
+    has = lambda marked: np.searchsorted(at := np.flatnonzero(marked), starts) < np.searchsorted(at, ends)
+    return np.minimum(ends - starts, 15) + 16 * has(data > 127) + 32 * has((data >= 48) & (data <= 57))
 
 
 def counted(df: DataFrame, text: str) -> DataFrame:
@@ -102,7 +100,11 @@ def carried(words: np.ndarray, counts: np.ndarray, symbols: int) -> dict[str, np
     symbol = np.full(len(words), -1, np.int32)
     symbol[rank[:symbols]] = np.arange(min(symbols, len(words)))
     order = np.argsort(words.view(np.uint64))
-    return {"words": words.view(np.uint64)[order], "counts": counts[order], "symbol": symbol[order]}
+    words = words.view(np.uint64)[order]
+    # where the hashes begin that share their leading bits, of which there are about as many as words
+    bits = max(1, len(words).bit_length())
+    first = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return {"words": words, "counts": counts[order], "symbol": symbol[order], "first": first}
 
 
 def found(lookup: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,18 +112,25 @@ def found(lookup: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray
     words = lookup["words"]
     if not len(words) or not len(hashes):
         return np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), np.int64)
-    each, back = np.unique(hashes, return_inverse=True)
-    at = np.minimum(np.searchsorted(words, each), len(words) - 1)
-    hit = words[at] == each
-    return np.where(hit, lookup["symbol"][at], -1).astype(np.int32)[back], np.where(hit, lookup["counts"][at], 0)[back]
+    at = lookup["first"][hashes >> np.uint64(65 - len(lookup["first"]).bit_length())].astype(np.int64)
+    last = len(words) - 1
+    np.minimum(at, last, out=at)
+    on = np.flatnonzero(words[at] < hashes)
+    while len(on):
+        on = on[at[on] < last]
+        at[on] += 1
+        on = on[words[at[on]] < hashes[on]]
+    hit = words[at] == hashes
+    return np.where(hit, lookup["symbol"][at], -1).astype(np.int32), np.where(hit, lookup["counts"][at], 0)
 
 
 def symbols_of(lookup: dict, n: int, batch: pa.Array):
-    """(symbols with an end for each text, bounds, hashes, counts, classes, first)."""
+    """(symbols with an end for each text, bounds, hashes, counts, classes of the words without a symbol, symbols, first)."""
     data, bounds = flat(batch)
     hashes, first, starts, ends = word_hashes(data, bounds)
-    kinds = classes(data, starts, ends)
     symbol, counts = found(lookup, hashes)
+    bare, kinds = np.flatnonzero(symbol < 0), np.zeros(len(hashes), np.int64)
+    kinds[bare] = classes(data, starts[bare], ends[bare])
     seq = np.where(symbol >= 0, symbol, n + kinds).astype(np.int64)
     out = np.full(len(seq) + len(batch), n + CLASSES, np.int64)
     place = np.arange(len(seq)) + np.repeat(np.arange(len(batch)), np.diff(first))
@@ -137,86 +146,91 @@ def ranked(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, bounds[:-1][order], np.searchsorted(-lengths[order], -np.arange(most), "left")
 
 
+def step_by_step(seq: np.ndarray, starts: np.ndarray, active: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ranks, bounds): the places from first to last of all texts, place by place, whose text is at which rank, and where each place begins."""
+    n = active[first:last]
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    ranks = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)
+    return seq[starts[ranks] + np.repeat(np.arange(first, last), n)], ranks, bounds
+
+
+def ahead(model: dict, emitted: np.ndarray, bounds: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward states, a row for each state, and their scales, after the states a (None: at the texts' starts)."""
+    states, scales, move = np.empty_like(emitted), np.empty(emitted.shape[1], emitted.dtype), np.ascontiguousarray(model["move"].T)
+    for o, p in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        x, s = states[:, o:p], scales[o:p]
+        if a is None:
+            x[:] = model["start"][:, None]
+        else:
+            np.matmul(move, a[:, : p - o], out=x)
+        x *= emitted[:, o:p]
+        np.add.reduce(x, axis=0, out=s)
+        x /= s
+        a = x
+    return states, scales
+
+
 def forward(model: dict, seq: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 likelihood of each text: the scaled forward recursion, over all texts of the batch at a time."""
     order, starts, active = ranked(bounds)
-    logs = np.zeros(len(order))
-    a = None
-    for t, n in enumerate(active.tolist()):
-        e = model["emit"][seq[starts[:n] + t]]
-        a = e * model["start"] if a is None else (a[:n] @ model["move"]) * e
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        logs[:n] += np.log10(s)
+    logs, a = np.zeros(len(order)), None
+    stretch = max(STRETCH, HELD // 2 // max(1, len(order)))
+    for first in range(0, len(active), stretch):
+        symbols, ranks, at = step_by_step(seq, starts, active, first, min(first + stretch, len(active)))
+        states, scales = ahead(model, np.ascontiguousarray(model["emit"][symbols].T), at, a)
+        logs += np.bincount(ranks, np.log10(scales), minlength=len(logs))
+        a = states[:, at[-2] :].copy()
     out = np.empty(len(order))
     out[order] = logs
     return out
 
 
-def expected(model: dict, seq: np.ndarray, bounds: np.ndarray, total: np.ndarray, stretch: int = STRETCH) -> None:
-    """Adds the expected counts of whole texts to total: a row of starts, a row of moves from each state, then a row for each symbol."""
+def expected(model: dict, seq: np.ndarray, bounds: np.ndarray, total: np.ndarray, stretch: int | None = None) -> None:
+    """Adds the expected counts of whole texts to total: a row of starts, a row of moves from each state, then a row for each symbol.
+
+    stretch: places between those whose states are kept; if not given, as many
+    as HELD words make.
+    """
     _, starts, active = ranked(bounds)
-    k, move, emit = len(model["start"]), model["move"], model["emit"]
-    steps = len(active)
+    single = {name: model[name].astype(np.float32) for name in ("start", "move", "emit")}
+    k, move, steps = len(model["start"]), single["move"], len(active)
     if not steps:
         return
-
-    def ahead(a, t):
-        """The scaled forward states at t from those before, and their scales."""
-        n = active[t]
-        e = emit[seq[starts[:n] + t]]
-        a = e * model["start"] if t == 0 else (a[:n] @ move) * e
-        s = a.sum(axis=1)
-        return a / s[:, None], s
-
-    kept, a = [], None
-    for t in range(steps):
-        if t % stretch == 0:
-            kept.append(a)  # the state before the stretch
-        a, _ = ahead(a, t)
-    pairs = np.zeros((k, k))
-    states, kinds, held = [], [], 0
-
-    def summed():
-        c, g = np.concatenate(kinds), np.concatenate(states)
-        each, back = np.unique(c, return_inverse=True)
-        for j in range(k):
-            total[1 + k + each, j] += np.bincount(back, g[:, j], minlength=len(each))
-
-    b, later = np.ones((0, k)), None  # later: what the place after this one sends back
-    for first in range((steps - 1) // stretch * stretch, -1, -stretch):
-        a, run = kept.pop(), []
-        for t in range(first, min(first + stretch, steps)):
-            a, s = ahead(a, t)
-            run.append((a, s))
-        for t in range(first + len(run) - 1, -1 + first, -1):
-            a, s = run[t - first]
-            n = active[t]
-            b = np.ones((n, k))
+    stretch = stretch or max(STRETCH, HELD // int(active[0]))
+    firsts = list(range(0, steps, stretch))
+
+    def part(first):
+        symbols, _, at = step_by_step(seq, starts, active, first, min(first + stretch, steps))
+        return symbols, np.ascontiguousarray(single["emit"][symbols].T), at
+
+    kept = [None]  # the states before each stretch
+    for first in firsts[:-1]:
+        _, emitted, at = part(first)
+        kept.append(ahead(single, emitted, at, kept[-1])[0][:, at[-2] :].copy())
+    pairs, later = np.zeros((k, k)), None  # later: what the place after this one sends back
+    for first in reversed(firsts):
+        symbols, emitted, at = part(first)
+        states, scales = ahead(single, emitted, at, kept.pop())
+        emitted /= scales
+        back = np.ones_like(states)
+        for o, p in zip(at[-2::-1].tolist(), at[:0:-1].tolist(), strict=True):
             if later is not None:
-                m = len(later)
-                pairs += a[:m].T @ later
-                b[:m] = later @ move.T
-            g = a * b
-            g /= g.sum(axis=1)[:, None]
-            here = seq[starts[:n] + t]
-            states.append(g.astype(np.float32))
-            kinds.append(here)
-            held += n
-            if held >= HELD:
-                summed()
-                states, kinds, held = [], [], 0
-            later = emit[here] * b / s[:, None]
-            if t == 0:
-                total[0] += g.sum(axis=0)
-    if held:
-        summed()
+                m = later.shape[1]
+                np.matmul(move, later, out=back[:, o : o + m])
+                pairs += states[:, o : o + m] @ later.T
+            later = emitted[:, o:p] * back[:, o:p]
+        states *= back
+        states /= states.sum(axis=0)
+        for j in range(k):
+            total[1 + k :, j] += np.bincount(symbols, states[j], minlength=len(total) - 1 - k)
+        if first == 0:
+            total[0] += states[:, : at[1]].sum(axis=1)
     total[1 : 1 + k] += pairs * move
 
 
 def grouped(batches, text: int, limit: int = 8 << 20):
     """(batch, long): pieces of batches; texts of over LONG words come last, with others as long, so that few go on alone."""
-    late, words = [], 0
+    late, words, soon = [], 0, []
     for whole in batches:
         for batch in pieces(whole, text, limit):
             n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -226,10 +240,14 @@ def grouped(batches, text: int, limit: int = 8 << 20):
                 words += int(n[big].sum()) // 6
                 batch = batch.filter(pa.array(~big))
             if batch.num_rows:
-                yield batch
+                soon.append(batch)
+            if sum(b.num_rows for b in soon) >= TOGETHER or sum(b.nbytes for b in soon) >= limit // 2:
+                yield from joined(soon)
+                soon = []
             if sum(b.num_rows for b in late) >= KEPT or words >= KEPT_WORDS:
                 yield from joined(late)
                 late, words = [], 0
+    yield from joined(soon)
     yield from joined(late)
 
 
@@ -247,7 +265,7 @@ def summed_over(df: DataFrame, text: str, shape: tuple[int, int], shipped, add)
     names = ["k", *(f"x{j}" for j in range(width))]
 
     def run(batches):
-        total = np.zeros(shape)
+        total = np.zeros(shape, order="F")  # columns are added to
         state = shipped.value
         for batch in grouped(batches, 0):
             add(state, batch.column(0), total)
@@ -264,12 +282,13 @@ def summed_over(df: DataFrame, text: str, shape: tuple[int, int], shipped, add)
 
 def neighbours(state: dict, texts: pa.Array, total: np.ndarray) -> None:
     """Adds counts of pairs of the most frequent words, by the next frequent word after each."""
-    n, m = state["symbols"], min(DEALT, state["symbols"])
-    seq, bounds, *_ = symbols_of(state["lookup"], n, texts)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    some = np.flatnonzero(seq < m)
-    same = doc[some[1:]] == doc[some[:-1]]
-    total[:, 0] += np.bincount(seq[some[:-1]][same] * m + seq[some[1:]][same], minlength=m * m)
+    m = min(DEALT, state["symbols"])
+    hashes, first, *_ = word_hashes(*flat(texts))
+    symbol, _ = found(state["lookup"], hashes)
+    some = np.flatnonzero((symbol >= 0) & (symbol < m))
+    doc, seq = np.searchsorted(first, some, "right"), symbol[some].astype(np.int64)
+    same = doc[1:] == doc[:-1]
+    total[:, 0] += np.bincount(seq[:-1][same] * m + seq[1:][same], minlength=m * m)
 
 
 def dealt(pairs: np.ndarray, states: int) -> np.ndarray:

@@ -111,3 +111,41 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert hmm.language_model(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_words_are_found_by_leading_bits():
+    r = np.random.default_rng(3)
+    near = np.uint64(7 << 60) + np.arange(50, dtype=np.uint64)  # all share their leading bits
+    for words in (near[:0], near[:1], near, r.integers(0, 1 << 64, 1000, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)):
+        lookup = hmm.carried(words.view(np.int64), np.arange(1, len(words) + 1), len(words) // 2)
+        each = {int(w): k for k, w in enumerate(lookup["words"])}
+        asked = np.concatenate([words, words + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        symbol, count = hmm.found(lookup, asked)
+        for h, s, c in zip(asked.tolist(), symbol.tolist(), count.tolist(), strict=True):
+            assert (s, c) == ((lookup["symbol"][each[h]], lookup["counts"][each[h]]) if h in each else (-1, 0))
+
+
+def test_states_are_made_once_where_they_fit(monkeypatch):
+    """And a long batch of few texts is cut, with the same counts and likelihoods."""
+    r = np.random.default_rng(6)
+    model = hmm.normalized(r.random(3), r.random((3, 3)), r.random((9, 3)) * 9, np.full(9, 0.01))
+    lengths = [1, 700, 300, 700, 2]
+    seq, bounds = r.integers(0, 9, sum(lengths)), np.concatenate([[0], np.cumsum(lengths)])
+    ahead, made, got = hmm.ahead, [], []
+    monkeypatch.setattr(hmm, "ahead", lambda m, e, *more: made.append(e.shape[1]) or ahead(m, e, *more))
+    for held in (1 << 19, 1):
+        monkeypatch.setattr(hmm, "HELD", held)
+        got.append((np.zeros((1 + 3 + 9, 3)), hmm.forward(model, seq, bounds)))
+        made.clear()
+        hmm.expected(model, seq, bounds, got[-1][0])
+        assert (sum(made) == len(seq)) == (held > 1)
+    assert got[0][0] == pytest.approx(got[1][0], rel=1e-4, abs=1e-4) and got[0][1] == pytest.approx(got[1][1])
+    assert got[0][0][4:].sum() == pytest.approx(len(seq), rel=1e-5)
+
+
+def test_short_batches_go_together():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"text": [f"a{i}", None, "b" * 9500]}, schema=pa.schema([("text", pa.string())])) for i in range(20)]
+    got = list(hmm.grouped(iter(batches), 0))
+    assert len(got) == 2 and sorted((t or "") for b in got for t in b.column(0).to_pylist()) == sorted((t or "") for b in batches for t in b.column(0).to_pylist())
