@@ -48,7 +48,7 @@ CLASSES = 16 * 4
 #: What is added to each word's count.
 ADDED = 0.1
 #: Words of a text from which it is kept to be gone through with others as long; how many texts and words are kept; shorter texts that go together.
-LONG, KEPT, KEPT_WORDS, TOGETHER = 1500, 256, 1 << 20, 2048
+LONG, KEPT, KEPT_WORDS, TOGETHER = 1500, 128, 1 << 20, 2048
 
 
 def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def grouped(batches, text: int, limit: int = 8 << 20):
                 batch = batch.filter(pa.array(~big))
             if batch.num_rows:
                 soon.append(batch)
-            if sum(b.num_rows for b in soon) >= TOGETHER or sum(b.nbytes for b in soon) >= limit // 2:
+            if sum(b.num_rows for b in soon) >= TOGETHER or sum(b.nbytes for b in soon) >= limit // 4:
                 yield from joined(soon)
                 soon = []
             if sum(b.num_rows for b in late) >= KEPT or words >= KEPT_WORDS:
