@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph import lineage
 from loomgraph.operators import classify, traverse
 
-from .test_graph import fns, graph, ids
+from .test_graph import fns, graph, ids, routed
 
 
 def shuffle_files(spark):
@@ -68,3 +68,14 @@ def test_searches_keep_no_copy_of_their_steps(spark):
     had = set(Path(lineage.shared_dir(spark).removeprefix("file://"), "loomgraph").glob("steps-*"))
     assert traverse.reach(steps, seeds).count() == 6
     assert set(Path(lineage.shared_dir(spark).removeprefix("file://"), "loomgraph").glob("steps-*")) <= had
+
+
+def test_routed_steps_in_slices(spark, monkeypatch):
+    """Routed steps that are made slice by slice are those that are made at once, and the routes' own table goes."""
+    answers = []
+    for size in (lineage.SLICE, 1):
+        monkeypatch.setattr(lineage, "SLICE", size)
+        answers.append(sorted(map(str, traverse.routed_steps(routed(spark, wrapper=True)).collect())))
+    assert answers[0] == answers[1] and any("b" in a for a in answers[0])
+    left = Path(lineage.shared_dir(spark).removeprefix("file://"), "loomgraph").glob("routes-*")
+    assert not list(left)
